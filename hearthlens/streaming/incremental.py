@@ -7,39 +7,45 @@ entities that the target already holds, so a repeated run adds nothing.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from hearthlens.sources.writers import pending
-from hearthlens.session import fresh_path
 
 
 def load_new_entities(spark: SparkSession, source: str, schema: StructType, target: str, key: str,
-                      checkpoint: str | None = None, fmt: str = "parquet") -> None:
+                      checkpoint: str, fmt: str = "parquet") -> None:
     """Appends the rows of entities that ``target`` does not hold yet, then stops.
 
     An entity is complete once a batch has stored it, as one stored file per entity is; its later
-    rows count as repeated collection. The batch number is a partition of the target and is
-    overwritten when a batch is repeated, so a run that dies between writing and remembering does
-    not store rows twice.
+    rows count as repeated collection. Every batch is a folder of the target named by the
+    checkpoint and the batch number, and a repeated batch replaces its own folder, so a run that
+    dies between writing and remembering does not store rows twice.
     """
+    load = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     stream = spark.readStream.schema(schema).format(fmt).load(source)
 
     def store(batch: DataFrame, number: int) -> None:
         kept = batch
         if _exists(spark, target):
-            stored = spark.read.schema(StructType(schema.fields).add("batch", "long")).parquet(target)
-            kept = pending(batch, stored.where(F.col("batch") != number), [key])
-        kept.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch={number}")
+            own = (F.col("load") == load) & (F.col("batch") == number)
+            kept = pending(batch, read_loaded(spark, target, schema).where(~own), [key])
+        kept.write.mode("overwrite").parquet(f"{target.rstrip('/')}/load={load}/batch={number}")
 
     query = (
-        stream.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint or fresh_path(spark, "load"))
+        stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
+def read_loaded(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """The stored rows with the load and batch that stored them."""
+    return spark.read.schema(StructType(schema.fields).add("load", "string").add("batch", "long")).parquet(target)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
