@@ -31,4 +31,13 @@ def first_token(text: Column) -> Column:
 
 
 def fixed_point(value: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f", value.cast("double"))
+    """A number with a fixed count of decimals. Halves are judged on the exact binary value and true
+    ties go to the even digit, as in C and Python; ``format_string`` and ``round`` go by the
+    shortest decimal text instead and differ for numbers like 2.675."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
+
+
+def round_exact(value: Column, digits: int = 2) -> Column:
+    """Rounding with the same rule."""
+    return fixed_point(value, digits).cast("double")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthlens.functions.numeric import normal_density
+from hearthlens.functions.numeric import linspace, normal_density
 from hearthlens.operators import evaluate, features, numbering, profile
+from hearthlens.operators.clean import duplicate_count
 from hearthlens.operators.joins import lookup_join
+from hearthlens.operators.orderstats import exact_quantiles
 from hearthlens.plans import listings, reports
 from hearthlens.plans.listings import LISTING_SQL, MACRO_SQL
 from hearthlens.plans.registry import query, table
@@ -100,7 +102,6 @@ def top_correlations(spark, folder):
 
 @query("select round(coalesce(quantile_cont(o_totalprice, 0.99), 0), 6) as p99 from orders")
 def price_percentile(spark, folder):
-    from hearthlens.operators.orderstats import exact_quantiles
     orders = table(spark, folder, "orders").select("o_totalprice")
     value = exact_quantiles(orders, {"o_totalprice": [0.99]}, direct_values=0, gather_rows=500, accuracy=100)["o_totalprice"][0]
     return spark.createDataFrame([(round(value, 6),)], "p99 double")
@@ -164,7 +165,6 @@ select cast(i as integer) as i, round(lo + (hi - lo) * i / 199, 6) as x,
   round(1 / (sd * sqrt(2 * pi())) * exp(-pow(lo + (hi - lo) * i / 199 - m, 2) / (2 * sd * sd)), 9) as density
 from s, (select unnest(range(0, 200)) as i)""")
 def normal_curve(spark, folder):
-    from hearthlens.functions.numeric import linspace
     s = table(spark, folder, "part").agg(F.avg("p_retailprice").alias("m"), F.stddev_pop("p_retailprice").alias("sd"),
                                          F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
     grid = s.select("m", "sd", F.posexplode(linspace(F.col("lo"), F.col("hi"), 200)).alias("i", "x"))
@@ -191,7 +191,6 @@ def tag_rates(spark, folder):
 @query("""with c as (select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2)
 select cast(sum(n) as bigint) as total_rows, count(*) as distinct_rows, cast(sum(n) - count(*) as bigint) as duplicate_rows from c""")
 def duplicate_audit(spark, folder):
-    from hearthlens.operators.clean import duplicate_count
     return duplicate_count(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
@@ -260,11 +259,11 @@ def report_heat_map(spark, folder):
     return profile.correlation_matrix(rows, HEAT).select("col_a", "col_b", F.round("r", 5).alias("r"))
 
 
-@query("""select case quality when 1 then 'Positive' else 'Negative' end as class, ln(n_chars) as "X1", toxic as "X2"
+@query("""select case quality when 1 then 'Positive' else 'Negative' end as class, round(ln(n_chars), 9) as "X1", toxic as "X2"
 from labels join documents using (doc_id)""")
 def report_class_points(spark, folder):
     points = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id").select(
-        F.log("n_chars").alias("X1"), F.col("toxic").alias("X2"), F.col("quality").alias("y"))
+        F.round(F.log("n_chars"), 9).alias("X1"), F.col("toxic").alias("X2"), F.col("quality").alias("y"))
     return reports.class_points(points)
 
 
