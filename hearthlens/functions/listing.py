@@ -1,14 +1,18 @@
 """Typed attributes of a second-hand listing out of its text fields.
 
 The source notes name the resulting columns but not the text layout; the patterns below are this
-library's reading of it and are defaults, not rules.
+library's reading of it. Each text is matched once, with every part optional but in the order of
+the site, and rewritten to a fixed number of fields.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthlens.functions.text import first_token
+from hearthlens.operators.select import compute_once
 
 # The words of the text fields.
 LEVEL_WORDS = ["地下室", "底层", "低楼层", "中楼层", "高楼层", "顶层"]
@@ -16,46 +20,75 @@ FURNISHMENT_WORDS = ["其他", "毛坯", "简装", "精装"]
 ARCHITECTURE_WORDS = ["平房", "板楼", "板塔结合", "塔楼"]
 DAYS_PER_UNIT = {"天": 1, "个月": 30, "年": 365}
 
+HOUSE_INFO = (
+    r"(?s)^\s*(?:(\d+)室)?(?:(\d+)厅)?[^|\d]*\|?"
+    r"\s*(?:(\d+(?:\.\d+)?)平米\s*\|?)?"
+    r"\s*(?:([东南西北][东南西北 ]*)\|?)?"
+    rf"\s*(?:({'|'.join(FURNISHMENT_WORDS)})\s*\|?)?"
+    rf"\s*(?:({'|'.join(LEVEL_WORDS)})?(?:\(?共(\d+)层\)?)?\s*\|?)?"
+    r"\s*(?:\d+年建\s*\|?)?"
+    rf"\s*({'|'.join(ARCHITECTURE_WORDS)})?.*$"
+)
+FOLLOW_INFO = rf"(?s)^\s*(?:(\d+)人关注)?[\s/]*(?:(今天|刚刚)|(\d+)({'|'.join(DAYS_PER_UNIT)})以?前)?.*$"
+
 
-def _number(text: Column, pattern: str, kind: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast(kind)
+def _fields(text: Column, pattern: str, count: int) -> Column:
+    return F.split(F.regexp_replace(text, pattern, "|".join(f"${i + 1}" for i in range(count))), r"\|")
 
 
-def _word(text: Column, words: list[str]) -> Column:
-    return F.nullif(F.regexp_extract(text, rf"(?:^|\|)\s*({'|'.join(words)})", 1), F.lit(""))
+def _field(fields: Column, index: int) -> Column:
+    return F.nullif(F.trim(F.get(fields, F.lit(index))), F.lit(""))
 
 
 def house_info_columns(info: Column) -> dict[str, Column]:
     """Rooms, halls, area, orientation, furnishment, level, floors and building type of texts like
     ``3室2厅 | 89.5平米 | 南 北 | 精装 | 中楼层(共18层) | 板楼``; a part that is absent is null."""
-    orientation = F.nullif(F.trim(F.regexp_extract(info, r"(?:^|\|)\s*([东南西北][东南西北 ]*)(?:\||$)", 1)), F.lit(""))
-    return {
-        "room": _number(info, r"(\d+)室", "int"),
-        "hall": _number(info, r"(\d+)厅", "int"),
-        "area": _number(info, r"(\d+(?:\.\d+)?)平米", "double"),
-        "orientation_text": first_token(orientation),
-        "furnishment_text": _word(info, FURNISHMENT_WORDS),
-        "level_text": _word(info, LEVEL_WORDS),
-        "height": _number(info, r"共(\d+)层", "int"),
-        "architecture_text": _word(info, ARCHITECTURE_WORDS),
-    }
+    return _house_columns(_fields(info, HOUSE_INFO, 8))
 
 
 def follow_info_columns(info: Column) -> dict[str, Column]:
     """Followers and days on the market of texts like ``12人关注 / 3个月以前发布``."""
-    count = _number(info, r"(\d+)(?:天|个月|年)(?:以)?前", "int")
-    unit = F.regexp_extract(info, r"\d+(天|个月|年)(?:以)?前", 1)
-    days = F.coalesce(*[F.when(unit == word, F.lit(factor)) for word, factor in DAYS_PER_UNIT.items()])
-    today = info.rlike("今天|刚刚")
+    return _follow_columns(_fields(info, FOLLOW_INFO, 4))
+
+
+def _house_columns(parts: Column) -> dict[str, Column]:
     return {
-        "follower": _number(info, r"(\d+)人关注", "int"),
-        "span": F.when(today, F.lit(0)).otherwise(count * days),
+        "room": _field(parts, 0).try_cast("int"),
+        "hall": _field(parts, 1).try_cast("int"),
+        "area": _field(parts, 2).try_cast("double"),
+        "orientation_text": first_token(_field(parts, 3)),
+        "furnishment_text": _field(parts, 4),
+        "level_text": _field(parts, 5),
+        "height": _field(parts, 6).try_cast("int"),
+        "architecture_text": _field(parts, 7),
+    }
+
+
+def _follow_columns(parts: Column) -> dict[str, Column]:
+    factors = F.create_map(*[F.lit(x) for pair in DAYS_PER_UNIT.items() for x in pair])
+    days = F.try_element_at(factors, _field(parts, 3))
+    return {
+        "follower": _field(parts, 0).try_cast("int"),
+        "span": F.when(_field(parts, 1).isNotNull(), F.lit(0)).otherwise(_field(parts, 2).try_cast("int") * days),
     }
 
 
 def price_columns(total: Column, unit: Column) -> dict[str, Column]:
-    """Total price in 10,000 yuan and unit price in yuan per square metre."""
+    """Total price in 10,000 yuan and unit price in yuan per square metre, without their units."""
     return {
-        "t_price": _number(total, r"(\d+(?:\.\d+)?)", "double"),
-        "u_price": _number(F.replace(unit, F.lit(","), F.lit("")), r"(\d+(?:\.\d+)?)", "double"),
+        "t_price": F.translate(total, ", 万", "").try_cast("double"),
+        "u_price": F.translate(unit, ", 单价元/平米㎡", "").try_cast("double"),
+    }
+
+
+def parse_listings(df: DataFrame, keep: Sequence[str], house_info: str = "house_info", follow_info: str = "follow_info",
+                   total_price: str = "total_price", unit_price: str = "unit_price") -> DataFrame:
+    """The kept columns and all typed attributes; each text is matched once per row."""
+    matched = compute_once(df, __house=_fields(F.col(house_info), HOUSE_INFO, 8),
+                           __follow=_fields(F.col(follow_info), FOLLOW_INFO, 4))
+    columns = {
+        **_house_columns(F.col("__house")),
+        **_follow_columns(F.col("__follow")),
+        **price_columns(F.col(total_price), F.col(unit_price)),
     }
+    return matched.select(*keep, *[c.alias(n) for n, c in columns.items()])

@@ -8,25 +8,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthlens.functions.codec import decrypt_text
 from hearthlens.functions.text import join_pieces, unescape_markup
+from hearthlens.operators.select import compute_once
 
 PARAGRAPH_OR_IMAGE = r'(?s)<p>(.*?)</p>|data-src="(.*?)"'
 
 
 def _tag(name: str) -> str:
-    return rf"<{name}(?=[\s>/])[^>]*>"
+    return rf"<{name}(?=[\s>/])[^>]*+>"
+
+
+def _with_class(tag: str, css_class: str) -> str:
+    """An opening tag that carries the class, whatever other classes and attributes it has. Every
+    part runs forward only, so a page is searched in linear time."""
+    return rf'<{tag}\s(?:[^>]*?\s)?class="(?:[^"]*?\s)?{css_class}(?=[\s"])[^>]*+>'
 
 
 def _attribute(tag: Column, name: str) -> Column:
     """An attribute of one opening tag, null when absent."""
-    found = F.regexp_extract(tag, rf'\s{re.escape(name)}\s*=\s*"([^"]*)"', 1)
-    present = tag.rlike(rf'\s{re.escape(name)}\s*=\s*"')
-    return F.when(present, unescape_markup(found))
+    found = F.regexp_extract_all(tag, F.lit(rf'\s{re.escape(name)}\s*=\s*"([^"]*)"'), F.lit(1))
+    return unescape_markup(F.get(found, F.lit(0)))
 
 
 def attribute_of_class(html: Column, css_class: str, attribute: str) -> Column:
     """An attribute of the first element that carries the class."""
-    opening = F.regexp_extract(html, rf'<\w+(?=[^>]*\sclass="(?:[^"]*\s)?{re.escape(css_class)}(?:\s[^"]*)?")[^>]*>', 0)
-    return _attribute(opening, attribute)
+    return _attribute(F.regexp_extract(html, _with_class(r"\w++", re.escape(css_class)), 0), attribute)
 
 
 def anchors(html: Column) -> Column:
@@ -89,37 +94,55 @@ def article_fragments(df: DataFrame, html: str, keys: list[str], key: Column | s
     ).where(F.col("content").isNotNull())
 
 
-def _block(card: Column, css_class: str) -> Column:
-    """The inside of the first element with the class, up to its first closing tag; '' if absent."""
-    pattern = rf'(?s)<(\w+)(?=[^>]*\sclass="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?")[^>]*>(.*?)</\1>'
-    return F.regexp_extract(card, pattern, 2)
+CARD_FIELDS = ["title", "positionInfo", "houseInfo", "followInfo", "totalPrice", "unitPrice"]
+CARD_LIST = _with_class("ul", "sellListContent")
+CARD_START = r"<li(?=[\s>])[^>]*+>"
+FIELD_START = _with_class(r"(\w++)", "(" + "|".join(CARD_FIELDS) + ")")
+FIELD = rf"(?s){FIELD_START}.*?</\1>"
 
 
-def _own_text(block: Column) -> Column:
-    """The first text that belongs to the element itself and not to a child; null when it has none."""
-    without_children = F.regexp_replace(block, r"(?s)<(\w+)[^>]*>.*?</\1>|<[^>]*>", "\u0001")
-    pieces = F.filter(F.split(without_children, "\u0001"), lambda piece: piece != "")
-    return unescape_markup(F.get(pieces, F.lit(0)))
+def _own_text(element: Column) -> Column:
+    """The first text that belongs to an element itself and not to a child; null when it has none."""
+    inside = F.regexp_replace(element, r"^<[^>]*+>|</\w+>$", "")
+    pieces = F.split(inside, r"(?s)<(\w++)[^>]*+>.*?</\1>|<[^>]*+>")
+    return unescape_markup(F.get(F.filter(pieces, lambda piece: piece != ""), F.lit(0)))
 
 
-def _child_texts(block: Column, tag: str) -> Column:
-    texts = F.regexp_extract_all(block, F.lit(rf"<{tag}(?=[\s>])[^>]*>([^<]+)"), F.lit(1))
-    return F.transform(texts, unescape_markup)
+def _child_texts(element: Column, tag: str) -> Column:
+    return F.regexp_extract_all(element, F.lit(rf"<{tag}(?=[\s>])[^>]*+>([^<]+)"), F.lit(1))
 
 
 def listing_cards(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     """One row of six text fields per card of a listing page; a missing field is null, except the
-    position, whose pieces are joined and may be none."""
-    lists = F.regexp_extract(
-        html, r'(?s)<ul(?=[^>]*\sclass="(?:[^"]*\s)?sellListContent(?:\s[^"]*)?")[^>]*>(.*?)</ul>', 1)
-    cards = F.regexp_extract_all(lists, F.lit(r"(?s)<li(?=[\s>])[^>]*>(.*?)</li>"), F.lit(1))
-    card = F.col("card")
-    return df.select(*keys, F.posexplode(cards).alias("pos", "card")).select(
+    position, whose pieces are joined and may be none.
+
+    A page is cut into cards at its list items. The fields of a card are then found in one walk
+    over it, as each known element up to its first closing tag; the first of a class counts.
+    """
+    page = F.col(html)
+    opened = compute_once(df.select(*keys, page), opening=F.regexp_extract(page, CARD_LIST, 0)).where("opening != ''")
+    start = F.instr(page, F.col("opening")) + F.length("opening")
+    listed = F.substring_index(F.substring(page, start, F.length(page)), "</ul>", 1)
+    cut = compute_once(opened, items=F.split(listed, CARD_START))
+    cards = F.transform(F.slice("items", F.lit(2), F.size("items") - 1), lambda item: F.substring_index(item, "</li>", 1))
+    walked = compute_once(cut.select(*keys, F.posexplode(cards).alias("pos", "card")),
+                          elements=F.regexp_extract_all("card", F.lit(FIELD), F.lit(0)))
+    named = compute_once(walked, classes=F.transform("elements", lambda e: F.regexp_extract(e, FIELD_START, 2)))
+
+    def element(name: str) -> Column:
+        place = F.array_position("classes", F.lit(name)).cast("int")
+        return F.when(place > 0, F.get("elements", place - 1))
+
+    def first_child(name: str, tag: str) -> Column:
+        return unescape_markup(F.get(_child_texts(element(name), tag), F.lit(0)))
+
+    position = F.coalesce(_child_texts(element("positionInfo"), "a"), F.array().cast("array<string>"))
+    return named.select(
         *keys, "pos",
-        F.get(_child_texts(_block(card, "title"), "a"), F.lit(0)).alias("title"),
-        join_pieces(_child_texts(_block(card, "positionInfo"), "a"), "-").alias("position"),
-        _own_text(_block(card, "houseInfo")).alias("house_info"),
-        _own_text(_block(card, "followInfo")).alias("follow_info"),
-        F.get(_child_texts(_block(card, "totalPrice"), "span"), F.lit(0)).alias("total_price"),
-        F.get(_child_texts(_block(card, "unitPrice"), "span"), F.lit(0)).alias("unit_price"),
+        first_child("title", "a").alias("title"),
+        unescape_markup(join_pieces(position, "-")).alias("position"),
+        _own_text(element("houseInfo")).alias("house_info"),
+        _own_text(element("followInfo")).alias("follow_info"),
+        first_child("totalPrice", "span").alias("total_price"),
+        first_child("unitPrice", "span").alias("unit_price"),
     )

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hearthlens.operators.encode import mentions
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -16,17 +18,17 @@ class Rule:
     keep: Column
 
 
-PARKING_MARKER = "车位出售|地下车位|^车位"
+PARKING_WORDS = ["车位出售", "地下车位"]
 
 
-def listing_rules(villa: Column, parking_marker: str = PARKING_MARKER, total_price: str = "t_price",
+def listing_rules(villa: Column, parking_words: Sequence[str] = tuple(PARKING_WORDS), total_price: str = "t_price",
                   title: str = "title", architecture: str = "architecture_text", level: str = "level_text",
                   height: str = "height") -> list[Rule]:
     """The second-hand listing rules in the order of the cleaning log."""
     villa = F.coalesce(villa, F.lit(False))
     return [
         Rule("missing total price", F.col(total_price).isNotNull()),
-        Rule("parking space", ~F.coalesce(F.col(title).rlike(parking_marker), F.lit(False))),
+        Rule("parking space", ~mentions(F.col(title), parking_words)),
         Rule("missing building structure", F.col(architecture).isNotNull()),
         Rule("missing floor info", F.col(level).isNotNull() | villa),
         Rule("villa", ~villa),

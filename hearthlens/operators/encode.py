@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 # The ordinal codes of the cleaning log.
@@ -17,15 +19,15 @@ FURNISHMENT_WORDS = {"其他": 0, "毛坯": 1, "简装": 2, "精装": 3}
 LEVEL_WORDS = {"地下室": 0, "底层": 1, "低楼层": 2, "中楼层": 3, "高楼层": 4, "顶层": 5}
 ARCHITECTURE_WORDS = {"平房": 0, "板楼": 1, "板塔结合": 2, "塔楼": 3}
 
-# The notes name the tags but not their wording; these patterns are defaults to be replaced.
-TAG_PATTERNS = {
-    "park": "公园",
-    "light": "采光",
-    "p_lot": "车位",
-    "water": "海景|江景|河景|湖景",
-    "business": "商圈|商场|CBD",
-    "transport": "地铁|交通便利",
-    "l_tax": "满五|满二|唯一",
+# The notes name the tags but not their wording; these words are defaults to be replaced.
+TAG_WORDS = {
+    "park": ["公园"],
+    "light": ["采光"],
+    "p_lot": ["车位"],
+    "water": ["海景", "江景", "河景", "湖景"],
+    "business": ["商圈", "商场", "CBD"],
+    "transport": ["地铁", "交通便利"],
+    "l_tax": ["满五", "满二", "唯一"],
 }
 
 
@@ -40,9 +42,14 @@ def orientation_code(text: Column) -> Column:
     return ordinal(F.substring(text, 1, 1), ORIENTATION_WORDS)
 
 
-def tags(text: Column, patterns: dict[str, str] | None = None) -> dict[str, Column]:
-    """0/1 per tag; text that is missing has no tag."""
-    return {
-        name: F.coalesce(text.rlike(pattern), F.lit(False)).cast("int")
-        for name, pattern in (patterns or TAG_PATTERNS).items()
-    }
+def mentions(text: Column, words: Sequence[str]) -> Column:
+    """Whether a text contains one of the words; a missing text contains none."""
+    found = F.lit(False)
+    for word in words:
+        found = found | text.contains(word)
+    return F.coalesce(found, F.lit(False))
+
+
+def tags(text: Column, words: dict[str, Sequence[str]] | None = None) -> dict[str, Column]:
+    """0/1 per tag."""
+    return {name: mentions(text, listed).cast("int") for name, listed in (words or TAG_WORDS).items()}

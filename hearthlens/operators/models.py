@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -28,9 +29,16 @@ def training_frame(df: DataFrame, features: Sequence[str], label: str, keep: Seq
     return assembler(features).transform(doubles)
 
 
-def repeatable(df: DataFrame, key: str, partitions: int) -> DataFrame:
+def training_partitions(rows: int, cores: int) -> int:
+    """Partitions for a frame that is read by hundreds of short jobs: few rows stay together, many
+    rows get about three tasks per core, and no partition grows past two million rows."""
+    return max(1, min(math.ceil(rows / 20_000), max(3 * cores, math.ceil(rows / 2_000_000))))
+
+
+def repeatable(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
     """Fixed partitions and row order by a unique key. Tree ensembles draw their samples per
     partition, so the same layout gives the same model for the same seed."""
+    partitions = partitions or training_partitions(df.count(), df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(partitions, key).sortWithinPartitions(key)
 
 

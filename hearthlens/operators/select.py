@@ -16,6 +16,18 @@ def not_equal(column: str, value) -> Column:
     return ~F.col(column).eqNullSafe(F.lit(value))
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that cost much to compute, once per row however often they are used later.
+
+    A later filter is pushed through a projection by copying its expressions, so a pattern match
+    would run again for every test of its result. A filter is not pushed through a generator.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [f"`{c}`" for c in df.columns]
+    once = df.select(*kept, F.explode(F.array(row)).alias("__once"))
+    return once.select(*kept, *[F.col("__once")[n].alias(n) for n in columns])
+
+
 def by_position(df: DataFrame, start: int | None = None, stop: int | None = None) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns[start:stop]])
 

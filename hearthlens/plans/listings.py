@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthlens.functions.listing import follow_info_columns, house_info_columns, price_columns
+from hearthlens.functions.listing import parse_listings
 from hearthlens.operators import encode
 from hearthlens.operators.clean import Rule, apply_rules, listing_rules
 from hearthlens.operators.joins import lookup_join
 from hearthlens.plans.registry import table
+from hearthlens.session import fresh_path
 
 # Which listing word a column value of the given tables is shown as.
 TITLE = """concat(city, case when c_mktsegment = 'MACHINERY' and o_orderstatus = 'P' and o_orderpriority = '1-URGENT'
@@ -27,6 +28,8 @@ LEVEL = """case when month(o_orderdate) = 1 then '地下室' when month(o_orderd
   when month(o_orderdate) <= 10 then '高楼层' when month(o_orderdate) = 11 then '顶层' end"""
 ARCHITECTURE = """case when c_acctbal < 0 then null when o_orderstatus = 'F' then '板楼' when o_orderstatus = 'O' then '塔楼'
   when month(o_orderdate) < 10 then '板塔结合' else '平房' end"""
+AREA_PRICE = """case o_orderpriority when '1-URGENT' then 5000 when '2-HIGH' then 4500 when '3-MEDIUM' then 4000
+  when '4-NOT SPECIFIED' then 3500 else 3000 end"""
 PUBLISHED = """case o_orderstatus when 'F' then concat(day(o_orderdate), '天以前发布')
   when 'O' then concat(quarter(o_orderdate), '个月以前发布') else concat(year(o_orderdate) - 1994, '年前发布') end"""
 TAG_TEXT = """concat_ws(' ', case when o_orderpriority = '1-URGENT' then '满五唯一' end,
@@ -45,7 +48,7 @@ def listing_raw(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").withColumnRenamed("o_custkey", "c_custkey")
     customers = table(spark, folder, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", F.col("c_nationkey").alias("city_key"))
     joined = lookup_join(lookup_join(orders, customers, "c_custkey", "inner"), cities(spark, folder), "city_key", "inner")
-    area = "cast(cast(floor(o_totalprice / 4000) as int) + 20 as string)"
+    area = f"cast(cast(floor(o_totalprice / ({AREA_PRICE})) as int) + 20 as string)"
     house = f"""concat_ws(' | ', concat(year(o_orderdate) - 1994, '室', quarter(o_orderdate), '厅'),
       concat({area}, '.5平米'), {ORIENTATION}, {FURNISHMENT},
       concat(coalesce({LEVEL}, ''), '(共', day(o_orderdate) - 1, '层)'), {ARCHITECTURE})"""
@@ -62,14 +65,16 @@ def listing_raw(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stored_listings(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw listings as collection leaves them: written once, then scanned."""
+    path = fresh_path(spark, "listing_raw")
+    listing_raw(spark, folder).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """The raw listing with its typed attributes."""
-    return raw.select(
-        "id", "city", "title", "tags",
-        *[c.alias(n) for n, c in house_info_columns(F.col("house_info")).items()],
-        *[c.alias(n) for n, c in follow_info_columns(F.col("follow_info")).items()],
-        *[c.alias(n) for n, c in price_columns(F.col("total_price"), F.col("unit_price")).items()],
-    )
+    return parse_listings(raw, ["id", "city", "title", "tags"])
 
 
 def rules() -> list[Rule]:
@@ -110,12 +115,12 @@ def city_macro(spark: SparkSession, folder: str) -> DataFrame:
 
 def listing_features(spark: SparkSession, folder: str) -> DataFrame:
     """Parsed, cleaned and encoded listings with the figures of their city: the modelling table."""
-    listings = encoded(apply_rules(parsed(listing_raw(spark, folder)), rules()))
+    listings = encoded(apply_rules(parsed(stored_listings(spark, folder)), rules()))
     return lookup_join(listings, city_macro(spark, folder), "city")
 
 
 # The same attributes straight from the given columns, for checking the parsed ones.
-LISTING_SQL = """
+LISTING_SQL = f"""
 listing_base as (
   select o.*, c.c_acctbal, c.c_mktsegment, n.n_name as city,
     c_mktsegment = 'MACHINERY' and o_orderstatus = 'P' and o_orderpriority = '1-URGENT' as villa
@@ -124,7 +129,7 @@ listing_base as (
 listing as (
   select o_orderkey as id, city, villa, o_totalprice < 5000 as parking,
     cast(year(o_orderdate) - 1994 as integer) as room, cast(quarter(o_orderdate) as integer) as hall,
-    cast(floor(o_totalprice / 4000) as integer) + 20.5::double as area,
+    cast(floor(o_totalprice / ({AREA_PRICE})) as integer) + 20.5::double as area,
     case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 when '3-MEDIUM' then 2
       when '4-NOT SPECIFIED' then 3 else 0 end as orientation,
     case c_mktsegment when 'AUTOMOBILE' then 2 when 'MACHINERY' then 1 when 'HOUSEHOLD' then 0 else 3 end as furnishment,

@@ -3,6 +3,8 @@ machines are checked by the invariants in the tests."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
 from pyspark.ml.classification import LinearSVC
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,13 +22,12 @@ from hearthlens.session import fresh_path
 TREES, ROUNDS, DEPTH = 20, 10, 6
 
 
-def _modelling_rows(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
+def _modelling_rows(spark: SparkSession, folder: str, columns: Sequence[str] = LISTING_FEATURES) -> DataFrame:
     """The modelling table with vector and label, stored once because every fit reads it many times."""
-    rows = models.training_frame(listings.listing_features(spark, folder), LISTING_FEATURES, "t_price", ["id"])
+    rows = models.training_frame(listings.listing_features(spark, folder), columns, "t_price", ["id"])
     path = fresh_path(spark, "modelling")
     features.hash_split(rows, "id", 0.2, seed=42).select("id", "split", "features", "label").write.parquet(path)
-    stored = spark.read.parquet(path)
-    return models.repeatable(stored, "id", partitions or spark.sparkContext.defaultParallelism)
+    return models.repeatable(spark.read.parquet(path), "id")
 
 
 def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,8 +36,7 @@ def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query(f"with {LISTING_SQL} select round(regr_slope(t_price, area), 4) as slope, round(regr_intercept(t_price, area), 4) as intercept from cleaned")
 def least_squares_line(spark, folder):
-    rows = models.training_frame(listings.listing_features(spark, folder), ["area"], "t_price")
-    model = models.fit_cached(models.least_squares(), rows)
+    model = models.fit_cached(models.least_squares(), _modelling_rows(spark, folder, ["area"]))
     return spark.createDataFrame([(round(float(model.coefficients[0]), 4), round(float(model.intercept), 4))], "slope double, intercept double")
 
 
@@ -52,8 +52,7 @@ SHARES = [0.25, 0.5, 1.0]
   round(sqrt(avg(pow(t_price - a * area - b, 2))), 4) as rmse from s, f{i} where test or bucket < {int(x * 1e6)} group by 1, 2"""
     for i, x in enumerate(SHARES)))
 def learning_curve(spark, folder):
-    rows = models.training_frame(listings.listing_features(spark, folder), ["area"], "t_price", ["id"])
-    train, test = _parts(features.hash_split(rows, "id", 0.2, seed=42))
+    train, test = _parts(_modelling_rows(spark, folder, ["area"]))
     curve = evaluate.learning_curve(train, test, "id", SHARES, lambda part: models.fit_cached(models.least_squares(), part))
     return curve.withColumn("rmse", F.round("rmse", 4))
 
@@ -140,7 +139,7 @@ def _points(spark: SparkSession, folder: str) -> DataFrame:
     joined = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label")).join(docs, "doc_id")
     path = fresh_path(spark, "points")
     joined.write.parquet(path)
-    return models.repeatable(spark.read.parquet(path), "doc_id", spark.sparkContext.defaultParallelism)
+    return models.repeatable(spark.read.parquet(path), "doc_id")
 
 
 @query()

@@ -76,7 +76,7 @@ WIDE = ["room", "hall", "area", "orientation", "furnishment", "level", "height",
     f"""select '{a}' as col_a, '{b}' as col_b, round(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 6) + 0.0 as r
 from listing where {a} is not null and {b} is not null""" for a in WIDE for b in WIDE) + ")")
 def wide_correlation_matrix(spark, folder):
-    rows = listings.encoded(listings.parsed(listings.listing_raw(spark, folder)))
+    rows = listings.encoded(listings.parsed(listings.stored_listings(spark, folder)))
     return profile.correlation_matrix(rows, WIDE).select("col_a", "col_b", F.round("r", 6).alias("r"))
 
 
@@ -204,14 +204,14 @@ def report_city_counts(spark, folder):
 @query(f"""with {LISTING_SQL} select city, round(avg(u_price), 4) as mean_unit_price from listing where u_price is distinct from 0
 group by 1 order by 2 desc nulls last, 1""")
 def report_city_unit_price(spark, folder):
-    rows = listings.parsed(listings.listing_raw(spark, folder))
+    rows = listings.parsed(listings.stored_listings(spark, folder))
     return reports.city_unit_price(rows, "u_price").select("city", F.round("mean_unit_price", 4).alias("mean_unit_price"))
 
 
 @query(f"""with {LISTING_SQL} select city, round(avg(t_price), 4) as mean_total_price from listing where t_price is distinct from 0
 group by 1 order by 2 desc nulls last, 1""")
 def report_city_total_price(spark, folder):
-    rows = listings.parsed(listings.listing_raw(spark, folder))
+    rows = listings.parsed(listings.stored_listings(spark, folder))
     return reports.city_total_price(rows, "t_price").select("city", F.round("mean_total_price", 4).alias("mean_total_price"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from hearthlens.functions import codec, markup, numeric, text
+from hearthlens.functions.listing import follow_info_columns
 from hearthlens.operators import clean, encode
 from hearthlens.plans import listings
 from hearthlens.plans.listings import LISTING_SQL, MACRO_SQL
@@ -187,20 +188,20 @@ def listing_cards(spark, folder):
     cards = markup.listing_cards(card_pages(spark, folder), "html", ["id"])
     # a listing without a building type shows one part less
     parts = F.size(F.split("house_info", r"\|")) + F.when(F.col("house_info").rlike("板|塔|平房"), 0).otherwise(1)
-    follower = listings.follow_info_columns(F.col("follow_info"))["follower"]
+    follower = follow_info_columns(F.col("follow_info"))["follower"]
     return cards.select("id", "pos", "title", "position", "total_price", "unit_price",
                         F.when(F.col("house_info").isNotNull(), parts).alias("house_parts"), follower.alias("follower"))
 
 
 @query(f"""with {LISTING_SQL} select id, room, hall, area, orientation, furnishment, level, height, architecture from listing""")
 def house_info_parsed(spark, folder):
-    rows = listings.encoded(listings.parsed(listings.listing_raw(spark, folder)))
+    rows = listings.encoded(listings.parsed(listings.stored_listings(spark, folder)))
     return rows.select("id", "room", "hall", "area", "orientation", "furnishment", "level", "height", "architecture")
 
 
 @query(f"""with {LISTING_SQL} select id, follower, span, t_price, u_price from listing""")
 def follow_and_price_parsed(spark, folder):
-    return listings.parsed(listings.listing_raw(spark, folder)).select("id", "follower", "span", "t_price", "u_price")
+    return listings.parsed(listings.stored_listings(spark, folder)).select("id", "follower", "span", "t_price", "u_price")
 
 
 @query("""select p_partkey, split_part(p_name, ' ', 1) as token from part""")
@@ -231,7 +232,7 @@ def text_tags(spark, folder):
 @query("""select doc_id, cast(contains(text, 'license') or contains(text, 'License') as integer) as license,
   cast(contains(text, '@') as integer) as address from documents""")
 def document_tags(spark, folder):
-    found = encode.tags(F.col("text"), {"license": "license|License", "address": "@"})
+    found = encode.tags(F.col("text"), {"license": ["license", "License"], "address": ["@"]})
     return table(spark, folder, "documents").select("doc_id", *[c.alias(n) for n, c in found.items()])
 
 
@@ -251,12 +252,12 @@ FUNNEL_DISTINCT = ["city", "room", "hall", "orientation_text", "furnishment_text
 )
 select step, rule, removed, cast((select count(*) from listing) - sum(removed) over (order by step) as bigint) as remaining from counts""")
 def cleaning_funnel(spark, folder):
-    return clean.funnel(listings.parsed(listings.listing_raw(spark, folder)), listings.rules(), FUNNEL_DISTINCT)
+    return clean.funnel(listings.parsed(listings.stored_listings(spark, folder)), listings.rules(), FUNNEL_DISTINCT)
 
 
 @query(f"with {LISTING_SQL} select id, city, t_price, level, height from cleaned")
 def cleaned_listings(spark, folder):
-    kept = clean.apply_rules(listings.parsed(listings.listing_raw(spark, folder)), listings.rules())
+    kept = clean.apply_rules(listings.parsed(listings.stored_listings(spark, folder)), listings.rules())
     return listings.encoded(kept).select("id", "city", "t_price", "level", "height")
 
 
