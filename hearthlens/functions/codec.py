@@ -20,7 +20,9 @@ def decrypt_text(text: Column, key: Column | str) -> Column:
     The key has 16, 24 or 32 bytes and is configuration: pass it in, keep it out of source files.
     """
     key = key if isinstance(key, Column) else F.lit(key)
-    return decode_utf8(F.try_aes_decrypt(decode_base64(text), key, F.lit("ECB"), F.lit("PKCS")))
+    data = decode_base64(text)
+    # even an empty text is encrypted to a whole block, so no bytes at all are not a text
+    return F.when(F.octet_length(data) > 0, decode_utf8(F.try_aes_decrypt(data, key, F.lit("ECB"), F.lit("PKCS"))))
 
 
 def encrypt_text(text: Column, key: Column | str) -> Column:
