@@ -105,11 +105,13 @@ def select_k_best(df: DataFrame, label: str, features: Sequence[str], k: int = 2
 
 
 def price_classes(df: DataFrame, column: str, classes: int, out: str) -> DataFrame:
-    """Adds a class 0..classes-1 by cut points at evenly spaced quantiles of the column."""
-    points = F.array(*[F.lit(i / classes) for i in range(1, classes)])
-    cuts = sorted(set(df.agg(F.percentile_approx(F.col(column).cast("double"), points, 10_000)).first()[0] or []))
+    """Adds a class 0..classes-1 by the values at evenly spaced ranks of the column; a value at a cut
+    belongs to the lower class."""
+    total = df.agg(F.count(column)).first()[0]
+    ranks = sorted({max(math.ceil(total * i / classes) - 1, 0) for i in range(1, classes)}) if total else []
+    found = order_statistics(df, {column: ranks}, {column: total})
     index = F.lit(0)
-    for cut in cuts:
+    for cut in sorted({found[(column, rank)] for rank in ranks}):
         index = index + F.when(F.col(column) > F.lit(cut), 1).otherwise(0)
     return df.withColumn(out, F.when(F.col(column).isNotNull(), index))
 

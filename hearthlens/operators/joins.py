@@ -34,10 +34,10 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left"
         raise ValueError("how is 'left' or 'inner'")
     if fits_broadcast(lookup, rows):
         return facts.join(F.broadcast(lookup), key, how)
-    # every key with at least this share is in the list; others may be too, which does no harm
+    # every key with at least this share is in the list, and the list has at most about 1 / share keys
     hot = [k for k in facts.where(F.col(key).isNotNull()).stat.freqItems([key], hot_share).first()[0]]
     hot_lookup = lookup.where(F.col(key).isin(hot)) if hot else lookup.limit(0)
-    if hot and not fits_broadcast(hot_lookup, rows):
+    if hot and not fits_broadcast(hot_lookup, len(hot)):
         raise ValueError(f"{key} is not unique in the lookup table")
     is_hot = F.col(key).isNull() | (F.col(key).isin(hot) if hot else F.lit(False))
     spread = facts.where(is_hot).join(F.broadcast(hot_lookup), key, how)

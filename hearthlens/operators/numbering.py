@@ -19,35 +19,27 @@ MAX_RANGES = 10_000
 
 
 def _cuts(df: DataFrame, column: str, ranges: int) -> list[float]:
+    """Range starts at evenly spaced quantiles. A value that fills several quantiles gets a range of
+    its own, ended by the next representable number."""
     points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    found = df.agg(F.percentile_approx(F.col(column).cast("double"), points, min(100 * ranges, 1_000_000))).first()[0]
-    return sorted(set(found or []))
+    found = df.agg(F.percentile_approx(F.col(column).cast("double"), points, min(100 * ranges, 1_000_000))).first()[0] or []
+    crowded = {a for a, b in zip(found, found[1:]) if a == b}
+    return sorted(set(found) | {math.nextafter(value, math.inf) for value in crowded})
 
 
 def _range_index(df: DataFrame, column: str, cuts: list[float], out: str) -> DataFrame:
     if not cuts:
         return df.withColumn(out, F.lit(0))
-    # a value equal to a cut gets a range of its own start, so ties never straddle two ranges
+    # a cut belongs to the range it starts, so equal values are always in one range
     splits = [-math.inf] + cuts + [math.inf]
     scaled = df.withColumn("__key", F.col(column).cast("double"))
     found = Bucketizer(splits=splits, inputCol="__key", outputCol="__range").transform(scaled)
     return found.withColumn(out, F.col("__range").cast("int")).drop("__key", "__range")
 
 
-def number_rows(df: DataFrame, order: str, tie: str, out: str = "row_no",
-                rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Adds 1..n in the order of the numeric column ``order``, ties by the numeric column ``tie``.
-
-    ``tie`` has to be unique among equal ``order`` values, and both have to be free of nulls. A
-    value that many rows share is divided further by ``tie``, so no task gets more than its range.
-    """
-    total = df.count()
-    ranges = min(MAX_RANGES, math.ceil(total / rows_per_range))
-    if ranges <= 1:
-        return df.withColumn(out, F.row_number().over(Window.orderBy(order, tie)))
-
+def _numbered_ranges(df: DataFrame, order: str, tie: str, ranges: int, size: int) -> DataFrame:
+    """Adds the range of a row, ``__a`` by its value and ``__b`` by its tie within a crowded value."""
     by_value = _range_index(df, order, _cuts(df, order, ranges), "__a")
-    size = math.ceil(total / ranges)
     crowded = by_value.groupBy("__a").agg(
         F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"),
     ).where((F.col("n") > 2 * size) & (F.col("first") == F.col("last"))).collect()
@@ -59,7 +51,22 @@ def number_rows(df: DataFrame, order: str, tie: str, out: str = "row_no",
             _range_index(parts, tie, inner, "__c")
             .withColumn("__b", F.when(same, F.col("__c")).otherwise(F.col("__b"))).drop("__c")
         )
+    return parts
+
+
+def number_rows(df: DataFrame, order: str, tie: str, out: str = "row_no",
+                rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Adds 1..n in the order of the numeric column ``order``, ties by the numeric column ``tie``.
+
+    ``tie`` has to be unique among equal ``order`` values, and both have to be free of nulls. A
+    value that many rows share is divided further by ``tie``, so no task gets more than its range.
+    """
+    total = df.count()
+    ranges = min(MAX_RANGES, math.ceil(total / rows_per_range))
+    if ranges <= 1:
+        return df.withColumn(out, F.row_number().over(Window.orderBy(order, tie)))
 
+    parts = _numbered_ranges(df, order, tie, ranges, math.ceil(total / ranges))
     # one row per range, so the running total and its broadcast are bounded by the number of ranges
     starts = parts.groupBy("__a", "__b").agg(F.count("*").alias("__n")).select(
         "__a", "__b", (F.sum("__n").over(Window.orderBy("__a", "__b")) - F.col("__n")).alias("__before"))

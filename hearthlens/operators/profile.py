@@ -60,9 +60,9 @@ def pearson(x: Column | str, y: Column | str) -> Column:
     return F.coalesce(_correlation(x, y), F.lit(0.0))
 
 
-def _pair_moments(columns: list[str], centers: list[float]):
-    """Sums over the rows of a partition for every pair of columns that both have a value."""
-    rows, cols = np.triu_indices(len(columns))
+def _pair_moments(columns: list[str], centers: list[float], pairs: list[tuple[int, int]]):
+    """Sums over the rows of a partition for the pairs of columns, where both have a value."""
+    rows, cols = (np.array(side) for side in zip(*pairs))
     names = np.array(columns, dtype=object)
     shift = np.array(centers)
 
@@ -83,11 +83,34 @@ def _pair_moments(columns: list[str], centers: list[float]):
     return moments
 
 
+def _wide_correlations(df: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
+    """(a, b, r) of the pairs from one pass: each partition sums its products as matrices, and only
+    those sums are shuffled, one small row per pair and partition.
+
+    The sums are taken about the mean of a few rows. Any point near the data will do there: it keeps
+    the digits that raw sums of squares lose, and drops out of the result.
+    """
+    few = df.limit(1000).agg(*[F.avg(c) for c in columns]).first()
+    centers = [m if m is not None else 0.0 for m in few]
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    sums = (
+        doubles.mapInPandas(_pair_moments(columns, centers, pairs),
+                            "a string, b string, n double, x double, y double, xx double, yy double, xy double")
+        .groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    )
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    spread_x = F.col("xx") - F.try_divide(x * x, n)
+    spread_y = F.col("yy") - F.try_divide(y * y, n)
+    # rounding leaves about 1e-16 of the sum of squares; less than that is a column that does not vary
+    varies = (spread_x > F.col("xx") * 1e-13) & (spread_y > F.col("yy") * 1e-13)
+    return sums.select("a", "b", F.when(varies, (F.col("xy") - x * y / n) / F.sqrt(spread_x * spread_y)).alias("r"))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str], narrow: int = NARROW) -> DataFrame:
     """All pairs (col_a, col_b, r) over the rows that have both values; null for a constant.
 
-    Few columns are one aggregation inside the JVM. For many, each partition sums its pair products
-    as matrices, and only those sums are shuffled: one small row per pair and partition.
+    Few columns are one aggregation inside the JVM. Many would be thousands of aggregation buffers
+    per task, so their products are summed as matrices.
     """
     columns = list(columns)
     if len(columns) <= narrow:
@@ -100,29 +123,21 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], narrow: int = NARR
         ]
         return row.select(F.inline(F.array(*cells)))
 
-    means = df.agg(*[F.avg(c) for c in columns]).first()
-    centers = [m if m is not None else 0.0 for m in means]
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    sums = (
-        doubles.mapInPandas(_pair_moments(columns, centers),
-                            "a string, b string, n double, x double, y double, xx double, yy double, xy double")
-        .groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
-    )
-    n, x, y = F.col("n"), F.col("x"), F.col("y")
-    spread_x = F.col("xx") - F.try_divide(x * x, n)
-    spread_y = F.col("yy") - F.try_divide(y * y, n)
-    # rounding leaves about 1e-16 of the raw sum; less than that is a column that does not vary
-    varies = (spread_x > F.col("xx") * 1e-13) & (spread_y > F.col("yy") * 1e-13)
-    r = F.when(varies, (F.col("xy") - x * y / n) / F.sqrt(spread_x * spread_y))
-    upper = sums.select("a", "b", r.alias("r"))
+    upper = _wide_correlations(df, columns, [(i, j) for i in range(len(columns)) for j in range(i, len(columns))])
     both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
         F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     return upper.select(F.explode(both).alias("p"), "r").select(
         F.col("p.a").alias("col_a"), F.col("p.b").alias("col_b"), "r")
 
 
-def target_correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """(feature, r, abs_r) of every feature with the target, from one aggregation."""
+def target_correlations(df: DataFrame, features: Sequence[str], target: str, narrow: int = NARROW) -> DataFrame:
+    """(feature, r, abs_r) of every feature with the target, 0.0 where a side does not vary."""
+    features = list(features)
+    if len(features) > narrow:
+        columns = features + [target]
+        found = _wide_correlations(df, columns, [(i, len(features)) for i in range(len(features))])
+        r = F.coalesce("r", F.lit(0.0))
+        return found.select(F.col("a").alias("feature"), r.alias("r"), F.abs(r).alias("abs_r"))
     row = df.agg(*[pearson(c, target).alias(f"r{i}") for i, c in enumerate(features)])
     cells = [F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("r"), F.abs(F.col(f"r{i}")).alias("abs_r"))
              for i, c in enumerate(features)]

@@ -16,6 +16,16 @@ def not_equal(column: str, value) -> Column:
     return ~F.col(column).eqNullSafe(F.lit(value))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Gives every core a part of a scan that has too few: heavy work per row on a file or two would
+    otherwise run in one task. A scan with enough partitions, as of any large table, is left alone.
+
+    Meant for scans: counting the partitions of a shuffle would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that cost much to compute, once per row however often they are used later.
 

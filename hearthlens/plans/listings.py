@@ -13,6 +13,7 @@ from hearthlens.functions.listing import parse_listings
 from hearthlens.operators import encode
 from hearthlens.operators.clean import Rule, apply_rules, listing_rules
 from hearthlens.operators.joins import lookup_join
+from hearthlens.operators.select import spread
 from hearthlens.plans.registry import table
 from hearthlens.session import fresh_path
 
@@ -45,7 +46,7 @@ def cities(spark: SparkSession, folder: str) -> DataFrame:
 
 def listing_raw(spark: SparkSession, folder: str) -> DataFrame:
     """One listing per order: id, city and the text fields of a listing card plus its tags."""
-    orders = table(spark, folder, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    orders = spread(table(spark, folder, "orders")).withColumnRenamed("o_custkey", "c_custkey")
     customers = table(spark, folder, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", F.col("c_nationkey").alias("city_key"))
     joined = lookup_join(lookup_join(orders, customers, "c_custkey", "inner"), cities(spark, folder), "city_key", "inner")
     area = f"cast(cast(floor(o_totalprice / ({AREA_PRICE})) as int) + 20 as string)"
@@ -65,13 +66,6 @@ def listing_raw(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def stored_listings(spark: SparkSession, folder: str) -> DataFrame:
-    """The raw listings as collection leaves them: written once, then scanned."""
-    path = fresh_path(spark, "listing_raw")
-    listing_raw(spark, folder).write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def parsed(raw: DataFrame) -> DataFrame:
     """The raw listing with its typed attributes."""
     return parse_listings(raw, ["id", "city", "title", "tags"])
@@ -115,8 +109,17 @@ def city_macro(spark: SparkSession, folder: str) -> DataFrame:
 
 def listing_features(spark: SparkSession, folder: str) -> DataFrame:
     """Parsed, cleaned and encoded listings with the figures of their city: the modelling table."""
-    listings = encoded(apply_rules(parsed(stored_listings(spark, folder)), rules()))
-    return lookup_join(listings, city_macro(spark, folder), "city")
+    listings = encoded(apply_rules(parsed(listing_raw(spark, folder)), rules()))
+    path = fresh_path(spark, "city_macro")
+    city_macro(spark, folder).write.parquet(path)  # one row per city: summed once, then checked and joined
+    return lookup_join(listings, spark.read.parquet(path), "city")
+
+
+def stored_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The modelling table written once, for work that reads it several times."""
+    path = fresh_path(spark, "listing_features")
+    listing_features(spark, folder).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 # The same attributes straight from the given columns, for checking the parsed ones.

@@ -13,6 +13,7 @@ from hearthlens.plans import listings, reports
 from hearthlens.plans.listings import LISTING_SQL, MACRO_SQL
 from hearthlens.plans.registry import query, table
 from hearthlens.schemas import TAGS
+from hearthlens.session import fresh_path
 
 CITY_ORDERS = "orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
 # every fifth price band is shown as zero, so that zeros have to be left out
@@ -76,7 +77,9 @@ WIDE = ["room", "hall", "area", "orientation", "furnishment", "level", "height",
     f"""select '{a}' as col_a, '{b}' as col_b, round(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 6) + 0.0 as r
 from listing where {a} is not null and {b} is not null""" for a in WIDE for b in WIDE) + ")")
 def wide_correlation_matrix(spark, folder):
-    rows = listings.encoded(listings.parsed(listings.stored_listings(spark, folder)))
+    path = fresh_path(spark, "encoded")
+    listings.encoded(listings.parsed(listings.listing_raw(spark, folder))).select(*WIDE).write.parquet(path)
+    rows = spark.read.parquet(path)
     return profile.correlation_matrix(rows, WIDE).select("col_a", "col_b", F.round("r", 6).alias("r"))
 
 
@@ -204,14 +207,14 @@ def report_city_counts(spark, folder):
 @query(f"""with {LISTING_SQL} select city, round(avg(u_price), 4) as mean_unit_price from listing where u_price is distinct from 0
 group by 1 order by 2 desc nulls last, 1""")
 def report_city_unit_price(spark, folder):
-    rows = listings.parsed(listings.stored_listings(spark, folder))
+    rows = listings.parsed(listings.listing_raw(spark, folder))
     return reports.city_unit_price(rows, "u_price").select("city", F.round("mean_unit_price", 4).alias("mean_unit_price"))
 
 
 @query(f"""with {LISTING_SQL} select city, round(avg(t_price), 4) as mean_total_price from listing where t_price is distinct from 0
 group by 1 order by 2 desc nulls last, 1""")
 def report_city_total_price(spark, folder):
-    rows = listings.parsed(listings.stored_listings(spark, folder))
+    rows = listings.parsed(listings.listing_raw(spark, folder))
     return reports.city_total_price(rows, "t_price").select("city", F.round("mean_total_price", 4).alias("mean_total_price"))
 
 
@@ -230,7 +233,7 @@ found as (select split, cast(case when v >= cap then 41 else least(floor(v / (ca
 select p.split, cast(b.bin as integer) as bin, round(b.bin * (select cap / 42 from cap), 4) as lower, coalesce(f.n, 0) as n
 from (select distinct split from s) p cross join bins b left join found f on f.split = p.split and f.bin = b.bin""")
 def report_target_histograms(spark, folder):
-    rows = reports.split_listings(listings.listing_features(spark, folder))
+    rows = reports.split_listings(listings.stored_features(spark, folder))
     return reports.target_histograms(rows).select("split", "bin", F.round("lower", 4).alias("lower"), "n")
 
 
@@ -255,7 +258,7 @@ HEAT = FEATURES + ["gdp", "region", "green_rate", "c_population", "c_area", "c_w
     f"select '{a}' as col_a, '{b}' as col_b, round(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 5) + 0.0 as r from f"
     for a in HEAT for b in HEAT) + ")")
 def report_heat_map(spark, folder):
-    rows = listings.listing_features(spark, folder)
+    rows = listings.stored_features(spark, folder)
     return profile.correlation_matrix(rows, HEAT).select("col_a", "col_b", F.round("r", 5).alias("r"))
 
 
@@ -297,7 +300,7 @@ s as (select t_price as y, m as p, 'mean' as model from cleaned, g
   union all select t_price, area * a + b, 'line' from cleaned, g union all select t_price, area * 4, 'rule' from cleaned)
 select model, rmse, mape, explained_variance from (select model, {METRICS} from s where y > 0 group by 1)""")
 def model_comparison(spark, folder):
-    rows = listings.listing_features(spark, folder).select(F.col("t_price").alias("label"), F.col("area"))
+    rows = listings.stored_features(spark, folder).select(F.col("t_price").alias("label"), F.col("area"))
     fit = rows.agg(F.regr_slope("label", "area").alias("a"), F.regr_intercept("label", "area").alias("b"), F.avg("label").alias("m")).first()
     scored = rows.where("label > 0").select("label", F.lit(fit["m"]).alias("mean"), (F.col("area") * fit["a"] + fit["b"]).alias("line"),
                                             (F.col("area") * 4).alias("rule"))

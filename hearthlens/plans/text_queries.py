@@ -8,6 +8,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from hearthlens.functions import codec, markup, numeric, text
 from hearthlens.functions.listing import follow_info_columns
 from hearthlens.operators import clean, encode
+from hearthlens.operators.select import spread
 from hearthlens.plans import listings
 from hearthlens.plans.listings import LISTING_SQL, MACRO_SQL
 from hearthlens.plans.registry import query, table
@@ -31,7 +32,7 @@ select page_id, cast(i - 1 as integer) as pos, regexp_extract(links[i], '>([^<]*
   regexp_extract(links[i], 'href="([^"]*)"', 1) as href
 from (select *, unnest(range(1, len(links) + 1)) as i from a)""")
 def page_links(spark, folder):
-    return markup.page_links(table(spark, folder, "pages"), "html", ["page_id"])
+    return markup.page_links(spread(table(spark, folder, "pages")), "html", ["page_id"])
 
 
 LINK_ROWS = """with a as (select page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) as links from pages),
@@ -41,7 +42,7 @@ r as (select page_id, unnest(links) as href from a)"""
 @query(f"""{LINK_ROWS} select page_id, href, count(*) as n from r where regexp_matches(href, '^/[a-z]') group by 1, 2""")
 def matching_anchors(spark, folder):
     found = markup.matching_anchors(F.col("html"), {"href": "^/[a-z]"})
-    return table(spark, folder, "pages").select("page_id", F.explode(found).alias("href")).groupBy("page_id", "href").agg(
+    return spread(table(spark, folder, "pages")).select("page_id", F.explode(found).alias("href")).groupBy("page_id", "href").agg(
         F.count("*").alias("n"))
 
 
@@ -49,7 +50,7 @@ def matching_anchors(spark, folder):
 def image_sources(spark, folder):
     """The pages have no images, so their links are turned into some."""
     shown = F.replace("html", F.lit("<a href="), F.lit('<img class="i71-img" src='))
-    return table(spark, folder, "pages").select("page_id", F.explode(markup.image_sources(shown)).alias("source")).groupBy(
+    return spread(table(spark, folder, "pages")).select("page_id", F.explode(markup.image_sources(shown)).alias("source")).groupBy(
         "page_id", "source").agg(F.count("*").alias("n"))
 
 
@@ -59,7 +60,7 @@ from (select *, unnest(range(1, len(found) + 1)) as i from f) where length(found
 union all select page_id, cast(len(found) as integer), 'image', url from f""")
 def article_fragments(spark, folder):
     """Every page gets an encrypted image address at its end and one that does not decrypt."""
-    pages = table(spark, folder, "pages")
+    pages = spread(table(spark, folder, "pages"))
     image = F.concat(F.lit(' data-src="'), codec.encrypt_text(F.col("url"), TEST_KEY), F.lit('" data-src="%%%"'))
     return markup.article_fragments(pages.select("page_id", F.concat("html", image).alias("html")), "html", ["page_id"], TEST_KEY)
 
@@ -68,7 +69,7 @@ def article_fragments(spark, folder):
 def page_counts(spark, folder):
     total = F.when(F.col("lang") == "de", F.lit("many")).otherwise(F.col("n_chars").cast("string"))
     html = F.concat(F.lit('<div class="fc-main"></div><div class="page-box clear" data-total-count="'), total, F.lit('"></div>'))
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         "doc_id", numeric.page_count(markup.attribute_of_class(html, "page-box", "data-total-count")).alias("pages"))
 
 
@@ -76,25 +77,25 @@ def page_counts(spark, folder):
 def page_data_attribute(spark, folder):
     data = F.when(F.col("event_type") == "error", F.lit("no data")).otherwise(
         F.concat(F.lit('{"totalPage":'), F.get_json_object("props", "$.k"), F.lit(',"curPage":1}')))
-    return table(spark, folder, "events").select("event_id", numeric.attribute_number(data).alias("pages"))
+    return spread(table(spark, folder, "events")).select("event_id", numeric.attribute_number(data).alias("pages"))
 
 
 @query("""select doc_id, text as decoded from documents where source <> 'src0'""")
 def decrypted_texts(spark, folder):
     stored = F.when(F.col("source") == "src0", F.lit("%%% not base64")).otherwise(codec.encrypt_text(F.col("text"), TEST_KEY))
-    docs = table(spark, folder, "documents").select("doc_id", stored.alias("stored"))
+    docs = spread(table(spark, folder, "documents")).select("doc_id", stored.alias("stored"))
     return docs.select("doc_id", codec.decrypt_text(F.col("stored"), TEST_KEY).alias("decoded")).where("decoded is not null")
 
 
 @query("select doc_id, md5(text) as digest, length(text) as chars from documents")
 def decoded_base64(spark, folder):
     back = codec.decode_utf8(codec.decode_base64(F.base64(F.encode("text", "UTF-8"))))
-    return table(spark, folder, "documents").select("doc_id", F.md5(back).alias("digest"), F.length(back).cast("bigint").alias("chars"))
+    return spread(table(spark, folder, "documents")).select("doc_id", F.md5(back).alias("digest"), F.length(back).cast("bigint").alias("chars"))
 
 
 @query("""select page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as escaped from pages""")
 def escaped_markup(spark, folder):
-    return table(spark, folder, "pages").select("page_id", text.escape_markup(F.col("html")).alias("escaped"))
+    return spread(table(spark, folder, "pages")).select("page_id", text.escape_markup(F.col("html")).alias("escaped"))
 
 
 @query("select o_orderkey, printf('%.2f', o_totalprice / 1000) as shown from orders")
@@ -121,7 +122,7 @@ def _payload() -> F.Column:
   cast(user_id as varchar) as "extra.user", event_type as tags from events where event_type <> 'error'
 union all select event_id, '/none', null, null, null, null from events where event_type <> 'error'""")
 def json_flatten(spark, folder):
-    events = table(spark, folder, "events").select("event_id", _payload().alias("payload"))
+    events = spread(table(spark, folder, "events")).select("event_id", _payload().alias("payload"))
     return json_items(events, "payload", ITEM, ["event_id"])
 
 
@@ -130,7 +131,7 @@ def json_flatten(spark, folder):
   union all select event_type, null, null from events where event_type <> 'error'
   union all select event_type, null, json_extract(props, '$.k') from events where event_type = 'click') group by 1""")
 def json_pages_of_two_shapes(spark, folder):
-    events = table(spark, folder, "events")
+    events = spread(table(spark, folder, "events"))
     first = json_items(events.select("event_type", _payload().alias("payload")), "payload", ITEM, ["event_type"])
     rooms = F.to_json(F.struct(F.struct(F.array(F.struct(F.get_json_object("props", "$.k").cast("int").alias("rooms"))).alias("list")).alias("data")))
     shape = StructType([StructField("rooms", LongType())])
@@ -195,13 +196,13 @@ def listing_cards(spark, folder):
 
 @query(f"""with {LISTING_SQL} select id, room, hall, area, orientation, furnishment, level, height, architecture from listing""")
 def house_info_parsed(spark, folder):
-    rows = listings.encoded(listings.parsed(listings.stored_listings(spark, folder)))
+    rows = listings.encoded(listings.parsed(listings.listing_raw(spark, folder)))
     return rows.select("id", "room", "hall", "area", "orientation", "furnishment", "level", "height", "architecture")
 
 
 @query(f"""with {LISTING_SQL} select id, follower, span, t_price, u_price from listing""")
 def follow_and_price_parsed(spark, folder):
-    return listings.parsed(listings.stored_listings(spark, folder)).select("id", "follower", "span", "t_price", "u_price")
+    return listings.parsed(listings.listing_raw(spark, folder)).select("id", "follower", "span", "t_price", "u_price")
 
 
 @query("""select p_partkey, split_part(p_name, ' ', 1) as token from part""")
@@ -233,7 +234,7 @@ def text_tags(spark, folder):
   cast(contains(text, '@') as integer) as address from documents""")
 def document_tags(spark, folder):
     found = encode.tags(F.col("text"), {"license": ["license", "License"], "address": ["@"]})
-    return table(spark, folder, "documents").select("doc_id", *[c.alias(n) for n, c in found.items()])
+    return spread(table(spark, folder, "documents")).select("doc_id", *[c.alias(n) for n, c in found.items()])
 
 
 FUNNEL_DISTINCT = ["city", "room", "hall", "orientation_text", "furnishment_text", "level_text", "architecture_text"]
@@ -252,18 +253,18 @@ FUNNEL_DISTINCT = ["city", "room", "hall", "orientation_text", "furnishment_text
 )
 select step, rule, removed, cast((select count(*) from listing) - sum(removed) over (order by step) as bigint) as remaining from counts""")
 def cleaning_funnel(spark, folder):
-    return clean.funnel(listings.parsed(listings.stored_listings(spark, folder)), listings.rules(), FUNNEL_DISTINCT)
+    return clean.funnel(listings.parsed(listings.listing_raw(spark, folder)), listings.rules(), FUNNEL_DISTINCT)
 
 
 @query(f"with {LISTING_SQL} select id, city, t_price, level, height from cleaned")
 def cleaned_listings(spark, folder):
-    kept = clean.apply_rules(listings.parsed(listings.stored_listings(spark, folder)), listings.rules())
+    kept = clean.apply_rules(listings.parsed(listings.listing_raw(spark, folder)), listings.rules())
     return listings.encoded(kept).select("id", "city", "t_price", "level", "height")
 
 
 @query("select lang, count(*) as n from (select distinct lang, source, text from documents) group by 1")
 def distinct_documents(spark, folder):
-    docs = table(spark, folder, "documents").select("lang", "source", "text")
+    docs = spread(table(spark, folder, "documents")).select("lang", "source", "text")
     return clean.drop_duplicates(docs).groupBy("lang").agg(F.count("*").alias("n"))
 
 

@@ -251,3 +251,25 @@ def test_best_iteration_takes_the_earliest(spark):
     df = spark.createDataFrame([(0, 5.0), (1, 3.0), (2, 3.0), (3, 4.0)], "iter long, RMSE double")
     row = evaluate.best_iteration(df).first()
     assert (row["iterations"], row["first_value"], row["last_value"], row["best_value"], row["best_iter"]) == (4, 5.0, 4.0, 3.0, 1)
+
+
+def test_both_target_correlation_ways_agree(spark):
+    rng = np.random.default_rng(1)
+    rows = [tuple(float(v) if rng.random() > 0.1 else None for v in row) + (7.0,) for row in rng.normal(size=(300, 3)) + [0, 1e6, 5]]
+    df = spark.createDataFrame(rows, "a double, b double, y double, c double").repartition(3)
+    ways = [{r["feature"]: r["r"] for r in profile.target_correlations(df, ["a", "b", "c"], "y", narrow=n).collect()} for n in (8, 0)]
+    assert ways[0]["c"] == ways[1]["c"] == 0.0
+    assert ways[0] == pytest.approx(ways[1], abs=1e-9)
+    empty = df.where("a > 1e9")
+    assert [r["r"] for r in profile.target_correlations(empty, ["a", "b"], "y").collect()] == [0.0, 0.0]
+
+
+def test_no_range_takes_much_more_than_its_share(spark):
+    """A third of all rows share one value, which sits among other values."""
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 500).otherwise((F.col("id") * 37) % 1000).alias("v"))
+    parts = numbering._numbered_ranges(df.coalesce(2), "v", "id", 30, 200)
+    largest = parts.groupBy("__a", "__b").count().agg(F.max("count")).first()[0]
+    assert largest <= 500
+    found = numbering.number_rows(df, "v", "id", rows_per_range=200)
+    expected = sorted((r["v"], r["id"]) for r in df.collect())
+    assert [(r["v"], r["id"]) for r in found.orderBy("row_no").collect()] == expected
