@@ -47,6 +47,13 @@ def importance_bars(importances: DataFrame) -> DataFrame:
     return rank_small(importances, "importance", "feature").orderBy("rank")
 
 
+def chart_series(report: DataFrame, name: str, value: str) -> tuple[list, list]:
+    """Names and values of an aggregated report as two lists, in its order. Meant for the report
+    tables of this module, which have one row per city, bin, tag or feature."""
+    rows = report.select(name, value).collect()
+    return [row[0] for row in rows], [row[1] for row in rows]
+
+
 def class_points(points: DataFrame, label: str = "y") -> DataFrame:
     """Points by class; rows of other classes are not drawn."""
     name = F.when(F.col(label).isin(1), "Positive").when(F.col(label).isin(0), "Negative")

@@ -109,3 +109,32 @@ def test_incremental_load_adds_each_entity_once(spark):
 
 def test_shared_folder_is_the_session_setting(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+class _Context:
+    applicationId = "app-1"
+
+    def __init__(self, master):
+        self.master = master
+        self.checkpoints = None
+
+    def getCheckpointDir(self):
+        return self.checkpoints
+
+    def setCheckpointDir(self, folder):
+        self.checkpoints = folder
+
+
+class _Session:
+    def __init__(self, master, setting=None):
+        self.sparkContext = _Context(master)
+        self.conf = {"spark.checkpoint.dir": setting} if setting else {}
+
+
+def test_only_a_local_session_gets_a_folder_of_its_own():
+    local = _Session("local[2]")
+    assert shared_folder(local) == shared_folder(local) == local.sparkContext.checkpoints
+    named = _Session("spark://host:7077", "/shared/spark")
+    assert shared_folder(named) == "/shared/spark" == named.sparkContext.checkpoints
+    with pytest.raises(RuntimeError):
+        shared_folder(_Session("spark://host:7077"))
