@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from hearthlens.plans.registry import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 FITS = ("forest", "stacked", "svm", "boosting", "cross_validated")
@@ -31,7 +32,7 @@ def rows_of(records, columns):
     return sorted(rows, key=lambda row: tuple((v is None, str(type(v) if not isinstance(v, (int, float)) else float), v if v is not None else 0) for v in row))
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, database, name):
     df = entry.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
@@ -49,4 +50,5 @@ def test_entry(spark):
 
 
 def test_every_query_without_sql_fits_a_model():
-    assert all(any(word in name for word in FITS) for name in set(entry.queries()) - set(entry.oracle_sql()))
+    own = set(QUERIES) - set(SQL)
+    assert all(any(word in name for word in FITS) for name in own)
