@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthlens.llm import language, minhash, packing, tokens, toxicity
+from hearthlens.llm import language, minhash, packing, toxicity
 from hearthlens.llm.common import emptied, free_name
 from hearthlens.session import fresh_path
 
@@ -43,7 +43,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens, with their ids."""
-    return packing.pack(tokens.tokenised(docs, public_tokenizers.path("byte_bpe_50k.json"), 1), 2048)
+    return packing.pack(packing.text_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 1, 2048), 2048)
 
 
 STAGES = [("language", language_stage), ("toxicity", toxicity_stage), ("near_dedup", dedup_stage), ("packing", packing_stage)]

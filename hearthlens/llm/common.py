@@ -1,11 +1,10 @@
-"""What the operators share: worker code, working tables, free column names and batches."""
+"""What the operators share: worker code, working tables and free column names."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,21 +45,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def runs(texts: Iterable[str | None], size: int = 1 << 20) -> Iterator[list[str]]:
-    """Consecutive texts in runs of about so many characters; a longer text is a run by itself and a
-    missing text is an empty one."""
-    run, held = [], 0
-    for text in texts:
-        text = text or ""
-        if run and held + len(text) > size:
-            yield run
-            run, held = [], 0
-        run.append(text)
-        held += len(text)
-    if run:
-        yield run
-
-
 def emptied(spark: SparkSession, path: str) -> None:
     """Removes the files of a working folder that nothing reads any more."""
     spark.range(0).selectExpr("cast(id as string) as value").coalesce(1).write.mode("overwrite").text(path)

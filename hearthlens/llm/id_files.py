@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hearthlens.llm.common import ship, stored
-from hearthlens.llm.tokens import encoder
+from hearthlens.llm.tokens import encoder, id_batches
 
 MAGIC = b"TKIDX001"
 HEAD = struct.Struct("<8sIIIIQ")
@@ -193,21 +193,21 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int | None, k
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary)
-        tail = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         keys, ids, held = [], [], 0
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist())):
-                keys.append(name)
-                ids.append(raw + tail)
-                held += len(raw) // 2 + 40
-                # equal keys stay together, unless they alone are more than a shard
-                if held >= shard_bytes and (keys[0] != name or held >= 4 * shard_bytes):
-                    last = len(keys)
-                    while keys[0] != name and last and keys[last - 1] == name:
-                        last -= 1
-                    yield _file(write_shard(keys[:last], ids[:last]))
-                    keys, ids = keys[last:], ids[last:]
-                    held = sum(len(raw) // 2 + 40 for raw in ids)
+        rows = (row for batch in batches for part in id_batches(batch.column(0), tokens.encode(batch.column(1)), end_id)
+                for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+        for name, raw in rows:
+            keys.append(name)
+            ids.append(raw)
+            held += len(raw) // 2 + 40
+            # equal keys stay together, unless they alone are more than a shard
+            if held >= shard_bytes and (keys[0] != name or held >= 4 * shard_bytes):
+                last = len(keys)
+                while keys[0] != name and last and keys[last - 1] == name:
+                    last -= 1
+                yield _file(write_shard(keys[:last], ids[:last]))
+                keys, ids = keys[last:], ids[last:]
+                held = sum(len(raw) // 2 + 40 for raw in ids)
         if keys:
             yield _file(write_shard(keys, ids))
 

@@ -18,11 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from hearthlens.llm.common import ship
+from hearthlens.llm.tokens import encoder
 
 #: Gaps of a sequence below this are left as padding instead of cutting a document once more.
 LEAST_CUT = 24
 
 PIECE = [("start", pa.int64()), ("length", pa.int32()), ("doc_tokens", pa.int64()), ("raw", pa.binary())]
+PIECE_FIELDS = "start long, length int, doc_tokens long, raw binary"
 PACKED = [("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
           ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
@@ -87,32 +89,68 @@ def plan(sizes: list[int], capacity: int, least_cut: int = LEAST_CUT) -> list[li
     return [b for b in bins if b]
 
 
-def pack(tokens: DataFrame, length: int = 2048, group_pieces: int = 4096, seed: int = 7, key: str = "doc_id",
-         ids: str = "ids") -> DataFrame:
-    """One row per piece: key, start, length, ids, doc_tokens, sequence_id and offset.
+def _cut(keys: pa.Array, flat: np.ndarray, counts: np.ndarray, length: int) -> pa.RecordBatch:
+    """The pieces of documents whose ids follow one another in ``flat``, in 2 bytes an id if they fit."""
+    pieces = -(-counts // length)
+    row = np.repeat(np.arange(len(counts)), pieces)
+    start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * length
+    size = np.minimum(counts[row] - start, length)
+    width = 4 if flat.size and flat.max() > 0xFFFF else 2
+    bounds = (width * np.concatenate([[0], np.cumsum(size)])).astype(np.int32)
+    raw = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(flat.astype(f"<u{width}").tobytes())])
+    return pa.RecordBatch.from_arrays(
+        [keys.take(pa.array(row)), pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(counts[row], pa.int64()), raw],
+        ["key", *(name for name, _ in PIECE)])
 
-    ``ids`` of the input are little-endian unsigned 32-bit integers, as ``tokenised`` gives them. A
-    document without ids has no piece; repeated rows are packed as often as they occur; a null key is
-    a key like any other. ``sequence_id`` is unique and has no meaning beyond that; in a sequence the
-    offsets run from 0 without a gap.
-    """
+
+def text_pieces(docs: DataFrame, vocabulary: str, end_id: int | None, length: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The pieces of the ids of whole texts, each followed by ``end_id``, encoded and cut in one pass. A
+    null text is empty; repeated rows and null keys stay; other columns are not read."""
+    ship(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = encoder(vocabulary)
+        for batch in batches:
+            at = 0
+            for flat, counts in tokens.encode(batch.column(1)):
+                keys = batch.column(0).slice(at, len(counts))
+                at += len(counts)
+                if end_id is not None:
+                    flat, counts = np.insert(flat, np.cumsum(counts), np.uint32(end_id)), counts + 1
+                yield _cut(keys, flat, counts, length)
+
+    return docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(
+        pieces, f"key {kind}, {PIECE_FIELDS}").withColumnRenamed("key", key)
+
+
+def token_pieces(tokens: DataFrame, length: int = 2048, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """The pieces of ids that are already there, as little-endian unsigned 32-bit integers. A document
+    without ids has no piece; repeated rows and null keys stay; other columns are not read."""
     ship(tokens.sparkSession)
     kind = tokens.schema[key].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, held = [], 0
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                whole = np.frombuffer(raw or b"", dtype="<u4")
-                wide = whole.size and whole.max() > 0xFFFF
-                for at in range(0, whole.size, length):
-                    part = whole[at:at + length]
-                    rows.append((name, at, part.size, whole.size, part.astype("<u4" if wide else "<u2").tobytes()))
-                held += whole.size
-                if held > 8 << 20:
-                    yield _batch(rows, PIECE, batch.schema.field(0).type)
-                    rows, held = [], 0
-            yield _batch(rows, PIECE, batch.schema.field(0).type)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                raws = [raw or b"" for raw in part.column(1).to_pylist()]
+                counts = np.fromiter(map(len, raws), dtype=np.int64, count=len(raws)) // 4
+                yield _cut(part.column(0), np.frombuffer(b"".join(raws), dtype="<u4"), counts, length)
+
+    return tokens.select(F.col(key).alias("__key"), F.col(ids).alias("__ids")).mapInArrow(
+        pieces, f"key {kind}, {PIECE_FIELDS}").withColumnRenamed("key", key)
+
+
+def pack(pieces: DataFrame, length: int = 2048, group_pieces: int = 4096, seed: int = 7, key: str = "doc_id") -> DataFrame:
+    """One row per piece: key, start, length, ids, doc_tokens, sequence_id and offset.
+
+    ``pieces`` are what ``text_pieces`` or ``token_pieces`` give for the same length. ``ids`` are
+    little-endian unsigned 32-bit integers. ``sequence_id`` is unique and has no meaning beyond that; in
+    a sequence the offsets run from 0 without a gap.
+    """
+    ship(pieces.sparkSession)
+    kind = pieces.schema[key].dataType.simpleString()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, group, held, kind = TaskContext.get().partitionId() << 44, 0, [], None
@@ -125,9 +163,7 @@ def pack(tokens: DataFrame, length: int = 2048, group_pieces: int = 4096, seed:
         if held:
             yield _batch(_packed(held, length, base + (group << 20)), PACKED, kind)
 
-    cut = tokens.select(F.col(key).alias("__key"), F.col(ids).alias("__ids")).mapInArrow(
-        pieces, f"key {kind}, start long, length int, doc_tokens long, raw binary")
-    dealt = cut.withColumn("deal", F.xxhash64("key", "start", F.lit(seed)))
+    dealt = pieces.withColumnRenamed(key, "key").withColumn("deal", F.xxhash64("key", "start", F.lit(seed)))
     return (
         dealt.repartition("deal").sortWithinPartitions("deal", "key", "start").drop("deal")
         .mapInArrow(packed, f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthlens.llm import (fingerprints, id_files, language, minhash, packing, token_counts, tokens, topk, toxicity,
+from hearthlens.llm import (fingerprints, id_files, language, minhash, packing, token_counts, topk, toxicity,
                             transducer, warc)
 from hearthlens.llm.common import emptied
 from hearthlens.plans.registry import table
@@ -38,7 +38,7 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Packs every document into sequences of 2048 tokens."""
-    pieces = packing.pack(tokens.tokenised(table(spark, folder, "documents"), BYTE_BPE, 1), 2048)
+    pieces = packing.pack(packing.text_pieces(table(spark, folder, "documents"), BYTE_BPE, 1, 2048), 2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

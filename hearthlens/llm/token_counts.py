@@ -10,14 +10,14 @@ alike share that work, and the node at the end of a pre-token is its stored coun
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hearthlens.llm.common import runs, ship
-from hearthlens.llm.tokens import PieceTable, UnitTable
+from hearthlens.llm.common import ship
+from hearthlens.llm.tokens import Codes, PieceTable, UnitTable
 from hearthlens.llm.transducer import read_ranks
 
 #: Nodes that a worker keeps; a larger trie is dropped and grown anew, so memory stays bounded.
@@ -81,17 +81,22 @@ class Counter:
     def __init__(self, scores: dict[bytes, float], pattern: str):
         self.pieces = PieceTable(pattern, ForwardTrie(scores).insert)
 
-        def compute(units: list[str]) -> list[int]:
-            return [len(counts) << 40 | sum(counts) for counts in self.pieces.lookup(units)]
+        def compute(units: list[str]) -> Codes:
+            """Two numbers for each unit: its pre-tokens and its tokens."""
+            counts = self.pieces.lookup(units)
+            both = np.array([(len(c), sum(c)) for c in counts], dtype="<u4").reshape(-1)
+            return both, np.full(len(units), 2, dtype=np.int64)
 
         self.units = UnitTable(compute)
 
-    def count(self, texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
-        for run in runs(texts):
-            known = self.units.known
-            for first, rest in self.units.lookup(run):
-                both = first + sum(map(known.__getitem__, rest))
-                yield both >> 40, both & (1 << 40) - 1
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """A row of both numbers for each text; a missing text is empty."""
+        rows = [np.zeros((0, 2), dtype=np.int64)]
+        for flat, counts in self.units.texts(texts):
+            sums = np.concatenate([np.zeros((1, 2), dtype=np.int64), np.cumsum(flat.reshape(-1, 2).astype(np.int64), axis=0)])
+            ends = np.cumsum(counts // 2)
+            rows.append(sums[ends] - sums[ends - counts // 2])
+        return np.concatenate(rows)
 
 
 _COUNTERS: dict[tuple[str, str], Counter] = {}
@@ -116,9 +121,9 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(vocabulary, pattern)
         for batch in batches:
-            found = np.array(list(counts.count(batch.column(1).to_pylist())), dtype="int64").reshape(-1, 2)
+            found = counts.count(batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], ["key", "n_pretokens", "n_tokens"])
+                [batch.column(0), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["key", "n_pretokens", "n_tokens"])
 
     return (docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
             .mapInArrow(counted, f"key {kind}, n_pretokens long, n_tokens long").withColumnRenamed("key", key))

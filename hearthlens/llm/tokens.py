@@ -1,59 +1,115 @@
 """Token ids of whole texts, with the work shared by units that occur again and again.
 
-The byte-level pre-tokenizer never joins the two sides of a space that a non-space follows, so a text
-may be cut there and each unit encoded once per worker. Everything else stays in one unit, runs of
-white space included, so the ids are those of the whole text.
+A byte-level pre-tokenizer never joins the two sides of a space that a non-space follows, nor a letter
+and the ASCII punctuation after it, the apostrophe apart. A text is cut there, the distinct units of a
+batch are found by dictionary encoding, and a unit is encoded once as long as its worker remembers it.
+A text in which a space is followed by white space is encoded as a whole, so the ids are always those
+of the whole text.
 """
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from hearthlens.llm.common import runs, ship
+from hearthlens.llm.common import ship
 
-_BEFORE_SPACE = re.compile(r" (?!\S)")
-_CUT = re.compile(r" (?=\S)")
-#: A word of Latin letters, followed by nothing or by a character that no pre-token joins to it.
-_WORD = re.compile(r"( [A-Za-zÀ-ÖØ-öø-ÿ]+)(|[!-&(-/:-@\[-`{-~].*)\Z", re.S)
-#: Units that a worker keeps; a full table is emptied, so memory stays bounded.
-MAX_UNITS = 300_000
-MAX_WORDS = 600_000
+#: A space before white space or at the end, or the mark that cuts are written with.
+_WHOLE = " ([\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]|$)|\\x00"
+_LETTER_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\\[-`{-~])"
+#: Units that a worker remembers; a full table is emptied, so memory stays bounded.
+MAX_UNITS = 250_000
+#: Bytes of text that are handled at once; a longer text is handled by itself.
+RUN_BYTES = 6 << 20
 
-
-def cut(text: str) -> list[str]:
-    """The units of a text without the space before each of them but the first."""
-    return _CUT.split(text) if _BEFORE_SPACE.search(text) else text.split(" ")
+Codes = tuple[np.ndarray, np.ndarray]
 
 
 class UnitTable:
-    """Results of a function of a unit, kept between batches. ``compute`` gets a list of new units."""
+    """Numbers that a function gives to units: ``compute`` gets units, or whole texts, and returns the
+    numbers of all of them one after the other and how many each has."""
 
-    def __init__(self, compute: Callable[[list[str]], Sequence], max_units: int = MAX_UNITS):
+    def __init__(self, compute: Callable[[list[str]], Codes], max_units: int = MAX_UNITS):
         self.compute = compute
         self.max_units = max_units
-        self.known: dict[str, object] = {}
-
-    def lookup(self, texts: Sequence[str]) -> Iterator[tuple[object, list[str]]]:
-        """For each text what its first unit gives, and the keys of the others in ``known``."""
-        parts = [cut(text) for text in texts]
-        firsts = self.compute([p[0] for p in parts])
-        rest = [p[1:] for p in parts]
-        if len(self.known) > self.max_units:
-            self.known.clear()
-        new = list(set().union(*rest) - self.known.keys())
-        self.known.update(zip(new, self.compute([" " + unit for unit in new])))
-        yield from zip(firsts, rest)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.lengths = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype="<u4")
+
+    def _known(self, units: list[str]) -> np.ndarray:
+        if len(self.index) > self.max_units:
+            self._clear()
+        new = [u for u in units if u not in self.index]
+        if new:
+            flat, lengths = self.compute(new)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, flat])
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        return np.fromiter(map(self.index.__getitem__, units), dtype=np.int64, count=len(units))
+
+    def texts(self, texts: pa.Array) -> Iterator[Codes]:
+        """The numbers of consecutive texts, a missing one being empty, and how many each has."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            limit = (ends[at - 1] if at else 0) + RUN_BYTES
+            stop = max(at + 1, int(np.searchsorted(ends, limit, side="right")))
+            yield self._run(pc.fill_null(texts.slice(at, stop - at), ""))
+            at = stop
+
+    def _run(self, texts: pa.Array) -> Codes:
+        whole = pc.match_substring_regex(texts, _WHOLE)
+        apart = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        plain = pc.if_else(whole, "", texts)
+        marked = pc.replace_substring_regex(pc.replace_substring(plain, " ", "\x00 "), _LETTER_MARK, "\\1\x00\\2")
+        parts = pc.split_pattern(marked, "\x00")
+        coded = parts.flatten().dictionary_encode()
+        numbers = self._known(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        flat, lengths = _gathered(self.flat, self.starts[numbers], self.lengths[numbers])
+        sums = np.concatenate([[0], np.cumsum(lengths)])[bounds]
+        counts = np.diff(sums)
+        if len(apart):
+            more, sizes = self.compute([texts[int(i)].as_py() for i in apart])
+            counts[apart] = sizes
+            out = np.empty(int(counts.sum()), dtype=flat.dtype)
+            special = np.zeros(len(counts), dtype=bool)
+            special[apart] = True
+            where = np.repeat(special, counts)
+            out[where] = more
+            out[~where] = flat[np.repeat(~special, np.diff(sums))]
+            flat = out
+        return flat, counts
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Codes:
+    """The runs of ``flat`` that begin at ``starts``, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    at = np.repeat(starts - before, lengths)
+    at += np.arange(len(at))
+    return flat[at], lengths
+
+
+def _joined(lists: Sequence[Sequence[int]]) -> Codes:
+    lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    flat = np.fromiter((i for part in lists for i in part), dtype="<u4", count=int(lengths.sum()))
+    return flat, lengths
 
 
 class PieceTable:
     """Results of a function of a pre-token, for units cut into pre-tokens by a pattern."""
 
-    def __init__(self, pattern: str, compute: Callable[[bytes], object], max_pieces: int = 2 * MAX_UNITS):
+    def __init__(self, pattern: str, compute: Callable[[bytes], object], max_pieces: int = MAX_UNITS // 2):
         import regex
 
         self.find = regex.compile(pattern).findall
@@ -77,55 +133,37 @@ class Encoder:
     """ids of texts by a vocabulary of the tokenizers library, special strings taken as plain text."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-        lengths = np.zeros(max(tokenizer.get_vocab().values()) + 1, dtype=np.int64)
-        lengths[list(vocabulary.values())] = [len(token) for token in vocabulary]  # one character a byte
-
-        def one(text: str) -> np.ndarray:
-            return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-        def fresh(units: list[str]) -> list[bytes]:
-            """Units that begin with a space are encoded as one text and told apart by their bytes."""
-            ids = one("".join(units))
-            ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in units])
-            at = np.concatenate([[0], np.searchsorted(np.cumsum(lengths[ids]), ends, side="right")])
-            raw = ids.tobytes()
-            return [raw[4 * i:4 * j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-
-        words: dict[str, bytes] = {}
-
-        def compute(units: list[str]) -> list[bytes]:
-            """A word is encoded once, whatever punctuation follows it."""
-            if not all(u.startswith(" ") for u in units):
-                return [one(u).tobytes() for u in units]
-            split = [_WORD.match(u) for u in units]
-            if len(words) > MAX_WORDS:
-                words.clear()
-            new = list({m[1] for m in split if m} - words.keys())
-            odd = [u for u, m in zip(units, split) if not m]
-            found = fresh(new + odd) if new or odd else []
-            words.update(zip(new, found))
-            others = iter(found[len(new):])
-            for tail in {m[2] for m in split if m} - words.keys():
-                words[tail] = one(tail).tobytes() if tail else b""
-            return [words[m[1]] + words[m[2]] if m else next(others) for m in split]
+        sizes = np.zeros(max(tokenizer.get_vocab().values()) + 1, dtype=np.int64)
+        sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]  # one character a byte
+
+        def each(units: list[str]) -> Codes:
+            return _joined([e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)])
+
+        def compute(units: list[str]) -> Codes:
+            """Words after a space are encoded as one text and told apart by their bytes."""
+            spaced = [i for i, u in enumerate(units) if u.startswith(" ") and u[1:].isalpha()]
+            others = sorted(set(range(len(units))) - set(spaced))
+            words = [units[i] for i in spaced]
+            flat, _ = each(["".join(words)])
+            ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in words], dtype=np.int64)
+            at = np.concatenate([[0], np.searchsorted(np.cumsum(sizes[flat]), ends, side="right")])
+            rest, rest_lengths = each([units[i] for i in others])
+            lengths, starts = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64)
+            lengths[spaced], starts[spaced] = np.diff(at), at[:-1]
+            lengths[others], starts[others] = rest_lengths, len(flat) + np.cumsum(rest_lengths) - rest_lengths
+            return _gathered(np.concatenate([flat, rest]), starts, lengths)
 
         self.units = UnitTable(compute)
 
-    def encode(self, texts: Sequence[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids, a missing text being empty."""
-        for run in runs(texts):
-            known = self.units.known
-            for first, rest in self.units.lookup(run):
-                yield first + b"".join(map(known.__getitem__, rest))
+    def encode(self, texts: pa.Array) -> Iterator[Codes]:
+        """The ids of consecutive texts and how many each has; a missing text is empty."""
+        return self.units.texts(texts)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -138,6 +176,25 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def id_batches(keys: pa.Array, runs: Iterator[Codes], end_id: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of key and ids, as little-endian unsigned 32-bit integers followed by ``end_id``."""
+    at = 0
+    for flat, counts in runs:
+        if end_id is not None:
+            flat = np.insert(flat, np.cumsum(counts), np.uint32(end_id))
+            counts = counts + 1
+        step, done = 0, 0
+        ends = np.cumsum(counts)
+        while step < len(counts):  # a batch of Arrow holds less than 2 GB
+            stop = max(step + 1, int(np.searchsorted(ends, done + (1 << 26), side="right")))
+            part = flat[done:ends[stop - 1]].astype("<u4")
+            bounds = np.concatenate([[0], 4 * (ends[step:stop] - done)]).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), stop - step, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(part.tobytes())])
+            yield pa.RecordBatch.from_arrays([keys.slice(at, stop - step), ids], ["key", "ids"])
+            at += stop - step
+            done, step = int(ends[stop - 1]), stop
+
+
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int | None, key: str = "doc_id",
               text: str = "text") -> DataFrame:
     """(key, ids) of every row in its present partition and order: the ids of the whole text as
@@ -145,24 +202,12 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int | None, key: str = "
     and repeated rows stay as they are; other columns are not read.
     """
     ship(docs.sparkSession)
-    tail = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary)
         for batch in batches:
-            at, out, held = 0, [], 0
-            for ids in tokens.encode(batch.column(1).to_pylist()):
-                out.append(ids + tail)
-                held += len(ids)
-                if held > 16 << 20:
-                    yield id_batch(batch.column(0).slice(at, len(out)), out)
-                    at, out, held = at + len(out), [], 0
-            yield id_batch(batch.column(0).slice(at), out)
+            yield from id_batches(batch.column(0), tokens.encode(batch.column(1)), end_id)
 
     kind = docs.schema[key].dataType.simpleString()
     return (docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
             .mapInArrow(encode, f"key {kind}, ids binary").withColumnRenamed("key", key))
-
-
-def id_batch(keys: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary())], ["key", "ids"])

@@ -13,14 +13,14 @@ bounds the lookahead.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hearthlens.llm.common import runs, ship
-from hearthlens.llm.tokens import PieceTable, UnitTable, id_batch
+from hearthlens.llm.common import ship
+from hearthlens.llm.tokens import Codes, PieceTable, UnitTable, id_batches
 
 #: States and transitions kept by a worker; beyond them the lazily made part is dropped and made anew.
 MAX_TRANSITIONS = 500_000
@@ -193,17 +193,15 @@ class Codec:
         encode = self.transducer.encode
         self.pieces = PieceTable(pattern, lambda piece: np.array(encode(piece), dtype="<u4").tobytes())
 
-        def compute(units: list[str]) -> list[bytes]:
-            return [b"".join(parts) for parts in self.pieces.lookup(units)]
+        def compute(units: list[str]) -> Codes:
+            parts = [b"".join(found) for found in self.pieces.lookup(units)]
+            return np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
 
         self.units = UnitTable(compute)
 
-    def encode(self, texts: Sequence[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids."""
-        for run in runs(texts):
-            known = self.units.known
-            for first, rest in self.units.lookup(run):
-                yield first + b"".join(map(known.__getitem__, rest))
+    def encode(self, texts: pa.Array) -> Iterator[Codes]:
+        """The ids of consecutive texts and how many each has; a missing text is empty."""
+        return self.units.texts(texts)
 
     def decode(self, ids: bytes, chunk: int = 4096) -> Iterator[str]:
         """The text of ids, in parts that hold whole characters."""
@@ -237,7 +235,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id",
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary, pattern)
         for batch in batches:
-            yield from in_parts(batch.column(0), coder.encode(batch.column(1).to_pylist()))
+            yield from id_batches(batch.column(0), coder.encode(batch.column(1)))
 
     return _mapped(docs, key, text, encoded, "ids binary").withColumnRenamed("key", key)
 
@@ -269,18 +267,6 @@ def _texts(batch: pa.RecordBatch, at: int, texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["key", "ids", "text"])
 
 
-def in_parts(keys: pa.Array, ids: Iterator[bytes], size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows of key and ids in batches of about so many bytes."""
-    at, out, held = 0, [], 0
-    for raw in ids:
-        out.append(raw)
-        held += len(raw)
-        if held > size:
-            yield id_batch(keys.slice(at, len(out)), out)
-            at, out, held = at + len(out), [], 0
-    yield id_batch(keys.slice(at), out)
-
-
 def _mapped(docs: DataFrame, key: str, text: str, function: Callable, fields: str) -> DataFrame:
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
