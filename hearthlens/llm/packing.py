@@ -158,10 +158,10 @@ def pack(pieces: DataFrame, length: int = 2048, group_pieces: int = 4096, seed:
             kind = batch.schema.field(0).type
             held.extend(zip(*(column.to_pylist() for column in batch.columns)))
             while len(held) >= 2 * group_pieces:  # the last group is then a full one as well
-                yield _batch(_packed(held[:group_pieces], length, base + (group << 20)), PACKED, kind)
+                yield from _packed(held[:group_pieces], length, base + (group << 20), kind)
                 held, group = held[group_pieces:], group + 1
         if held:
-            yield _batch(_packed(held, length, base + (group << 20)), PACKED, kind)
+            yield from _packed(held, length, base + (group << 20), kind)
 
     dealt = pieces.withColumnRenamed(key, "key").withColumn("deal", F.xxhash64("key", "start", F.lit(seed)))
     return (
@@ -177,7 +177,7 @@ def _batch(rows: list[tuple], fields: list[tuple], kind: pa.DataType) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["key", *(n for n, _ in fields)])
 
 
-def _packed(rows: list[tuple], length: int, first_id: int) -> list[tuple]:
+def _packed(rows: list[tuple], length: int, first_id: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     out = []
     for number, bin_parts in enumerate(plan([r[2] for r in rows], length)):
         offset = 0
@@ -186,4 +186,7 @@ def _packed(rows: list[tuple], length: int, first_id: int) -> list[tuple]:
             ids = np.frombuffer(raw, dtype="<u4" if len(raw) == 4 * whole else "<u2")[skip:skip + size]
             out.append((name, start + skip, size, ids.astype("<u4").tobytes(), total, first_id + number, offset))
             offset += size
-    return out
+        if len(out) >= 512:
+            yield _batch(out, PACKED, kind)
+            out = []
+    yield _batch(out, PACKED, kind)

@@ -23,7 +23,7 @@ from hearthlens.llm.common import ship
 _WHOLE = " ([\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]|$)|\\x00"
 _LETTER_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\\[-`{-~])"
 #: Units that a worker remembers; a full table is emptied, so memory stays bounded.
-MAX_UNITS = 250_000
+MAX_UNITS = 550_000
 #: Bytes of text that are handled at once; a longer text is handled by itself.
 RUN_BYTES = 6 << 20
 
@@ -37,6 +37,7 @@ class UnitTable:
     def __init__(self, compute: Callable[[list[str]], Codes], max_units: int = MAX_UNITS):
         self.compute = compute
         self.max_units = max_units
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large blocks back at once
         self._clear()
 
     def _clear(self) -> None:
@@ -109,7 +110,7 @@ def _joined(lists: Sequence[Sequence[int]]) -> Codes:
 class PieceTable:
     """Results of a function of a pre-token, for units cut into pre-tokens by a pattern."""
 
-    def __init__(self, pattern: str, compute: Callable[[bytes], object], max_pieces: int = MAX_UNITS // 2):
+    def __init__(self, pattern: str, compute: Callable[[bytes], object], max_pieces: int = 200_000):
         import regex
 
         self.find = regex.compile(pattern).findall
