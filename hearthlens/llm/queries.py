@@ -49,10 +49,9 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encodes every document and decodes the ids."""
-    encoded = transducer.encode(table(spark, folder, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
-    both = transducer.decode(encoded, MULTI_RANKS, public_tokenizers.PATTERN)
+    both = transducer.encode(table(spark, folder, "documents"), MULTI_RANKS, public_tokenizers.PATTERN, decoded=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:

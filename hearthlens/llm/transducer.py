@@ -13,7 +13,7 @@ bounds the lookahead.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,10 @@ from hearthlens.llm.common import ship
 from hearthlens.llm.tokens import Codes, PieceTable, UnitTable, id_batches
 
 #: States and transitions kept by a worker; beyond them the lazily made part is dropped and made anew.
-MAX_TRANSITIONS = 500_000
-MAX_PAIRS = 300_000
+MAX_TRANSITIONS = 400_000
+MAX_PAIRS = 250_000
+#: Units that a worker remembers beside its states.
+MAX_UNITS = 250_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -51,17 +53,18 @@ class Transducer:
         self.max_transitions = max_transitions
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
-        self.children: list[dict[int, int]] = [{}]
+        # the trie of the vocabulary: the following node of a node and a byte, the token of a node
+        self.child: dict[int, int] = {}
         self.token_at: list[int] = [-1]
+        self.inner = bytearray(1)
         for piece, rank in ranks.items():
             node = 0
             for byte in piece:
-                following = self.children[node].get(byte)
-                if following is None:
-                    following = len(self.children)
-                    self.children[node][byte] = following
-                    self.children.append({})
+                self.inner[node] = 1
+                following = self.child.setdefault(node << 8 | byte, len(self.token_at))
+                if following == len(self.token_at):
                     self.token_at.append(-1)
+                    self.inner.append(0)
                 node = following
             self.token_at[node] = rank
         self._forget()
@@ -101,13 +104,13 @@ class Transducer:
         last, starts = self.states[number]
         open_starts, ended = [], None
         for pending, node in starts:
-            node = self.children[node].get(byte)
+            node = self.child.get(node << 8 | byte)
             if node is None:
                 continue
             token = self.token_at[node]
             if ended is None and token >= 0 and self._stays(pending[-1] if pending else last, token):
                 ended = pending + (token,)
-            if self.children[node]:
+            if self.inner[node]:
                 open_starts.append((pending, node))
         if ended is None:
             raise ValueError("the vocabulary does not hold every byte, or its merges are not in rank order")
@@ -191,13 +194,13 @@ class Codec:
         for piece, rank in ranks.items():
             self.table[rank] = piece
         encode = self.transducer.encode
-        self.pieces = PieceTable(pattern, lambda piece: np.array(encode(piece), dtype="<u4").tobytes())
+        self.pieces = PieceTable(pattern, lambda piece: np.array(encode(piece), dtype="<u4").tobytes(), 120_000)
 
         def compute(units: list[str]) -> Codes:
             parts = [b"".join(found) for found in self.pieces.lookup(units)]
             return np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
 
-        self.units = UnitTable(compute)
+        self.units = UnitTable(compute, MAX_UNITS)
 
     def encode(self, texts: pa.Array) -> Iterator[Codes]:
         """The ids of consecutive texts and how many each has; a missing text is empty."""
@@ -228,16 +231,26 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[(path, pattern)]
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(key, ids) of every row, where it is: the ids of the whole text as little-endian unsigned 32-bit
-    integers, each match of ``pattern`` by itself. A null text is empty; a null key and repeated rows
-    stay. ``pattern`` has to take the space before a word with the word, as byte-level patterns do."""
+    integers, each match of ``pattern`` by itself. With ``decoded`` the ids are also decoded again, as a
+    stream, in a column of that name. A null text is empty; a null key and repeated rows stay; other
+    columns are not read. ``pattern`` has to take the space before a word with the word, as byte-level
+    patterns do."""
+    ship(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary, pattern)
         for batch in batches:
-            yield from id_batches(batch.column(0), coder.encode(batch.column(1)))
+            for part in id_batches(batch.column(0), coder.encode(batch.column(1))):
+                if decoded:
+                    texts = pa.array(["".join(coder.decode(raw)) for raw in part.column(1).to_pylist()], pa.string())
+                    part = pa.RecordBatch.from_arrays([*part.columns, texts], ["key", "ids", "decoded"])
+                yield part
 
-    return _mapped(docs, key, text, encoded, "ids binary").withColumnRenamed("key", key)
+    fields = f"key {kind}, ids binary" + ", decoded string" * decoded
+    return docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(encoded, fields).withColumnRenamed("key", key)
 
 
 def decode(tokens: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -265,9 +278,3 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id"
 def _texts(batch: pa.RecordBatch, at: int, texts: list[str]) -> pa.RecordBatch:
     part = batch.slice(at, len(texts))
     return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["key", "ids", "text"])
-
-
-def _mapped(docs: DataFrame, key: str, text: str, function: Callable, fields: str) -> DataFrame:
-    ship(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(function, f"key {kind}, {fields}")
