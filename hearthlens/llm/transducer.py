@@ -23,10 +23,10 @@ from hearthlens.llm.common import ship
 from hearthlens.llm.tokens import Codes, PieceTable, UnitTable, id_batches
 
 #: States and transitions kept by a worker; beyond them the lazily made part is dropped and made anew.
-MAX_TRANSITIONS = 400_000
-MAX_PAIRS = 250_000
+MAX_TRANSITIONS = 700_000
+MAX_PAIRS = 400_000
 #: Units that a worker remembers beside its states.
-MAX_UNITS = 250_000
+MAX_UNITS = 400_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -194,7 +194,7 @@ class Codec:
         for piece, rank in ranks.items():
             self.table[rank] = piece
         encode = self.transducer.encode
-        self.pieces = PieceTable(pattern, lambda piece: np.array(encode(piece), dtype="<u4").tobytes(), 120_000)
+        self.pieces = PieceTable(pattern, lambda piece: np.array(encode(piece), dtype="<u4").tobytes(), 200_000)
 
         def compute(units: list[str]) -> Codes:
             parts = [b"".join(found) for found in self.pieces.lookup(units)]
