@@ -10,23 +10,26 @@ from hearthlens.functions.codec import decrypt_text
 from hearthlens.functions.text import join_pieces, unescape_markup
 from hearthlens.operators.select import compute_once
 
+# Fixed value: what an article page holds.
 PARAGRAPH_OR_IMAGE = r'(?s)<p>(.*?)</p>|data-src="(.*?)"'
 
 
 def _tag(name: str) -> str:
-    return rf"<{name}(?=[\s>/])[^>]*+>"
+    return rf"(?i:<{name})(?=[\s>/])[^>]*+>"
 
 
 def _with_class(tag: str, css_class: str) -> str:
     """An opening tag that carries the class, whatever other classes and attributes it has. Every
     part runs forward only, so a page is searched in linear time."""
-    return rf'<{tag}\s(?:[^>]*?\s)?class="(?:[^"]*?\s)?{css_class}(?=[\s"])[^>]*+>'
+    return rf"""(?i:<{tag}\s(?:[^>]*?\s)?class)\s*=\s*["']?(?:[^"'>]*?\s)?{css_class}(?=[\s"'>])[^>]*+>"""
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    """An attribute of one opening tag, null when absent."""
-    found = F.regexp_extract_all(tag, F.lit(rf'\s{re.escape(name)}\s*=\s*"([^"]*)"'), F.lit(1))
-    return unescape_markup(F.get(found, F.lit(0)))
+    """An attribute of one opening tag in double, single or no quotes, null when absent."""
+    pattern = rf"""(?i:\s{re.escape(name)})\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    first = F.get(F.regexp_extract_all(tag, F.lit(pattern), F.lit(0)), F.lit(0))
+    # only one of the three groups matches, the others are empty
+    return unescape_markup(F.concat(*[F.regexp_extract(first, pattern, group) for group in (1, 2, 3)]))
 
 
 def attribute_of_class(html: Column, css_class: str, attribute: str) -> Column:
@@ -37,11 +40,11 @@ def attribute_of_class(html: Column, css_class: str, attribute: str) -> Column:
 def anchors(html: Column) -> Column:
     """All links in page order as an array of (text, href): nested tags are taken out of the text,
     anchors without an address have a null one."""
-    elements = F.regexp_extract_all(html, F.lit(r"(?s)<a(?=[\s>])[^>]*>.*?</a>"), F.lit(0))
+    elements = F.regexp_extract_all(html, F.lit(r"(?is)<a(?=[\s>])[^>]*>.*?</a>"), F.lit(0))
 
     def link(element: Column) -> Column:
-        opening = F.regexp_extract(element, r"^<a[^>]*>", 0)
-        body = F.regexp_replace(F.regexp_replace(element, r"^<a[^>]*>", ""), r"</a>$", "")
+        opening = F.regexp_extract(element, r"(?i)^<a[^>]*>", 0)
+        body = F.regexp_replace(F.regexp_replace(element, r"(?i)^<a[^>]*>", ""), r"(?i)</a>$", "")
         return F.struct(
             unescape_markup(F.regexp_replace(body, r"<[^>]*>", "")).alias("name"),
             _attribute(opening, "href").alias("href"),
@@ -94,11 +97,12 @@ def article_fragments(df: DataFrame, html: str, keys: list[str], key: Column | s
     ).where(F.col("content").isNotNull())
 
 
+# The class names of a listing page.
 CARD_FIELDS = ["title", "positionInfo", "houseInfo", "followInfo", "totalPrice", "unitPrice"]
 CARD_LIST = _with_class("ul", "sellListContent")
-CARD_START = r"<li(?=[\s>])[^>]*+>"
+CARD_START = r"(?i)<li(?=[\s>])[^>]*+>"
 FIELD_START = _with_class(r"(\w++)", "(" + "|".join(CARD_FIELDS) + ")")
-FIELD = rf"(?s){FIELD_START}.*?</\1>"
+FIELD = rf"(?s){FIELD_START}.*?(?i:</\1>)"
 
 
 def _own_text(element: Column) -> Column:
@@ -109,7 +113,7 @@ def _own_text(element: Column) -> Column:
 
 
 def _child_texts(element: Column, tag: str) -> Column:
-    return F.regexp_extract_all(element, F.lit(rf"<{tag}(?=[\s>])[^>]*+>([^<]+)"), F.lit(1))
+    return F.regexp_extract_all(element, F.lit(rf"(?i:<{tag})(?=[\s>])[^>]*+>([^<]+)"), F.lit(1))
 
 
 def listing_cards(df: DataFrame, html: str, keys: list[str]) -> DataFrame:

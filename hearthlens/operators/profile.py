@@ -13,6 +13,9 @@ from hearthlens.operators.orderstats import exact_quantiles, percentile
 from hearthlens.operators.select import not_equal
 
 NARROW = 8
+#: Share of the sum of squares that has to be spread for sums of products to keep enough digits.
+SURE_SPREAD = 1e-4
+PAIRS_AT_ONCE = 30
 
 
 def group_counts(df: DataFrame, by: str, column: str, out: str = "listings") -> DataFrame:
@@ -46,10 +49,17 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*parts).select(F.inline(F.array(*rows)))
 
 
+def _number(x: Column) -> Column:
+    """A value as a double, null for NaN."""
+    x = x.cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _correlation(x: Column, y: Column) -> Column:
-    """Pearson r over the rows that have both values, null when one side does not vary."""
+    """Pearson r over the rows that have both values, null when one side does not vary. NaN is no value."""
+    x, y = _number(x), _number(y)
     both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    x, y = F.when(both, x), F.when(both, y)
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
@@ -87,23 +97,35 @@ def _wide_correlations(df: DataFrame, columns: list[str], pairs: list[tuple[int,
     """(a, b, r) of the pairs from one pass: each partition sums its products as matrices, and only
     those sums are shuffled, one small row per pair and partition.
 
-    The sums are taken about the mean of a few rows. Any point near the data will do there: it keeps
-    the digits that raw sums of squares lose, and drops out of the result.
+    The sums are taken about the mean of each column, which loses digits only where the rows of a pair
+    lie far from it or do not vary. Those pairs, few in common data, are found by their sums and taken
+    again by the aggregation that narrow tables use, some at a time, so width never changes an answer.
     """
-    few = df.limit(1000).agg(*[F.avg(c) for c in columns]).first()
-    centers = [m if m is not None else 0.0 for m in few]
+    means = df.agg(*[F.avg(_number(F.col(c))) for c in columns]).first()
+    centers = [m if m is not None else 0.0 for m in means]
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     sums = (
         doubles.mapInPandas(_pair_moments(columns, centers, pairs),
                             "a string, b string, n double, x double, y double, xx double, yy double, xy double")
         .groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
     )
-    n, x, y = F.col("n"), F.col("x"), F.col("y")
-    spread_x = F.col("xx") - F.try_divide(x * x, n)
-    spread_y = F.col("yy") - F.try_divide(y * y, n)
-    # rounding leaves about 1e-16 of the sum of squares; less than that is a column that does not vary
-    varies = (spread_x > F.col("xx") * 1e-13) & (spread_y > F.col("yy") * 1e-13)
-    return sums.select("a", "b", F.when(varies, (F.col("xy") - x * y / n) / F.sqrt(spread_x * spread_y)).alias("r"))
+    found, doubtful = {}, []
+    seen = {(row["a"], row["b"]): row for row in sums.collect()}  # one row per pair of columns
+    for i, j in pairs:
+        pair = (columns[i], columns[j])
+        row = seen.get(pair)
+        if row is None or not row["n"]:
+            found[pair] = None
+            continue
+        spread_x, spread_y = row["xx"] - row["x"] ** 2 / row["n"], row["yy"] - row["y"] ** 2 / row["n"]
+        if spread_x > SURE_SPREAD * row["xx"] and spread_y > SURE_SPREAD * row["yy"]:
+            found[pair] = (row["xy"] - row["x"] * row["y"] / row["n"]) / math.sqrt(spread_x) / math.sqrt(spread_y)
+        else:
+            doubtful.append(pair)
+    for at in range(0, len(doubtful), PAIRS_AT_ONCE):
+        part = doubtful[at:at + PAIRS_AT_ONCE]
+        found.update(zip(part, df.agg(*[_correlation(F.col(x), F.col(y)) for x, y in part]).first()))
+    return df.sparkSession.createDataFrame([(x, y, r) for (x, y), r in found.items()], "a string, b string, r double")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], narrow: int = NARROW) -> DataFrame:

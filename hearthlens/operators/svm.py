@@ -29,10 +29,12 @@ C_VALUES = [0.01, 0.03, 0.1, 0.3, 1, 3, 10, 30, 100]
 GAMMA_VALUES = [0.01, 0.03, 0.1, 0.3, 1, 3, 10, 30, 100]
 
 
-def linear_svm(c: float, rows: int, max_iter: int = 1000, weight: str | None = None,
+def linear_svm(c: float, rows: float, max_iter: int = 1000, weight: str | None = None,
                features: str = "features", tol: float = 1e-4, **params) -> LinearSVC:
     """Hinge-loss machine with penalty ``c`` for ``rows`` training rows; an infinite ``c`` is no
-    regularisation. Spark averages the loss over the rows, hence 1 / (rows * c)."""
+    regularisation. Spark averages the loss over the rows, hence 1 / (rows * c). With a weight column the
+    loss is divided by the sum of the weights, so that sum is to be given as ``rows``; a row of weight w
+    then counts as w rows."""
     penalty = 0.0 if math.isinf(c) else 1.0 / (rows * c)
     machine = LinearSVC(regParam=penalty, maxIter=max_iter, standardization=False, featuresCol=features,
                         tol=tol, **params)

@@ -167,10 +167,10 @@ def weighted_linear_svm(spark, folder):
     points = _points(spark, folder).withColumn("weight", features.class_weights("label", {0: 10}))
     rows = features.assembler(["X1", "X2"]).transform(features.fit_standard(points, ["X1", "X2"]).apply(points))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    n = rows.count()
+    totals = rows.agg(F.count("*").alias("n"), F.sum("weight").alias("w")).first()
     found = []
-    for weight in (None, "weight"):
-        scored = svm.linear_svm(1.0, n, max_iter=100, weight=weight).fit(rows).transform(rows)
+    for weight, total in ((None, totals["n"]), ("weight", totals["w"])):
+        scored = svm.linear_svm(1.0, float(total), max_iter=100, weight=weight).fit(rows).transform(rows)
         r = scored.agg(F.avg((F.col("prediction") == 0).cast("double")), evaluate.accuracy()).first()
         found.append((weight or "none", float(r[0]), float(r[1])))
     rows.unpersist()
