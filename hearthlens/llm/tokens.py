@@ -23,7 +23,7 @@ from hearthlens.llm.common import ship
 _WHOLE = " ([\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]|$)|\\x00"
 _LETTER_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\\[-`{-~])"
 #: Units that a worker remembers; a full table is emptied, so memory stays bounded.
-MAX_UNITS = 450_000
+MAX_UNITS = 500_000
 #: Bytes of text that are handled at once; a longer text is handled by itself.
 RUN_BYTES = 6 << 20
 
