@@ -100,7 +100,8 @@ def article_fragments(df: DataFrame, html: str, keys: list[str], key: Column | s
 # The class names of a listing page.
 CARD_FIELDS = ["title", "positionInfo", "houseInfo", "followInfo", "totalPrice", "unitPrice"]
 CARD_LIST = _with_class("ul", "sellListContent")
-CARD_START = r"(?i)<li(?=[\s>])[^>]*+>"
+# a list or item tag with all that follows it up to the next one
+LIST_PIECE = r"(?s)(?i:</?(?:ul|li))(?=[\s>/])[^>]*+>(?:[^<]++|<(?!/?(?i:ul|li)[\s>/]))*+"
 FIELD_START = _with_class(r"(\w++)", "(" + "|".join(CARD_FIELDS) + ")")
 FIELD = rf"(?s){FIELD_START}.*?(?i:</\1>)"
 
@@ -116,20 +117,39 @@ def _child_texts(element: Column, tag: str) -> Column:
     return F.regexp_extract_all(element, F.lit(rf"(?i:<{tag})(?=[\s>])[^>]*+>([^<]+)"), F.lit(1))
 
 
+def _cards(page: Column) -> Column:
+    """The items of every card list of a page. Lists inside an item belong to it: the depth of open
+    lists is counted along the list tags, and an item ends at its own closing tag, at the next item or
+    with its list."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("open"), F.array().cast("array<string>").alias("cards"))
+
+    def step(state: Column, piece: Column) -> Column:
+        depth, is_open, cards = state["depth"], state["open"], state["cards"]
+        outside, own = depth == 0, depth == 1
+        opens, closes = piece.rlike("(?i)^<ul"), piece.rlike("(?i)^</ul")
+        item, ends = own & piece.rlike("(?i)^<li"), own & (piece.rlike("(?i)^</li") | closes)
+        next_depth = F.when(outside, F.when(piece.rlike("^" + CARD_LIST), 1).otherwise(0)).otherwise(
+            depth + F.when(opens, 1).when(closes, -1).otherwise(0))
+        added = F.concat(cards, F.array(F.regexp_replace(piece, r"^<[^>]*+>", "")))
+        longer = F.concat(F.slice(cards, F.lit(1), F.greatest(F.size(cards) - 1, F.lit(0))),
+                          F.array(F.concat(F.element_at(cards, -1), piece)))
+        return F.struct(
+            next_depth.cast("int").alias("depth"),
+            F.when(outside | ends, F.lit(False)).when(item, F.lit(True)).otherwise(is_open).alias("open"),
+            F.when(outside | ends, cards).when(item, added).when(is_open, longer).otherwise(cards).alias("cards"))
+
+    return F.aggregate(F.regexp_extract_all(page, F.lit(LIST_PIECE), F.lit(0)), start, step, lambda state: state["cards"])
+
+
 def listing_cards(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     """One row of six text fields per card of a listing page; a missing field is null, except the
     position, whose pieces are joined and may be none.
 
-    A page is cut into cards at its list items. The fields of a card are then found in one walk
+    A page is cut into cards at the items of its card lists. The fields of a card are then found in one walk
     over it, as each known element up to its first closing tag; the first of a class counts.
     """
-    page = F.col(html)
-    opened = compute_once(df.select(*keys, page), opening=F.regexp_extract(page, CARD_LIST, 0)).where("opening != ''")
-    start = F.instr(page, F.col("opening")) + F.length("opening")
-    listed = F.substring_index(F.substring(page, start, F.length(page)), "</ul>", 1)
-    cut = compute_once(opened, items=F.split(listed, CARD_START))
-    cards = F.transform(F.slice("items", F.lit(2), F.size("items") - 1), lambda item: F.substring_index(item, "</li>", 1))
-    walked = compute_once(cut.select(*keys, F.posexplode(cards).alias("pos", "card")),
+    cut = compute_once(df.select(*keys, html).where(F.col(html).rlike(CARD_LIST)), cards=_cards(F.col(html)))
+    walked = compute_once(cut.select(*keys, F.posexplode("cards").alias("pos", "card")),
                           elements=F.regexp_extract_all("card", F.lit(FIELD), F.lit(0)))
     named = compute_once(walked, classes=F.transform("elements", lambda e: F.regexp_extract(e, FIELD_START, 2)))
 

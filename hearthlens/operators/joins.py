@@ -24,7 +24,8 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left",
                 rows: int = BROADCAST_ROWS, hot_share: float = HOT_SHARE) -> DataFrame:
-    """Adds the columns of ``lookup``, which has one row per key, to every fact.
+    """Adds the columns of ``lookup``, which has one row per key, to every fact. A key that the lookup
+    repeats is an error at any size; its rows without a key match nothing.
 
     A lookup of checked size is broadcast. A bigger one is joined by a shuffle, after the keys that
     may hold a large share of the facts are taken out: their few lookup rows are broadcast, so a
@@ -32,13 +33,13 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left"
     """
     if how not in ("left", "inner"):
         raise ValueError("how is 'left' or 'inner'")
+    if not lookup.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").isEmpty():
+        raise ValueError(f"{key} is not unique in the lookup table")
     if fits_broadcast(lookup, rows):
         return facts.join(F.broadcast(lookup), key, how)
-    # every key with at least this share is in the list, and the list has at most about 1 / share keys
+    # one lookup row for each of them: every key with at least this share is in the list, and the list has at most about 1 / share keys
     hot = [k for k in facts.where(F.col(key).isNotNull()).stat.freqItems([key], hot_share).first()[0]]
     hot_lookup = lookup.where(F.col(key).isin(hot)) if hot else lookup.limit(0)
-    if hot and not fits_broadcast(hot_lookup, len(hot)):
-        raise ValueError(f"{key} is not unique in the lookup table")
     is_hot = F.col(key).isNull() | (F.col(key).isin(hot) if hot else F.lit(False))
     spread = facts.where(is_hot).join(F.broadcast(hot_lookup), key, how)
     shuffled = facts.where(~is_hot).join(lookup, key, how)

@@ -178,3 +178,12 @@ def test_compute_once_stops_filters(spark):
     assert [r["n"] for r in found.orderBy("t").collect()] == ["0", "2"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract") == 1
+
+
+def test_cards_with_inner_lists_two_lists_and_mixed_case(spark):
+    page = """<ul class="other"><li>no</li></ul>
+      <UL class='sellListContent' id=x><LI class=a><div class="title"><a>one</a></div><ul><li>x</li><li>y</li></ul>
+      <div class='totalPrice'><span>5</span></div></LI><li><div class="title"><a>two</a></div></li></UL>
+      <ul class="sellListContent"><li><DIV class=title><A>three</A></DIV></li></ul>"""
+    rows = markup.listing_cards(spark.createDataFrame([(1, page)], "id int, html string"), "html", ["id"]).collect()
+    assert [(r.pos, r.title, r.total_price) for r in rows] == [(0, "one", "5"), (1, "two", None), (2, "three", None)]
