@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthlens.operators.encode import mentions
+from hearthlens.operators.joins import fits_broadcast
 
 
 @dataclass(frozen=True)
@@ -93,11 +94,14 @@ def funnel(df: DataFrame, rules: Sequence[Rule], distinct_on: Sequence[str] | No
 def impute_by_ratio(df: DataFrame, entity: str, column: str, size: str, donors: dict[str, str]) -> DataFrame:
     """A missing value is filled from a named donor entity, scaled by the ratio of their sizes.
 
-    ``df`` has one row per entity, so the broadcast holds at most one row per named donor.
+    A named donor that ``df`` has more than once is an error, so the broadcast holds at most one row
+    for each of them.
     """
     donor_of = F.create_map(*[F.lit(x) for pair in donors.items() for x in pair])
     given = df.where(F.col(entity).isin(list(donors.values()))).select(
         F.col(entity).alias("__donor"), F.col(column).alias("__value"), F.col(size).alias("__size"))
+    if not fits_broadcast(given, len(set(donors.values()))):
+        raise ValueError(f"a donor is not unique in {entity}")
     filled = F.coalesce(F.col(column), F.try_divide(F.col("__value") * F.col(size), F.col("__size")))
     return (
         df.withColumn("__donor", donor_of[F.col(entity)])

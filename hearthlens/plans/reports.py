@@ -47,10 +47,13 @@ def importance_bars(importances: DataFrame) -> DataFrame:
     return rank_small(importances, "importance", "feature").orderBy("rank")
 
 
-def chart_series(report: DataFrame, name: str, value: str) -> tuple[list, list]:
+def chart_series(report: DataFrame, name: str, value: str, most: int = 10_000) -> tuple[list, list]:
     """Names and values of an aggregated report as two lists, in its order. Meant for the report
-    tables of this module, which have one row per city, bin, tag or feature."""
-    rows = report.select(name, value).collect()
+    tables of this module, which have one row per city, bin, tag or feature; a table of more than
+    ``most`` rows is no chart and an error."""
+    rows = report.select(name, value).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a chart has at most {most} rows")
     return [row[0] for row in rows], [row[1] for row in rows]
 
 

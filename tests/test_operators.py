@@ -273,3 +273,13 @@ def test_no_range_takes_much_more_than_its_share(spark):
     found = numbering.number_rows(df, "v", "id", rows_per_range=200)
     expected = sorted((r["v"], r["id"]) for r in df.collect())
     assert [(r["v"], r["id"]) for r in found.orderBy("row_no").collect()] == expected
+
+
+def test_repeated_lookup_keys_are_refused_at_any_size(spark):
+    facts = spark.createDataFrame([("a",), ("b",), (None,)], "city string")
+    lookup = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "city string, gdp int")
+    for rows in (1, 100):
+        with pytest.raises(ValueError):
+            joins.lookup_join(facts, lookup, "city", rows=rows)
+    found = joins.lookup_join(facts, lookup.where("gdp > 1"), "city", rows=1).collect()
+    assert sorted((r.city or "", r.gdp or 0) for r in found) == [("", 0), ("a", 2), ("b", 3)]

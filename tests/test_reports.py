@@ -54,3 +54,10 @@ def test_same_result_for_other_layouts(spark):
             "city", F.round("mean_total_price", 9)).collect()))
     raw.unpersist()
     assert found[0] == found[1]
+
+
+def test_a_chart_has_a_bounded_number_of_rows(spark):
+    rows = spark.range(5).selectExpr("id", "id as v")
+    assert reports.chart_series(rows, "id", "v", most=5)[0] == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        reports.chart_series(rows, "id", "v", most=4)
