@@ -18,7 +18,7 @@ TOXIC = 0.5
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that is known and sure. A null text, or one without a letter, has no
     language and goes."""
-    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))), key="doc_id")
     name = free_name(docs, "language")
     found = docs.withColumn(name, language.predicted(spark, model, docs["text"]))
     return found.where((F.col(name)["lang_pred"] != language.UNKNOWN) & (F.col(name)["score"] >= LEAST_LANGUAGE_SCORE)).drop(name)
@@ -27,7 +27,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are not toxic, by a chain trained on the labels of those that are here."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    chain = toxicity.fit(toxicity.labelled(docs, labels), toxicity.CATEGORIES)
+    chain = toxicity.fit(toxicity.labelled(docs, labels), toxicity.CATEGORIES, key="key")
     name = free_name(docs, "toxicity")
     return docs.withColumn(name, toxicity.predicted(spark, chain, docs["text"])).where(F.col(name)["p_toxic"] < TOXIC).drop(name)
 

@@ -128,16 +128,19 @@ def _temperature(scores: np.ndarray, labels: np.ndarray) -> float:
     return math.exp((low + high) / 2)
 
 
-def fit(train: DataFrame, label: str = "lang", text: str = "text", rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
+def fit(train: DataFrame, label: str = "lang", text: str = "text", rows_per_language: int = ROWS_PER_LANGUAGE,
+        key: str | None = None) -> LanguageModel:
     """A model of the rows with a label and a text that has a letter.
 
     The document frequencies and the rows of each language are counted over all rows. The weights see
     a hash sample of about ``rows_per_language`` rows of each language, gathered in one task as hashed
-    counts, whose size has a bound; a fifth of them fits the temperature only. Without such rows the
-    model knows no language.
+    counts, whose size has a bound; a fifth of them fits the temperature only. The sample is drawn by
+    ``key`` and text, and rows with equal counts are in it once, so a big group of copies adds one row.
+    Without such rows the model knows no language.
     """
     ship(train.sparkSession)
-    rows = train.select(F.col(label).alias("label"), F.col(text).alias("text")).where(
+    drawn_by = F.col(key) if key else F.lit(0)
+    rows = train.select(F.col(label).alias("label"), F.col(text).alias("text"), drawn_by.alias("key")).where(
         F.col("label").isNotNull() & F.col("text").rlike("\\p{L}"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
@@ -150,8 +153,8 @@ def fit(train: DataFrame, label: str = "lang", text: str = "text", rows_per_lang
         idf[gram] = math.log((1.0 + total) / (1.0 + n)) + 0.1
 
     share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, rows_per_language / sizes[name]))])
-    drawn = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < F.try_element_at(share, F.col("label")) * 1_000_000
-    sample = rows.where(drawn).mapInArrow(_samples, "label string, columns binary, counts binary")
+    drawn = F.pmod(F.xxhash64("key", "text", F.lit(11)), F.lit(1_000_000)) < F.try_element_at(share, F.col("label")) * 1_000_000
+    sample = rows.where(drawn).select("label", "text").mapInArrow(_samples, "label string, columns binary, counts binary").distinct()
     number = {name: i for i, name in enumerate(languages)}
 
     def train_one(group: pd.DataFrame) -> pd.DataFrame:
@@ -204,6 +207,6 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", label: st
     """(key, held_out, lang_pred, score) of every row, learned from the rows that are not held out.
     Repeated rows and null keys stay; other columns are not read."""
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(label).alias("__label"))
-    model = fit(rows.where(~held_out(F.col("__key"))), "__label", "__text", rows_per_language)
+    model = fit(rows.where(~held_out(F.col("__key"))), "__label", "__text", rows_per_language, "__key")
     found = rows.select("__key", predicted(docs.sparkSession, model, F.col("__text")).alias("__p"))
     return found.select(F.col("__key").alias(key), held_out(F.col("__key")).alias("held_out"), "__p.lang_pred", "__p.score")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hearthlens.llm.common import ship
 from hearthlens.llm.linear import Rows, softmax, train_ftrl
 
-#: Labelled rows that the chain is trained on, about; the sample is drawn by a hash of the text.
+#: Labelled rows that the chain is trained on, about; the sample is drawn by a hash of key and text.
 TRAINING_ROWS = 8000
 #: Sampled texts that a word has to occur in to become a column.
 LEAST_TEXTS = 5
@@ -47,7 +47,7 @@ def words_of(text: str) -> set[str]:
     shape = {mark: text.count(mark) / size for mark in MARKS}
     shape["letters"] = sum(map(len, words)) / size
     shape["distinct"] = len(set(words)) / max(1, len(words))
-    shape["capitals"] = sum(c != d for c, d in zip(text[:: max(1, size // 2000)], text.lower()[:: max(1, size // 2000)])) / min(size, 2000)
+    shape["capitals"] = sum(map(str.isupper, text)) / size
     found.update(f"{name} {sum(share > level for level in LEVELS)}" for name, share in shape.items())
     return found
 
@@ -113,23 +113,25 @@ def _fitted(words: list[np.ndarray], flags: np.ndarray, columns: int, folds: int
 
 
 def fit(labelled: DataFrame, categories: Sequence[str], text: str = "text", training_rows: int = TRAINING_ROWS,
-        folds: int = FOLDS) -> Chain:
+        folds: int = FOLDS, key: str | None = None) -> Chain:
     """The chain over the 0/1 columns ``categories``, in that order.
 
     Rows with a null text or category are left out. The words of a hash sample of about
     ``training_rows`` rows are counted in Spark; those in few of its texts are dropped, and the rows,
-    as column numbers, are trained on in one task, whose input that parameter bounds. A table without
-    labelled rows gives a chain that predicts 0.
+    as column numbers, are trained on in one task, whose input that parameter bounds. The sample is
+    drawn by ``key`` and text, and a text with the same flags is in it once, so a big group of copies
+    adds one row. A table without labelled rows gives a chain that predicts 0.
     """
     categories = list(categories)
     ship(labelled.sparkSession)
-    rows = labelled.select(F.col(text).alias("text"), F.array(*[F.col(c).cast("int") for c in categories]).alias("flags"))
+    rows = labelled.select(F.col(text).alias("text"), F.array(*[F.col(c).cast("int") for c in categories]).alias("flags"),
+                           (F.col(key) if key else F.lit(0)).alias("key"))
     rows = rows.where(F.col("text").isNotNull() & ~F.exists("flags", lambda f: f.isNull()))
     total = rows.count()
     if not total:
         return Chain(categories, {}, [])
-    drawn = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < min(1.0, training_rows / total) * 1_000_000
-    sample = rows.where(drawn)
+    drawn = F.pmod(F.xxhash64("key", "text", F.lit(5)), F.lit(1_000_000)) < min(1.0, training_rows / total) * 1_000_000
+    sample = rows.where(drawn).select("text", "flags").distinct()
     counted = sample.select("text").mapInArrow(_vocabulary, "word string").groupBy("word").agg(F.count("*").alias("n"))
     vocabulary = sorted(r["word"] for r in counted.where(F.col("n") >= LEAST_TEXTS).collect())
     columns = {word: i + 1 for i, word in enumerate(vocabulary)}
@@ -176,12 +178,12 @@ def predicted(spark, chain: Chain, text: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, low_quality, toxic, severe) of the documents with labels: the chain of categories that
+    """(key, text, low_quality, toxic, severe) of the documents with labels: the chain of categories that
     the labels can tell, ``severe`` being toxic and of low quality."""
     known = labels.select(F.col(key).alias("__key"), F.col("quality").alias("__quality"), F.col("toxic").alias("__toxic"))
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(known, "__key")
     low, toxic = (F.col("__quality") == 0).cast("int"), F.col("__toxic").cast("int")
-    return rows.select(F.col("__text").alias("text"), low.alias("low_quality"), toxic.alias("toxic"), (low * toxic).alias("severe"))
+    return rows.select(F.col("__key").alias("key"), F.col("__text").alias("text"), low.alias("low_quality"), toxic.alias("toxic"), (low * toxic).alias("severe"))
 
 
 CATEGORIES = ("low_quality", "toxic", "severe")
@@ -192,7 +194,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """(key, p_low_quality, p_toxic, p_severe, toxic) of every document, ``toxic`` telling whether
     p_toxic is at least ``threshold``. A null text, or one without words, is not toxic; repeated rows
     and null keys stay; other columns are not read."""
-    chain = fit(labelled(docs, labels, key, text), CATEGORIES, "text", training_rows)
+    chain = fit(labelled(docs, labels, key, text), CATEGORIES, "text", training_rows, key="key")
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     found = rows.select("__key", predicted(docs.sparkSession, chain, F.col("__text")).alias("__p"))
     return found.select(F.col("__key").alias(key), "__p.*", (F.col("__p.p_toxic") >= threshold).alias("toxic"))

@@ -373,3 +373,14 @@ def test_pipeline(spark, tmp_path, awkward):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11]
     assert sum(r.doc_id is None for r in kept) == 2
     assert os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py" and len(corpus_pipeline.STAGES) == 4
+
+
+def test_copies_are_in_the_training_sample_once(spark):
+    """A big group of copies changes neither the chain nor the number of rows that one task trains on."""
+    rows = [(i, f"plain words {i % 7} of text {chr(97 + i % 11)}", i % 2, i % 3 == 0) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "key long, text string, low_quality int, toxic boolean")
+    copies = spark.range(100, 2100).select(F.col("id").alias("key"), F.lit(rows[0][1]).alias("text"), F.lit(rows[0][2]).alias("low_quality"),
+                                           F.lit(rows[0][3]).alias("toxic"))
+    one, many = (toxicity.fit(df, ["low_quality", "toxic"], training_rows=10_000, key="key") for df in (labelled, labelled.unionByName(copies)))
+    assert one.columns == many.columns
+    assert all((a == b).all() for a, b in zip(one.weights, many.weights))
