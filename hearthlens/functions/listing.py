@@ -1,8 +1,8 @@
 """Typed attributes of a second-hand listing out of its text fields.
 
 The source notes name the resulting columns but not the text layout; the patterns below are this
-library's reading of it. Each text is matched once, with every part optional but in the order of
-the site, and rewritten to a fixed number of fields.
+library's reading of it. Each part of a house text has its own pattern, so parts may be absent, unknown
+or out of order; a follow text is matched once and rewritten to a fixed number of fields.
 """
 
 from __future__ import annotations
@@ -12,23 +12,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthlens.functions.text import first_token
+from hearthlens.operators.encode import ARCHITECTURE_WORDS, FURNISHMENT_WORDS, LEVEL_WORDS
 from hearthlens.operators.select import compute_once
 
-# The words of the text fields.
-LEVEL_WORDS = ["地下室", "底层", "低楼层", "中楼层", "高楼层", "顶层"]
-FURNISHMENT_WORDS = ["其他", "毛坯", "简装", "精装"]
-ARCHITECTURE_WORDS = ["平房", "板楼", "板塔结合", "塔楼"]
+# The units of the time on the market, in days.
 DAYS_PER_UNIT = {"天": 1, "个月": 30, "年": 365}
 
-HOUSE_INFO = (
-    r"(?s)^\s*(?:(\d+)室)?(?:(\d+)厅)?[^|\d]*\|?"
-    r"\s*(?:(\d+(?:\.\d+)?)平米\s*\|?)?"
-    r"\s*(?:([东南西北][东南西北 ]*)\|?)?"
-    rf"\s*(?:({'|'.join(FURNISHMENT_WORDS)})\s*\|?)?"
-    rf"\s*(?:({'|'.join(LEVEL_WORDS)})?(?:\(?共(\d+)层\)?)?\s*\|?)?"
-    r"\s*(?:\d+年建\s*\|?)?"
-    rf"\s*({'|'.join(ARCHITECTURE_WORDS)})?.*$"
-)
+# One pattern per attribute; the parts of a text may come in any order.
+HOUSE_PARTS = [
+    r"(?:^|[|\s])(\d+)室",
+    r"(?:^|[|\s室])(\d+)厅",
+    r"(?:^|[|\s厅])(\d+(?:\.\d+)?)平米",
+    r"(?:^|\|)\s*([东南西北][东南西北 ]*)(?:\||$)",
+    rf"(?:^|[|\s])({'|'.join(FURNISHMENT_WORDS)})\s*(?:\||$)",
+    rf"(?:^|[|\s])({'|'.join(LEVEL_WORDS)})\s*(?:[(共|]|$)",
+    r"共(\d+)层",
+    rf"(?:^|[|\s])({'|'.join(ARCHITECTURE_WORDS)})\s*(?:\||$)",
+]
 FOLLOW_INFO = rf"(?s)^\s*(?:(\d+)人关注)?[\s/]*(?:(今天|刚刚)|(\d+)({'|'.join(DAYS_PER_UNIT)})以?前)?.*$"
 
 
@@ -36,6 +36,10 @@ def _fields(text: Column, pattern: str, count: int) -> Column:
     return F.split(F.regexp_replace(text, pattern, "|".join(f"${i + 1}" for i in range(count))), r"\|")
 
 
+def _house_fields(text: Column) -> Column:
+    return F.array(*[F.regexp_extract(text, pattern, 1) for pattern in HOUSE_PARTS])
+
+
 def _field(fields: Column, index: int) -> Column:
     return F.nullif(F.trim(F.get(fields, F.lit(index))), F.lit(""))
 
@@ -43,7 +47,7 @@ def _field(fields: Column, index: int) -> Column:
 def house_info_columns(info: Column) -> dict[str, Column]:
     """Rooms, halls, area, orientation, furnishment, level, floors and building type of texts like
     ``3室2厅 | 89.5平米 | 南 北 | 精装 | 中楼层(共18层) | 板楼``; a part that is absent is null."""
-    return _house_columns(_fields(info, HOUSE_INFO, 8))
+    return _house_columns(_house_fields(info))
 
 
 def follow_info_columns(info: Column) -> dict[str, Column]:
@@ -84,7 +88,7 @@ def price_columns(total: Column, unit: Column) -> dict[str, Column]:
 def parse_listings(df: DataFrame, keep: Sequence[str], house_info: str = "house_info", follow_info: str = "follow_info",
                    total_price: str = "total_price", unit_price: str = "unit_price") -> DataFrame:
     """The kept columns and all typed attributes; each text is matched once per row."""
-    matched = compute_once(df, __house=_fields(F.col(house_info), HOUSE_INFO, 8),
+    matched = compute_once(df, __house=_house_fields(F.col(house_info)),
                            __follow=_fields(F.col(follow_info), FOLLOW_INFO, 4))
     columns = {
         **_house_columns(F.col("__house")),

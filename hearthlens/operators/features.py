@@ -104,16 +104,25 @@ def select_k_best(df: DataFrame, label: str, features: Sequence[str], k: int = 2
     return [c for c in features if c in names]
 
 
-def price_classes(df: DataFrame, column: str, classes: int, out: str) -> DataFrame:
-    """Adds a class 0..classes-1 by the values at evenly spaced ranks of the column; a value at a cut
-    belongs to the lower class."""
+def price_cuts(df: DataFrame, column: str, classes: int) -> list:
+    """The values at evenly spaced ranks of the column, which divide it into classes."""
     total = df.agg(F.count(column)).first()[0]
     ranks = sorted({max(math.ceil(total * i / classes) - 1, 0) for i in range(1, classes)}) if total else []
     found = order_statistics(df, {column: ranks}, {column: total})
+    return sorted({found[(column, rank)] for rank in ranks})
+
+
+def price_class(column: str, cuts: Sequence) -> Column:
+    """The class 0, 1, ... of a value; a value at a cut belongs to the lower class."""
     index = F.lit(0)
-    for cut in sorted({found[(column, rank)] for rank in ranks}):
+    for cut in cuts:
         index = index + F.when(F.col(column) > F.lit(cut), 1).otherwise(0)
-    return df.withColumn(out, F.when(F.col(column).isNotNull(), index))
+    return F.when(F.col(column).isNotNull(), index)
+
+
+def price_classes(df: DataFrame, column: str, classes: int, out: str) -> DataFrame:
+    """Adds a class by the cuts of the table itself."""
+    return df.withColumn(out, price_class(column, price_cuts(df, column, classes)))
 
 
 def class_weights(label: str, weights: dict) -> Column:

@@ -1,79 +1,50 @@
 """Positions in a global order: running numbers, contiguous folds, ranks of small tables.
 
-An unpartitioned window moves all rows into one task. Here the order is cut into value ranges, rows
-are numbered inside their range in parallel, and each range starts at the exact count of the rows
-before it. The range of a row depends on its values only, so a lost executor changes nothing.
+An unpartitioned window moves all rows into one task. Here the order is cut into ranges, rows are
+numbered inside their range in parallel, and each range starts at the exact count of the rows before it.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthlens.operators.orderstats import order_statistics
+from hearthlens.session import shared_folder
 
 ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 10_000
-
-
-def _cuts(df: DataFrame, column: str, ranges: int) -> list[float]:
-    """Range starts at evenly spaced quantiles. A value that fills several quantiles gets a range of
-    its own, ended by the next representable number."""
-    points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    found = df.agg(F.percentile_approx(F.col(column).cast("double"), points, min(100 * ranges, 1_000_000))).first()[0] or []
-    crowded = {a for a, b in zip(found, found[1:]) if a == b}
-    return sorted(set(found) | {math.nextafter(value, math.inf) for value in crowded})
-
-
-def _range_index(df: DataFrame, column: str, cuts: list[float], out: str) -> DataFrame:
-    if not cuts:
-        return df.withColumn(out, F.lit(0))
-    # a cut belongs to the range it starts, so equal values are always in one range
-    splits = [-math.inf] + cuts + [math.inf]
-    scaled = df.withColumn("__key", F.col(column).cast("double"))
-    found = Bucketizer(splits=splits, inputCol="__key", outputCol="__range").transform(scaled)
-    return found.withColumn(out, F.col("__range").cast("int")).drop("__key", "__range")
-
-
-def _numbered_ranges(df: DataFrame, order: str, tie: str, ranges: int, size: int) -> DataFrame:
-    """Adds the range of a row, ``__a`` by its value and ``__b`` by its tie within a crowded value."""
-    by_value = _range_index(df, order, _cuts(df, order, ranges), "__a")
-    crowded = by_value.groupBy("__a").agg(
-        F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"),
-    ).where((F.col("n") > 2 * size) & (F.col("first") == F.col("last"))).collect()
-    parts = by_value.withColumn("__b", F.lit(0))
-    for row in crowded:
-        same = F.col("__a") == row["__a"]
-        inner = _cuts(by_value.where(same), tie, math.ceil(row["n"] / size))
-        parts = (
-            _range_index(parts, tie, inner, "__c")
-            .withColumn("__b", F.when(same, F.col("__c")).otherwise(F.col("__b"))).drop("__c")
-        )
-    return parts
+
+
+def ranged(df: DataFrame, order: str, tie: str, ranges: int) -> DataFrame:
+    """The rows in ``ranges`` sorted partitions by the two columns, with the range of a row and its place
+    in it from 0. A value that many rows share is divided by ``tie`` like any other stretch of the order.
+
+    The range bounds come from a sample, so the rows are written once to the shared folder: what reads
+    them later, or again after a lost executor, finds the same places.
+    """
+    shared_folder(df.sparkSession)
+    placed = df.repartitionByRange(ranges, order, tie).sortWithinPartitions(order, tie)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the lower 33 bits count within a partition
+    return placed.withColumns({"__range": F.spark_partition_id(), "__place": place}).checkpoint()
 
 
 def number_rows(df: DataFrame, order: str, tie: str, out: str = "row_no",
                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Adds 1..n in the order of the numeric column ``order``, ties by the numeric column ``tie``.
+    """Adds 1..n in the order of the column ``order``, ties by the column ``tie``.
 
-    ``tie`` has to be unique among equal ``order`` values, and both have to be free of nulls. A
-    value that many rows share is divided further by ``tie``, so no task gets more than its range.
+    ``tie`` has to be unique among equal ``order`` values, and both have to be free of nulls. The number
+    of ranges follows the rows, and the number of jobs depends on neither rows nor values.
     """
-    total = df.count()
-    ranges = min(MAX_RANGES, math.ceil(total / rows_per_range))
+    ranges = math.ceil(df.count() / rows_per_range)
     if ranges <= 1:
         return df.withColumn(out, F.row_number().over(Window.orderBy(order, tie)))
-
-    parts = _numbered_ranges(df, order, tie, ranges, math.ceil(total / ranges))
+    parts = ranged(df, order, tie, ranges)
     # one row per range, so the running total and its broadcast are bounded by the number of ranges
-    starts = parts.groupBy("__a", "__b").agg(F.count("*").alias("__n")).select(
-        "__a", "__b", (F.sum("__n").over(Window.orderBy("__a", "__b")) - F.col("__n")).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(order, tie))
-    numbered = parts.withColumn("__inside", inside).join(F.broadcast(starts), ["__a", "__b"])
-    return numbered.withColumn(out, F.col("__before") + F.col("__inside")).drop(
-        "__a", "__b", "__before", "__inside")
+    starts = parts.groupBy("__range").agg(F.count("*").alias("__n")).select(
+        "__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))
+    numbered = parts.join(F.broadcast(starts), "__range")
+    return numbered.withColumn(out, F.col("__before") + F.col("__place") + 1).drop("__range", "__place", "__before")
 
 
 def contiguous_folds(df: DataFrame, key: str, folds: int, out: str = "fold") -> DataFrame:

@@ -99,12 +99,15 @@ def feature_matrix(spark, folder):
     return rows.select("p_partkey", "label", F.get(x, F.lit(0)).alias("first_value"), F.get(x, F.lit(1)).alias("second_value"))
 
 
-@query("select 1.0::double as total_share from lineitem having count(*) > 0")
+@query("select round(" + " + ".join(f"sum(({c} - m{i}) * ({c} - m{i})) / any_value(d{i} * d{i})" for i, c in enumerate(CHI)) + ", 3) as total from lineitem, (select "
+       + ", ".join(f"avg({c}) as m{i}, stddev_pop({c}) as d{i}" for i, c in enumerate(CHI)) + " from lineitem)")
 def pca_total_variance(spark, folder):
+    """All components together hold the squared deviations of all standardised columns."""
     rows = table(spark, folder, "lineitem")
-    _, model = features.fit_pca(rows, CHI)
-    shares = features.explained_variance(rows, model)
-    return shares.agg(F.round(F.sum("share"), 6).alias("total_share"))
+    scaling, model = features.fit_pca(rows, CHI)
+    parts = vector_to_array("components")
+    length = F.aggregate(parts, F.lit(0.0), lambda total, c: total + c * c)
+    return model.transform(scaling.apply(rows)).agg(F.round(F.sum(length), 3).alias("total"))
 
 
 @query("""with s as (select (l_quantity - avg(l_quantity) over ()) / stddev_pop(l_quantity) over () as a,

@@ -10,7 +10,7 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearthlens.functions.text import round_exact
-from hearthlens.operators import evaluate, features, models, numbering, select, svm
+from hearthlens.operators import clean, evaluate, features, models, numbering, select, svm
 from hearthlens.operators.profile import first_maximum
 from hearthlens.plans import listings, reports
 from hearthlens.plans.listings import LISTING_SQL
@@ -22,7 +22,7 @@ from hearthlens.session import fresh_path
 TREES, ROUNDS, DEPTH = 20, 10, 6
 
 
-def _modelling_rows(spark: SparkSession, folder: str, columns: Sequence[str] = LISTING_FEATURES) -> DataFrame:
+def modelling_rows(spark: SparkSession, folder: str, columns: Sequence[str] = LISTING_FEATURES) -> DataFrame:
     """The modelling table with vector and label, stored once because every fit reads it many times."""
     rows = models.training_frame(listings.listing_features(spark, folder), columns, "t_price", ["id"])
     path = fresh_path(spark, "modelling")
@@ -30,14 +30,15 @@ def _modelling_rows(spark: SparkSession, folder: str, columns: Sequence[str] = L
     return models.repeatable(spark.read.parquet(path), "id")
 
 
-def _parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("split = 'train'").drop("split"), rows.where("split = 'test'").drop("split")
 
 
 @query(f"with {LISTING_SQL} select round(regr_slope(t_price, area), 4) as slope, round(regr_intercept(t_price, area), 4) as intercept from cleaned")
 def least_squares_line(spark, folder):
-    model = models.fit_cached(models.least_squares(), _modelling_rows(spark, folder, ["area"]))
-    return spark.createDataFrame([(round(float(model.coefficients[0]), 4), round(float(model.intercept), 4))], "slope double, intercept double")
+    """One feature needs no iterative fit: the slope is an aggregate."""
+    kept = clean.apply_rules(listings.parsed(listings.listing_raw(spark, folder)), listings.rules())
+    return kept.agg(F.round(F.regr_slope("t_price", "area"), 4).alias("slope"), F.round(F.regr_intercept("t_price", "area"), 4).alias("intercept"))
 
 
 CURVE_BUCKET = "cast(('0x' || substr(md5(cast(id as varchar) || ':0'), 1, 13)) as bigint) % 1000000"
@@ -52,27 +53,27 @@ SHARES = [0.25, 0.5, 1.0]
   round(sqrt(avg(pow(t_price - a * area - b, 2))), 4) as rmse from s, f{i} where test or bucket < {int(x * 1e6)} group by 1, 2"""
     for i, x in enumerate(SHARES)))
 def learning_curve(spark, folder):
-    train, test = _parts(_modelling_rows(spark, folder, ["area"]))
+    train, test = parts(modelling_rows(spark, folder, ["area"]))
     curve = evaluate.learning_curve(train, test, "id", SHARES, lambda part: models.fit_cached(models.least_squares(), part))
     return curve.withColumn("rmse", F.round("rmse", 4))
 
 
 @query()
 def cross_validated_learning_curve(spark, folder):
-    rows = numbering.hashed_folds(_modelling_rows(spark, folder), "id", 3)
+    rows = numbering.hashed_folds(modelling_rows(spark, folder), "id", 3)
     return evaluate.fold_curve(rows, "id", "fold", 3, [0.5, 1.0], lambda part: models.fit_cached(models.least_squares(), part))
 
 
 @query()
 def forest_regression(spark, folder):
-    train, test = _parts(_modelling_rows(spark, folder))
+    train, test = parts(modelling_rows(spark, folder))
     model = models.fit_cached(models.random_forest(trees=TREES, depth=DEPTH), train)
     return evaluate.regression_metrics(model.transform(test))
 
 
 @query()
 def forest_against_line(spark, folder):
-    train, test = _parts(_modelling_rows(spark, folder))
+    train, test = parts(modelling_rows(spark, folder))
     forest = models.fit_cached(models.random_forest(trees=TREES, depth=DEPTH), train)
     line = models.fit_cached(models.least_squares(), train)
     return evaluate.compare_models({"forest": forest.transform(test), "least squares": line.transform(test)})
@@ -80,7 +81,7 @@ def forest_against_line(spark, folder):
 
 @query()
 def forest_importance(spark, folder):
-    train, _ = _parts(_modelling_rows(spark, folder))
+    train, _ = parts(modelling_rows(spark, folder))
     model = models.fit_cached(models.random_forest(trees=TREES, depth=DEPTH), train)
     found = evaluate.importances(train, LISTING_FEATURES, model)
     return reports.importance_bars(found).withColumn("shown", round_exact(F.col("importance"), 2))
@@ -93,7 +94,7 @@ def component_forest(spark, folder):
     path = fresh_path(spark, "components")
     rows.write.parquet(path)
     rows = features.hash_split(spark.read.parquet(path), "id", 0.2)
-    train, test = _parts(rows)
+    train, test = parts(rows)
     score, model = models.scaled_pca_forest(train, LISTING_FEATURES, "t_price", models.random_forest(trees=TREES, depth=DEPTH))
     names = [f"pc{i + 1}" for i in range(len(LISTING_FEATURES))]
     measured = evaluate.regression_metrics(score(test)).select(F.lit("test").alias("feature"), F.col("rmse").alias("importance"))
@@ -102,10 +103,10 @@ def component_forest(spark, folder):
 
 @query()
 def forest_classes(spark, folder):
-    """Forest on price classes, features above the importance threshold."""
-    rows = _modelling_rows(spark, folder)
-    classed = features.price_classes(rows, "label", 4, "class").drop("label").withColumn("label", F.col("class").cast("double"))
-    train, test = _parts(classed)
+    """Forest on price classes cut by the training rows, features above the importance threshold."""
+    train, test = parts(modelling_rows(spark, folder))
+    known = features.price_class("label", features.price_cuts(train, "label", 4)).cast("double")
+    train, test = train.withColumn("label", known), test.withColumn("label", known)
     model = models.fit_cached(models.forest_classifier(trees=TREES, depth=DEPTH), train)
     chosen = select.important(LISTING_FEATURES, model.featureImportances.toArray())
     return model.transform(test).agg(evaluate.accuracy().alias("accuracy")).withColumn("important", F.lit(",".join(chosen)))
@@ -113,7 +114,7 @@ def forest_classes(spark, folder):
 
 @query()
 def boosting_curve(spark, folder):
-    train, test = _parts(_modelling_rows(spark, folder))
+    train, test = parts(modelling_rows(spark, folder))
     model = models.fit_cached(models.boosted_trees(rounds=ROUNDS), train)
     curves = {"train": models.boosting_curve(model, train), "test": models.boosting_curve(model, test)}
     log = [(name, i, float(v)) for name, values in curves.items() for i, v in enumerate(values)]
@@ -123,7 +124,7 @@ def boosting_curve(spark, folder):
 
 @query()
 def stacked_regression(spark, folder):
-    train, test = _parts(_modelling_rows(spark, folder))
+    train, test = parts(modelling_rows(spark, folder))
     bases = [models.random_forest(trees=TREES, depth=DEPTH, seed=42), models.boosted_trees(rounds=ROUNDS)]
     model = models.StackedRegressor(bases, "id").fit(train)
     return evaluate.regression_metrics(model.transform(test))
@@ -131,7 +132,7 @@ def stacked_regression(spark, folder):
 
 # --- support vector machines ---------------------------------------------------------------------
 
-def _points(spark: SparkSession, folder: str) -> DataFrame:
+def points(spark: SparkSession, folder: str) -> DataFrame:
     """Two-dimensional points with a class: document length and share of distinct words, by quality."""
     words = F.split(F.lower("text"), r"\s+")
     docs = table(spark, folder, "documents").select(
@@ -144,36 +145,38 @@ def _points(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def linear_svm(spark, folder):
-    """The penalties 1, 100 and none, on raw and standardised points, measured on the points."""
-    points = _points(spark, folder)
-    n = points.count()
-    table_ = None
-    for scale, rows in (("raw", points), ("standard", features.fit_standard(points, ["X1", "X2"]).apply(points))):
-        rows = features.assembler(["X1", "X2"]).transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    """The penalties 1, 100 and none, on raw and standardised points, measured on test points."""
+    train, test = parts(features.hash_split(points(spark, folder), "doc_id", 0.3))
+    n, table_ = train.count(), None
+    scaling = features.fit_standard(train, ["X1", "X2"])
+    for scale, apply in (("raw", lambda df: df), ("standard", scaling.apply)):
+        rows, unseen = (features.assembler(["X1", "X2"]).transform(apply(df)).persist(StorageLevel.MEMORY_AND_DISK) for df in (train, test))
         for c in (1.0, 100.0, float("inf")):
-            model = svm.linear_svm(c, n, max_iter=100).fit(rows)
-            scored = model.transform(rows).withColumn("score", evaluate.decision_score())
+            scored = svm.linear_svm(c, n).fit(rows).transform(unseen).withColumn("score", evaluate.decision_score())
             line = scored.agg(F.count("*").alias("rows"), evaluate.accuracy().alias("accuracy"), F.min("score").alias("lowest"),
                               F.max("score").alias("highest")).select(F.lit(scale).alias("scale"), F.lit(str(c)).alias("c"), "*").first()
             row = spark.createDataFrame([tuple(line)], "scale string, c string, rows bigint, accuracy double, lowest double, highest double")
             table_ = row if table_ is None else table_.unionByName(row)
         rows.unpersist()
+        unseen.unpersist()
     return table_
 
 
 @query()
 def weighted_linear_svm(spark, folder):
     """The rarer class weighs ten times as much in the second fit."""
-    points = _points(spark, folder).withColumn("weight", features.class_weights("label", {0: 10}))
-    rows = features.assembler(["X1", "X2"]).transform(features.fit_standard(points, ["X1", "X2"]).apply(points))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    split = features.hash_split(points(spark, folder), "doc_id", 0.3).withColumn("weight", features.class_weights("label", {0: 10}))
+    train, test = parts(split)
+    scaling = features.fit_standard(train, ["X1", "X2"])
+    rows, unseen = (features.assembler(["X1", "X2"]).transform(scaling.apply(df)).persist(StorageLevel.MEMORY_AND_DISK) for df in (train, test))
     totals = rows.agg(F.count("*").alias("n"), F.sum("weight").alias("w")).first()
     found = []
     for weight, total in ((None, totals["n"]), ("weight", totals["w"])):
-        scored = svm.linear_svm(1.0, float(total), max_iter=100, weight=weight).fit(rows).transform(rows)
+        scored = svm.linear_svm(1.0, float(total), weight=weight).fit(rows).transform(unseen)
         r = scored.agg(F.avg((F.col("prediction") == 0).cast("double")), evaluate.accuracy()).first()
         found.append((weight or "none", float(r[0]), float(r[1])))
     rows.unpersist()
+    unseen.unpersist()
     return spark.createDataFrame(found, "weighting string, share_of_class_0 double, accuracy double")
 
 
@@ -189,18 +192,18 @@ def two_class_svm(spark, folder):
 
 @query()
 def kernel_svm(spark, folder):
-    """Gaussian kernel machine with probabilities."""
-    rows = _points(spark, folder)
-    rows = features.fit_standard(rows, ["X1", "X2"]).apply(rows)
-    model = svm.fit_kernel_svm(rows, ["X1", "X2"], c=100, gamma=10, probability=True, max_iter=30)
-    return model.transform(rows).select("doc_id", "X1", "X2", "label", "prediction", "score", "probability_0")
+    """Gaussian kernel machine with probabilities, on test points."""
+    train, test = parts(features.hash_split(points(spark, folder), "doc_id", 0.3))
+    scaling = features.fit_standard(train, ["X1", "X2"])
+    model = svm.fit_kernel_svm(scaling.apply(train), ["X1", "X2"], c=100, gamma=10, probability=True)
+    return model.transform(scaling.apply(test)).select("doc_id", "X1", "X2", "label", "prediction", "score", "probability_0")
 
 
 @query()
 def kernel_svm_search(spark, folder):
     """The best setting of a grid, measured on separate validation rows."""
-    rows = features.hash_split(_points(spark, folder), "doc_id", 0.3)
-    train, validation = _parts(rows)
+    rows = features.hash_split(points(spark, folder), "doc_id", 0.3)
+    train, validation = parts(rows)
     scaling = features.fit_standard(train, ["X1", "X2"])
     grid = svm.search_kernel_svm(scaling.apply(train), scaling.apply(validation), ["X1", "X2"], [0.1, 1, 10], [0.1, 1, 10],
                                  size=100, max_iter=20)

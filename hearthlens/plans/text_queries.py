@@ -12,7 +12,7 @@ from hearthlens.operators.select import spread
 from hearthlens.plans import listings
 from hearthlens.plans.listings import LISTING_SQL, MACRO_SQL
 from hearthlens.plans.registry import query, table
-from hearthlens.sources import json_items, union_all_columns
+from hearthlens.sources import broken_pages, json_items, undeclared_fields, union_all_columns
 
 # A key for data that the queries encrypt themselves; keys of real data are configuration.
 TEST_KEY = "0123456789abcdef"
@@ -141,6 +141,21 @@ def json_pages_of_two_shapes(spark, folder):
         F.count("*").alias("items"), F.count("show_price").alias("priced"), F.count("rooms").alias("with_rooms"))
 
 
+@query("select event_type as source, count(*) as broken from events where event_type = 'error' group by 1")
+def json_broken_pages(spark, folder):
+    pages = spread(table(spark, folder, "events")).select(F.col("event_type").alias("source"), _payload().alias("payload"))
+    return broken_pages(pages, "payload").groupBy("source").agg(F.count("*").alias("broken"))
+
+
+@query("""select event_type as source, unnest(['tags', 'extra.user']) as field, unnest([count(event_type), count(user_id)]) as items
+from events where event_type <> 'error' group by 1""")
+def json_undeclared_fields(spark, folder):
+    """The pages are read as if two of their fields had not been declared."""
+    declared = StructType([ITEM["url"], ITEM["show_price"], StructField("extra", StructType([StructField("k", LongType())]))])
+    pages = spread(table(spark, folder, "events")).select(F.col("event_type").alias("source"), _payload().alias("payload"))
+    return undeclared_fields(pages, "payload", declared, ["source"])
+
+
 # --- listing texts -------------------------------------------------------------------------------
 
 def card_pages(spark: SparkSession, folder: str) -> DataFrame:

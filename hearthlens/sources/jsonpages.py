@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from hearthlens.schemas import json_page
@@ -31,14 +31,39 @@ def flatten_structs(df: DataFrame) -> DataFrame:
 def json_items(df: DataFrame, payload: str, item: StructType, keep: list[str] | None = None) -> DataFrame:
     """One row per list item of a JSON page, nested fields under dotted names.
 
-    A page that is not valid JSON has no items. Fields that the declared item lacks are not read;
-    pages of another shape are read with their own schema and joined by ``union_all_columns``.
+    A page that is not valid JSON has no items and is found by ``broken_pages``. Fields that the declared
+    item lacks are not read and are found by ``undeclared_fields``; pages of another shape are read with
+    their own schema and joined by ``union_all_columns``.
     """
     page = F.from_json(F.col(payload), json_page(item), {"mode": "PERMISSIVE"})
     items = df.select(*(keep or []), F.inline(page["data"]["list"]))
     return flatten_structs(items)
 
 
+def broken_pages(df: DataFrame, payload: str) -> DataFrame:
+    """The rows whose text is not valid JSON, as they are; a null is no text."""
+    return df.where(F.col(payload).isNotNull() & F.try_parse_json(payload).isNull())
+
+
+def undeclared_fields(df: DataFrame, payload: str, item: StructType, by: list[str]) -> DataFrame:
+    """(by, field, items): how many items have a field that the declared item lacks, nested fields under
+    dotted names."""
+    page = F.from_json(F.col(payload), "data struct<list: array<string>>", {"mode": "PERMISSIVE"})
+    items = df.select(*by, F.explode(page["data"]["list"]).alias("raw"))
+
+    def unknown(schema: StructType, path: tuple[str, ...]) -> list[Column]:
+        here = F.get_json_object("raw", "$" + "".join(f"['{p}']" for p in path)) if path else F.col("raw")
+        names = F.array_except(F.json_object_keys(here), F.array(*[F.lit(n) for n in schema.names]))
+        dotted = F.transform(names, lambda n: F.concat(F.lit("".join(p + "." for p in path)), n))
+        found = [F.coalesce(dotted, F.array().cast("array<string>"))]
+        for field in schema.fields:
+            if isinstance(field.dataType, StructType):
+                found += unknown(field.dataType, (*path, field.name))
+        return found
+
+    return items.select(*by, F.explode(F.concat(*unknown(item, ()))).alias("field")).groupBy(*by, "field").agg(F.count("*").alias("items"))
+
+
 def union_all_columns(frames: list[DataFrame]) -> DataFrame:
     """Rows of all frames by column name; a column that a frame lacks is null there."""
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)

@@ -20,20 +20,16 @@ def write_merged(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_name_line(df: DataFrame, path: str, name: str, position: str, one_line_rows: int = 100_000) -> None:
-    """Names joined by commas in the order of ``position``.
+def write_name_line(df: DataFrame, path: str, name: str, position: str, most: int = 1_000_000) -> None:
+    """Names joined by commas in the order of ``position``, always one line in one file.
 
-    Up to ``one_line_rows`` names become exactly one line in one file. A longer list is written
-    sorted with the comma as the record separator, so that reading the part files in order gives
-    the same list; every part then ends with a comma.
+    A line is one value, which one task holds, so a table with more than ``most`` names is refused.
     """
-    if df.limit(one_line_rows + 1).count() <= one_line_rows:
-        pairs = F.array_sort(F.collect_list(F.struct(F.col(position), F.col(name).alias("name"))))
-        line = df.agg(F.array_join(F.transform(pairs, lambda p: p["name"]), ",").alias("value"))
-        line.write.mode("overwrite").text(path)
-    else:
-        df.orderBy(position).select(F.col(name).alias("value")).write.mode("overwrite").option(
-            "lineSep", ",").text(path)
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a line has at most {most} names")
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(position), F.col(name).alias("name"))))
+    line = df.agg(F.array_join(F.transform(pairs, lambda p: p["name"]), ",").alias("value"))
+    line.write.mode("overwrite").text(path)
 
 
 def pending(listed: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -28,10 +29,10 @@ def load_new_entities(spark: SparkSession, source: str, schema: StructType, targ
     stream = spark.readStream.schema(schema).format(fmt).load(source)
 
     def store(batch: DataFrame, number: int) -> None:
-        kept = batch
-        if _exists(spark, target):
+        kept, loaded = batch, _loaded_so_far(spark, target, schema)
+        if loaded is not None:
             own = (F.col("load") == load) & (F.col("batch") == number)
-            kept = pending(batch, read_loaded(spark, target, schema).where(~own), [key])
+            kept = pending(batch, loaded.where(~own), [key])
         kept.write.mode("overwrite").parquet(f"{target.rstrip('/')}/load={load}/batch={number}")
 
     query = (
@@ -46,6 +47,11 @@ def read_loaded(spark: SparkSession, target: str, schema: StructType) -> DataFra
     return spark.read.schema(StructType(schema.fields).add("load", "string").add("batch", "long")).parquet(target)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+def _loaded_so_far(spark: SparkSession, target: str, schema: StructType) -> DataFrame | None:
+    """The stored rows, or None before the first batch has made the folder."""
+    try:
+        return read_loaded(spark, target, schema)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None

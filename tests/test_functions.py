@@ -115,6 +115,11 @@ def test_house_info(spark):
     assert found[1] == (1, 0, 40.0, "东南", "毛坯", None, 6, None)
     assert found[2] == (None, None, 300.0, None, None, None, None, None)
     assert found[3] == (None,) * 8
+    rows = [("联排别墅 | 3室2厅 | 120平米 | 南 | 毛坯 | 共3层",), ("塔楼 | 高楼层 (共30层) | 精装 | 北 | 61平米 | 2室1厅",), ("",)]
+    found = values(spark, rows, "t string", *[columns[n] for n in names])
+    assert found[0] == (3, 2, 120.0, "南", "毛坯", None, 3, None)
+    assert found[1] == (2, 1, 61.0, "北", "精装", "高楼层", 30, "塔楼")
+    assert found[2] == (None,) * 8
 
 
 def test_follow_info_and_prices(spark):

@@ -267,8 +267,8 @@ def test_both_target_correlation_ways_agree(spark):
 def test_no_range_takes_much_more_than_its_share(spark):
     """A third of all rows share one value, which sits among other values."""
     df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 500).otherwise((F.col("id") * 37) % 1000).alias("v"))
-    parts = numbering._numbered_ranges(df.coalesce(2), "v", "id", 30, 200)
-    largest = parts.groupBy("__a", "__b").count().agg(F.max("count")).first()[0]
+    parts = numbering.ranged(df.coalesce(2), "v", "id", 30)
+    largest = parts.groupBy("__range").count().agg(F.max("count")).first()[0]
     assert largest <= 500
     found = numbering.number_rows(df, "v", "id", rows_per_range=200)
     expected = sorted((r["v"], r["id"]) for r in df.collect())

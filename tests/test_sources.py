@@ -79,13 +79,14 @@ def test_logs(spark, tmp_path):
     assert [(r["name"], r["iter"], r["RMSE"]) for r in rows] == [("experiment", 0, 106.9), ("experiment", 1, 97.9)]
 
 
-def test_name_line_short_and_long(spark):
+def test_name_line_is_one_line_or_refused(spark):
     df = spark.createDataFrame([(2, "包头"), (1, "保定"), (3, "北海")], "pos int, name string").repartition(3)
-    short, long = fresh_path(spark, "names"), fresh_path(spark, "names")
-    sources.write_name_line(df, short, "name", "pos")
-    assert [r[0] for r in spark.read.text(short).collect()] == ["保定,包头,北海"]
-    sources.write_name_line(df, long, "name", "pos", one_line_rows=1)
-    assert sorted(r[0] for r in spark.read.option("lineSep", ",").text(long).collect()) == sorted(["保定", "包头", "北海"])
+    for most in (3, 1_000_000):
+        path = fresh_path(spark, "names")
+        sources.write_name_line(df, path, "name", "pos", most)
+        assert [r[0] for r in spark.read.text(path).collect()] == ["保定,包头,北海"]
+    with pytest.raises(ValueError):
+        sources.write_name_line(df, fresh_path(spark, "names"), "name", "pos", 2)
 
 
 def test_pending(spark):
