@@ -58,7 +58,7 @@ def read_strict_numeric(spark: SparkSession, path: str, names: list[str]) -> Dat
 def read_per_city(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet") -> DataFrame:
     """All cities of a folder laid out as ``city=<name>/``; the city comes from the folder name,
     so a filter on it prunes folders before any file is opened."""
-    with_city = StructType(schema.fields).add("city", "string")
+    with_city = StructType(list(schema.fields)).add("city", "string")
     return spark.read.schema(with_city).format(fmt).option("header", True).load(path)
 
 

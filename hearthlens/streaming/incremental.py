@@ -44,7 +44,7 @@ def load_new_entities(spark: SparkSession, source: str, schema: StructType, targ
 
 def read_loaded(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
     """The stored rows with the load and batch that stored them."""
-    return spark.read.schema(StructType(schema.fields).add("load", "string").add("batch", "long")).parquet(target)
+    return spark.read.schema(StructType(list(schema.fields)).add("load", "string").add("batch", "long")).parquet(target)
 
 
 def _loaded_so_far(spark: SparkSession, target: str, schema: StructType) -> DataFrame | None:

@@ -139,3 +139,12 @@ def test_only_a_local_session_gets_a_folder_of_its_own():
     assert shared_folder(named) == "/shared/spark" == named.sparkContext.checkpoints
     with pytest.raises(RuntimeError):
         shared_folder(_Session("spark://host:7077"))
+
+
+def test_reading_leaves_the_declared_schema_alone(spark):
+    schema = StructType([StructField("v", LongType())])
+    path = fresh_path(spark, "cities")
+    sources.write_per_city(spark.createDataFrame([("a", 1), ("b", 2)], "city string, v long"), path)
+    for _ in range(2):
+        assert sorted(tuple(r) for r in sources.read_per_city(spark, path, schema).collect()) == [(1, "a"), (2, "b")]
+    assert schema.names == ["v"]
