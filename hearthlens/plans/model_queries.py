@@ -152,7 +152,7 @@ def linear_svm(spark, folder):
     for scale, apply in (("raw", lambda df: df), ("standard", scaling.apply)):
         rows, unseen = (features.assembler(["X1", "X2"]).transform(apply(df)).persist(StorageLevel.MEMORY_AND_DISK) for df in (train, test))
         for c in (1.0, 100.0, float("inf")):
-            scored = svm.linear_svm(c, n).fit(rows).transform(unseen).withColumn("score", evaluate.decision_score())
+            scored = svm.linear_svm(c, n, max_iter=100).fit(rows).transform(unseen).withColumn("score", evaluate.decision_score())
             line = scored.agg(F.count("*").alias("rows"), evaluate.accuracy().alias("accuracy"), F.min("score").alias("lowest"),
                               F.max("score").alias("highest")).select(F.lit(scale).alias("scale"), F.lit(str(c)).alias("c"), "*").first()
             row = spark.createDataFrame([tuple(line)], "scale string, c string, rows bigint, accuracy double, lowest double, highest double")
@@ -172,7 +172,7 @@ def weighted_linear_svm(spark, folder):
     totals = rows.agg(F.count("*").alias("n"), F.sum("weight").alias("w")).first()
     found = []
     for weight, total in ((None, totals["n"]), ("weight", totals["w"])):
-        scored = svm.linear_svm(1.0, float(total), weight=weight).fit(rows).transform(unseen)
+        scored = svm.linear_svm(1.0, float(total), max_iter=100, weight=weight).fit(rows).transform(unseen)
         r = scored.agg(F.avg((F.col("prediction") == 0).cast("double")), evaluate.accuracy()).first()
         found.append((weight or "none", float(r[0]), float(r[1])))
     rows.unpersist()
@@ -195,7 +195,7 @@ def kernel_svm(spark, folder):
     """Gaussian kernel machine with probabilities, on test points."""
     train, test = parts(features.hash_split(points(spark, folder), "doc_id", 0.3))
     scaling = features.fit_standard(train, ["X1", "X2"])
-    model = svm.fit_kernel_svm(scaling.apply(train), ["X1", "X2"], c=100, gamma=10, probability=True)
+    model = svm.fit_kernel_svm(scaling.apply(train), ["X1", "X2"], c=100, gamma=10, probability=True, max_iter=30)
     return model.transform(scaling.apply(test)).select("doc_id", "X1", "X2", "label", "prediction", "score", "probability_0")
 
 
