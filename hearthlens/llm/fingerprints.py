@@ -22,6 +22,12 @@ SPACE = "[\\x09-\\x0D ]+"
 BUCKET_ROWS = 2048
 MAX_BUCKETS = 500_000
 CUTS = 256
+BITS = 128
+#: Texts that are near copies, as in the pipeline, and the share of pairs just as similar to be found.
+SIMILARITY = 0.8
+RECALL = 0.95
+#: Differing bits that a table of the search allows in its block.
+FLIPS = 2
 _PAIR = 0x0000000100000001
 _LOW = 0xFFFFFFFF
 
@@ -150,40 +156,79 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         likeness(pairs["f"], pairs["x"]).alias("near_next"), "f0", "f1")
 
 
+def radius_for(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """The smallest radius that holds a pair of texts of this Jaccard similarity with this probability.
+
+    Sets of one size whose similarity is j have the cosine 2j / (1 + j), and a bit of their fingerprints
+    differs with the probability of their angle over pi, each bit by itself.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    found = 0.0
+    for radius in range(BITS + 1):
+        found += math.comb(BITS, radius) * share ** radius * (1 - share) ** (BITS - radius)
+        if found >= recall:
+            return radius
+    return BITS
+
+
+def _block(a: Column, b: Column, low: int, high: int) -> Column:
+    """Bits ``low`` to ``high`` of a fingerprint whose halves are ``a`` and ``b``; at most 64."""
+    if high <= 64:
+        bits = F.shiftrightunsigned(a, low)
+    elif low >= 64:
+        bits = F.shiftrightunsigned(b, low - 64)
+    else:
+        bits = F.shiftrightunsigned(a, low).bitwiseOR(F.shiftleft(b, 64 - low))
+    return bits if high - low == 64 else bits.bitwiseAND(F.lit((1 << high - low) - 1))
+
+
+def _flips(width: int, most: int) -> list[int]:
+    """All signed 64-bit masks of ``width`` bits with at most ``most`` ones."""
+    masks = [sum(1 << j for j in places) for n in range(most + 1) for places in combinations(range(width), n)]
+    return [mask - (1 << 64) if mask >> 63 else mask for mask in masks]
+
+
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """(q0, q1, f0, f1, bits) of all fingerprints of ``prints`` at most ``radius`` bits from one of
     ``queries``, itself included; both have the columns f0 and f1.
 
-    The 32 hex digits are divided into blocks, at least one more than the radius, so that fingerprints
-    within it agree on ``blocks - radius`` blocks somewhere. Each choice of so many blocks is a table
-    keyed by them; a pair is kept in the first table that finds it. Equal fingerprints are one row, so
-    copies of a text are never paired with each other. ``blocks`` defaults to one more than the radius.
+    The 128 bits are divided into blocks, each with a table keyed by its bits, and each block has a most
+    of differing bits. The mosts and one for every block add up to one more than the radius, so that
+    fingerprints within it keep to the most of a block somewhere. A query looks up its own key and all
+    keys that differ from it by so much; a pair is kept in the first table that finds it. Equal
+    fingerprints are one row, so copies of a text are never paired with each other. ``blocks`` defaults
+    to as many as let no block differ by more than two bits.
     """
-    blocks = blocks or radius + 1
-    if not radius < blocks <= 32:
-        raise ValueError("blocks has to be above the radius and at most 32")
-    edges = [32 * i // blocks for i in range(blocks + 1)]
-    choices = list(combinations(range(blocks), blocks - radius))
+    blocks = blocks or max(2, -(-(radius + 1) // (FLIPS + 1)))
+    if radius < 0 or not 2 <= blocks <= BITS:
+        raise ValueError("the radius may not be negative, and there have to be 2 to 128 blocks")
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    mosts = [(radius + 1 + i) // blocks - 1 for i in range(blocks)]
+    used = [i for i in range(blocks) if mosts[i] >= 0]
 
     def tables(rows: DataFrame, names: tuple[str, str]) -> DataFrame:
-        digits = as_text("f0", "f1")
-        keys = [F.concat(*[F.substring(digits, edges[b] + 1, edges[b + 1] - edges[b]) for b in choice]) for choice in choices]
+        keys = [F.struct(F.lit(i).alias("table"), _block(F.col("f0"), F.col("f1"), edges[i], edges[i + 1]).alias("key")) for i in used]
         return rows.select("f0", "f1").distinct().select(
-            F.col("f0").alias(names[0]), F.col("f1").alias(names[1]), F.posexplode(F.array(*keys)).alias("table", "key"))
-
-    left, right = tables(queries, ("q0", "q1")), tables(prints, ("f0", "f1"))
-    ours, theirs = as_text("q0", "q1"), as_text("f0", "f1")
-    agree = [F.substring(ours, edges[b] + 1, edges[b + 1] - edges[b]) == F.substring(theirs, edges[b] + 1, edges[b + 1] - edges[b]) for b in range(blocks)]
-    first = F.coalesce(*[F.when(reduce(lambda x, y: x & y, [agree[b] for b in choice]), F.lit(i)) for i, choice in enumerate(choices)])
+            F.col("f0").alias(names[0]), F.col("f1").alias(names[1]), F.explode(F.array(*keys)).alias("at")).select(*names, "at.table", "at.key")
+
+    masks = F.create_map(*[x for i in used for x in (F.lit(i), F.lit(_flips(edges[i + 1] - edges[i], mosts[i])).cast("array<bigint>"))])
+    left = tables(queries, ("q0", "q1")).select("q0", "q1", "table", "key", F.explode(masks[F.col("table")]).alias("mask")).select(
+        "q0", "q1", "table", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
+    right = tables(prints, ("f0", "f1"))
+    a, b = F.col("q0").bitwiseXOR(F.col("f0")), F.col("q1").bitwiseXOR(F.col("f1"))
+    first = F.coalesce(*[F.when(F.bit_count(_block(a, b, edges[i], edges[i + 1])) <= mosts[i], F.lit(i)) for i in used])
     bits = distance((F.col("q0"), F.col("q1")), (F.col("f0"), F.col("f1")))
     near = (F.col("l.key") == F.col("r.key")) & (F.col("l.table") == F.col("r.table"))
-    return left.alias("l").join(right.alias("r"), near & (bits <= radius) & (first == F.col("l.table"))).select(
+    # the planner does not see how many keys a query has, so it would broadcast them
+    return left.alias("l").hint("merge").join(right.alias("r"), near & (bits <= radius) & (first == F.col("l.table"))).select(
         "q0", "q1", "f0", "f1", bits.alias("bits"))
 
 
-def near_counts(prints: DataFrame, key: str = "doc_id", every: int = 50, radius: int = 3) -> DataFrame:
+def near_counts(prints: DataFrame, key: str = "doc_id", every: int = 50, radius: int | None = None) -> DataFrame:
     """The rows of ``prints`` with ``n_near``: for keys divisible by ``every`` the number of other rows
-    whose fingerprint is within the radius, null for the others, which are not searched for."""
+    whose fingerprint is within the radius, null for the others, which are not searched for. The radius
+    defaults to what finds near copies, see ``radius_for``."""
+    radius = radius_for() if radius is None else radius
     kept = stored(prints)
     queried = F.coalesce(F.pmod(F.col(key), F.lit(every)) == 0, F.lit(False))
     sizes = kept.groupBy("f0", "f1").agg(F.count("*").alias("__n"))

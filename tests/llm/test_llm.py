@@ -238,6 +238,36 @@ def test_radius_search_finds_all(spark):
         assert sorted(got) == sorted((*q, *p, far(q, p)) for q in asked for p in set(prints) if far(q, p) <= radius)
 
 
+def test_near_copies_are_counted(spark):
+    """Copies with one to four of 200 words changed."""
+    random.seed(11)
+    rows, changed = [], []
+    for i in range(40):
+        text = [f"w{random.randrange(5000)}" for _ in range(200)]
+        rows.append((50 * i, " ".join(text)))
+        for place in random.sample(range(200), 1 + i % 4):
+            text[place] = f"new{i}x{place}"
+        rows.append((50 * i + 1, " ".join(text)))
+    prints = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.doc_id: r.n_near for r in fingerprints.near_counts(prints).collect()}
+    assert all(found[50 * i] == 1 for i in range(40)) and all(found[50 * i + 1] is None for i in range(40))
+    assert fingerprints.radius_for(0.8, 0.95) == 26 and fingerprints.radius_for(1.0, 0.95) == 0
+
+
+def test_wide_radius_search_finds_all(spark):
+    random.seed(12)
+    prints = [(random.getrandbits(64) - (1 << 63), random.getrandbits(64) - (1 << 63)) for _ in range(30)]
+    for f0, f1 in prints[:30]:
+        for bits in (2, 20, 26, 27, 40):
+            mask = sum(1 << place for place in random.sample(range(128), bits))
+            prints.append((int(np.int64(f0) ^ np.array(mask & (1 << 64) - 1, np.uint64).view(np.int64)), int(np.int64(f1) ^ np.array(mask >> 64, np.uint64).view(np.int64))))
+    far = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b))
+    df = spark.createDataFrame(prints, "f0 long, f1 long")
+    for radius, blocks in ((26, None), (20, 7), (1, None), (0, 2), (3, 5)):
+        got = [tuple(r) for r in fingerprints.within_radius(df, df, radius, blocks).collect()]
+        assert sorted(got) == sorted((*q, *p, far(q, p)) for q in prints for p in prints if far(q, p) <= radius)
+
+
 def _near(rows, words, percent):
     sets = {}
     for key, text in rows:
