@@ -25,18 +25,27 @@ PIVOT_SAMPLE = 1000
 BLOCK_ROWS = 4096
 #: Blocks at most, so that what is broadcast about them has a bound; beyond it blocks grow.
 MAX_BLOCKS = 8192
-#: Largest size of an integer component; with more a score may not fit 64 bits.
-LARGEST = float(1 << 24)
+#: Squared lengths below this are sums of integers that a double holds exactly.
+EXACT = 2.0 ** 50
+#: Largest size of an integer component, whose square a double still holds.
+LARGEST = 2.0 ** 500
 STEP = 256
 
 
 def integer_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """(id, v): floor(scale * x) of each component as a double. Null vectors, vectors with a null or
-    non-finite component, or one whose result is beyond 2^24, take no part; other columns are not read."""
-    v = F.transform(F.col(vector), lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
+    """(id, v): floor(scale * x) of each component as a double. Null vectors and vectors with a null or
+    non-finite component take no part, a component beyond 2^500 is an error; other columns are not read."""
     raw = F.col(vector)
-    fit = F.forall(raw, lambda x: F.coalesce(F.abs(F.lit(scale) * x.cast("double")) <= LARGEST, F.lit(False)))
-    return vectors.where(raw.isNotNull() & F.col(key).isNotNull()).where(fit).select(F.col(key).cast("long").alias("id"), v.alias("v"))
+
+    def whole(x):
+        y = F.lit(scale) * x.cast("double")
+        # from 2^52 a double is whole, and a long need not hold it
+        return (F.when(F.abs(y) < 2.0 ** 52, F.floor(y).cast("double")).when(F.abs(y) <= LARGEST, y)
+                .otherwise(F.raise_error(F.lit("a component is beyond 2^500")).cast("double")))
+
+    fit = F.forall(raw, lambda x: F.coalesce(F.abs(x.cast("double")) < math.inf, F.lit(False)))
+    return vectors.where(raw.isNotNull() & F.col(key).isNotNull()).where(fit).select(
+        F.col(key).cast("long").alias("id"), F.transform(raw, whole).alias("v"))
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -63,8 +72,16 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _distances(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    squares = (matrix ** 2).sum(axis=1)[:, None] + (pivots ** 2).sum(axis=1)[None, :] - 2 * matrix @ pivots.T
-    return np.sqrt(np.maximum(squares, 0.0))
+    own, others = (matrix ** 2).sum(axis=1), (pivots ** 2).sum(axis=1)
+    if max(own.max(initial=0.0), others.max(initial=0.0)) < EXACT:
+        return np.sqrt(own[:, None] + others[None, :] - 2 * matrix @ pivots.T)
+    # differences lose a share of the distance, where the sum above would lose a share of the longer length
+    return np.sqrt(np.column_stack([((matrix - pivot) ** 2).sum(axis=1) for pivot in pivots]))
+
+
+def _apart(high: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
+    """What a pivot's larger distance surely has over the smaller one, with the share that rounding can lose."""
+    return high - low - (width + 8) * 2.0 ** -52 * (high + low)
 
 
 def upper_bounds(lengths: np.ndarray, lower: np.ndarray, own: float) -> np.ndarray:
@@ -74,6 +91,15 @@ def upper_bounds(lengths: np.ndarray, lower: np.ndarray, own: float) -> np.ndarr
     return bound + 1e-9 * (lengths + own) + 1e-6
 
 
+def _exact(matrix: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products as whole numbers of any size, which have to fit 64 bits in the end."""
+    whole = [int(x) for x in query]
+    found = [sum(int(a) * b for a, b in zip(row, whole)) for row in matrix.tolist()]
+    if any(not -(1 << 63) <= score < 1 << 63 for score in found):
+        raise ValueError("a score does not fit 64 bits")
+    return np.array(found, dtype=np.int64)
+
+
 class Block:
     """Candidates of a block with their pivot table."""
 
@@ -84,9 +110,9 @@ class Block:
 
     def best(self, query_id: int, query: np.ndarray, distances: np.ndarray, own: float, k: int, least: float) -> list[tuple[int, int]]:
         """(score, id) of candidates that may be among the k best, given a k-th score already known."""
-        lower = np.abs(self.table[0] - distances[0])
-        for row, distance in zip(self.table[1:], distances[1:]):
-            np.maximum(lower, np.abs(row - distance), out=lower)
+        lower = np.zeros(len(self.ids))
+        for row, distance in zip(self.table, distances):
+            np.maximum(lower, _apart(np.maximum(row, distance), np.minimum(row, distance), len(query)), out=lower)
         bounds = upper_bounds(self.lengths, lower, own)
         alive = np.flatnonzero((bounds >= least) & (self.ids != query_id))
         order = alive[np.argsort(-bounds[alive], kind="stable")]
@@ -97,12 +123,11 @@ class Block:
             if bounds[order[start]] < least:
                 break  # bounds only fall from here
             part = order[start:start + STEP]
-            # products of integers below 2^24 are summed exactly as doubles while below 2^53
-            found = (self.matrix[part] @ query).astype(np.int64) if own * self.lengths[part].max() < 2.0 ** 104 else np.array(
-                [sum(int(a) * int(b) for a, b in zip(row, query)) for row in self.matrix[part]], dtype=np.int64)
+            # products of integers are summed exactly as doubles while no sum of their sizes reaches 2^53
+            found = (self.matrix[part] @ query).astype(np.int64) if math.sqrt(own) * math.sqrt(self.lengths[part].max()) < 2.0 ** 52 else _exact(self.matrix[part], query)
             kept = found >= least
             scores, ids = np.concatenate([scores, found[kept]]), np.concatenate([ids, self.ids[part[kept]]])
-            best = np.lexsort((ids, -scores))[:k]
+            best = np.lexsort((ids, ~scores))[:k]
             scores, ids = scores[best], ids[best]
         return list(zip(scores.tolist(), ids.tolist()))
 
@@ -115,7 +140,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
     Rows with the key of the query are its own and never candidates; a query key that occurs with equal
     vectors is searched once; with unequal ones its vectors are searched as one query each and ranked
     together. Shorter vectors count as filled with zeros. Fewer rows than k give fewer results. A null
-    key takes no part.
+    key takes no part. A score that does not fit 64 bits is an error.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -190,7 +215,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
             out = []
             far, matrix = _wide(batch.column(3), len(chosen)), _wide(batch.column(2), width)
             for at, (number, name, least) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist())):
-                gap = np.maximum(lows[:, :-1] - far[at], far[at] - highs[:, :-1]).max(axis=1).clip(0.0)
+                gap = np.maximum(_apart(lows[:, :-1], far[at], width), _apart(far[at], highs[:, :-1], width)).max(axis=1).clip(0.0)
                 most = upper_bounds(highs[:, -1], gap, float((matrix[at] ** 2).sum()))
                 raw = matrix[at].tobytes()
                 out += [(int(b), name, raw, least) for b in np.flatnonzero(most >= least) if b != number]

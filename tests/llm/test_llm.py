@@ -348,6 +348,26 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_keeps_long_vectors(spark):
+    random.seed(13)
+    rows = [(i, [random.gauss(0, 1) for _ in range(8)]) for i in range(300)]
+    rows += [(300 + i, [random.gauss(0, 1) * 10.0 ** (3 + i % 3) for _ in range(8)]) for i in range(100)]
+    rows += [(400 + i, [3e6 + i % 3, 1.0] + [0.0] * 6) for i in range(30)] + [(500, [0.0] * 7 + [1e9])]
+    whole = {k: [int(np.floor(64 * x)) for x in v] for k, v in rows}
+    want = []
+    for q in (k for k in whole if k % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), k) for k, v in whole.items() if k != q)[:20]
+        want += [(q, i + 1, k, -s) for i, (s, k) in enumerate(best)]
+    assert max(abs(row[3]) for row in want) > 1 << 55
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, pivots=6, block_rows=32).collect())) == sorted(want)
+    apart = spark.createDataFrame([(20, [1e30, 0.0, 2.0]), (21, [0.0, 1e40, 3.0])], "vec_id long, embedding array<double>")
+    assert list(map(tuple, topk.top_k(apart).collect())) == [(20, 1, 21, 64 * 64 * 6)]
+    for rows in ([(20, [1e9]), (21, [1e9])], [(20, [1e308]), (21, [1.0])]):
+        with pytest.raises(Exception, match="does not fit 64 bits|beyond 2\\^500"):
+            topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+
+
 def test_language_on_rows_not_learned_from(spark, awkward, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
