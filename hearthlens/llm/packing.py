@@ -1,8 +1,8 @@
 """Packing of documents into training sequences of one length.
 
 Documents are cut into pieces of at most a sequence. The pieces are dealt to random groups by a hash
-of document and position, and each group is packed by itself, first-fit decreasing: the leftmost bin
-with room is found in a tournament tree over the room left in the bins, in a logarithmic number of
+of document, position and place in the scan, and each group is packed by itself, first-fit decreasing:
+the leftmost bin with room is found in a tournament tree over the room left in the bins, in a logarithmic number of
 steps. What the pieces of the emptiest bins can do to fill larger gaps of the others is done last, by
 cutting them. Groups stream through a task a few thousand pieces at a time, so memory is bounded
 whatever share of the rows a document or a partition has.
@@ -163,7 +163,10 @@ def pack(pieces: DataFrame, length: int = 2048, group_pieces: int = 4096, seed:
         if held:
             yield from _packed(held, length, base + (group << 20), kind)
 
-    dealt = pieces.withColumnRenamed(key, "key").withColumn("deal", F.xxhash64("key", "start", F.lit(seed)))
+    # rows that repeat a key, or have none, are told apart by their place, which a task that is repeated finds
+    # again, as the pieces come from a scan
+    place = F.monotonically_increasing_id()
+    dealt = pieces.withColumnRenamed(key, "key").withColumn("deal", F.xxhash64("key", "start", place, F.lit(seed)))
     return (
         dealt.repartition("deal").sortWithinPartitions("deal", "key", "start").drop("deal")
         .mapInArrow(packed, f"key {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

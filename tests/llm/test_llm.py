@@ -129,6 +129,20 @@ def test_packing(spark, awkward, empty, library):
     assert sum(r.length for r in again) == sum(r.length for r in rows)
 
 
+def test_pieces_of_one_key_are_dealt_to_all_tasks(spark):
+    docs = spark.range(600, numPartitions=3).select(F.when(F.col("id") < 300, 7).alias("doc_id"), F.lit("the same text again").alias("text"))
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        rows = packing.pack(packing.text_pieces(docs, JSON, 1, 256), 256, group_pieces=8).collect()
+    finally:
+        spark.conf.set(setting, before)
+    tasks = collections.Counter((r.doc_id, r.sequence_id >> 44) for r in rows)
+    assert all(sum(name == key for name, _ in tasks) > 1 and max(n for (name, _), n in tasks.items() if name == key) < 200 for key in (7, None))
+    assert collections.Counter(r.doc_id for r in rows if r.start == 0) == {7: 300, None: 300}
+
+
 def test_first_fit_decreasing_equals_a_plain_search():
     random.seed(6)
     sizes = [random.randint(0, 100) for _ in range(400)]
