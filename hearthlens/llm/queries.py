@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearthlens.llm import (fingerprints, id_files, language, minhash, packing, token_counts, topk, toxicity,
-                            transducer, warc)
+from hearthlens.llm import (fingerprints, id_files, language, minhash, packing, periodic, secret_scan,
+                            spelling, token_counts, topk, toxicity, transducer, warc, word_sql)
 from hearthlens.llm.common import emptied
 from hearthlens.plans.registry import table
 from hearthlens.session import fresh_path
@@ -79,8 +79,41 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+def op11_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of every document, one in ten of them made periodic first."""
+    found = periodic.periodic_runs(periodic.with_planted_runs(table(spark, folder, "documents")))
+    best = periodic.strongest(F.col("runs"))
+    line = F.concat(F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n"),
+                    F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(line, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document: the three patterns, and keys and tokens confirmed by their structure."""
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    base = F.filter("found", lambda f: f["kind"].isin(*secret_scan.KINDS[:3]))
+
+    def number(kind):
+        return F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+
+    return found.select("doc_id", *[number(kind) for kind in secret_scan.KINDS],
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.variants(spelling.occurrences(table(spark, folder, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_warc, op4_packing, op5_token_counts, op6_byte_bpe,
-                                   op7_minhash, op8_topk, op9_id_files, op10_language)}
+                                   op7_minhash, op8_topk, op9_id_files, op10_language, op11_periodic, op12_secrets,
+                                   op13_spelling)}
 
 SQL = {
     "op3_warc": """
@@ -129,4 +162,6 @@ SQL = {
         ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
         select query_id, rank, vec_id, score from ranked where rank <= 20
     """,
+    "op11_periodic": word_sql.PERIODIC,
+    "op13_spelling": word_sql.SPELLING,
 }
