@@ -1,83 +1,57 @@
-"""Extraction from stored pages with the built-in pattern functions."""
+"""Extraction from stored pages, on the nodes that ``pagetree`` reads them into."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hearthlens.functions import pagetree as tree
 from hearthlens.functions.codec import decrypt_text
-from hearthlens.functions.text import join_pieces, unescape_markup
+from hearthlens.functions.text import join_pieces
 from hearthlens.operators.select import compute_once
 
-# Fixed value: what an article page holds.
-PARAGRAPH_OR_IMAGE = r'(?s)<p>(.*?)</p>|data-src="(.*?)"'
-
-
-def _tag(name: str) -> str:
-    return rf"(?i:<{name})(?=[\s>/])[^>]*+>"
-
-
-def _with_class(tag: str, css_class: str) -> str:
-    """An opening tag that carries the class, whatever other classes and attributes it has. Every
-    part runs forward only, so a page is searched in linear time."""
-    return rf"""(?i:<{tag}\s(?:[^>]*?\s)?class)\s*=\s*["']?(?:[^"'>]*?\s)?{css_class}(?=[\s"'>])[^>]*+>"""
 
+def read_pages(df: DataFrame, html: str, keys: list[str], out: str = "nodes") -> DataFrame:
+    """The keys and the nodes of every page, read once for all that is taken from them. The column functions below
+    take this column."""
+    return df.select(*[F.col(k) for k in keys], tree.nodes(F.col(html)).alias(out))
 
-def _attribute(tag: Column, name: str) -> Column:
-    """An attribute of one opening tag in double, single or no quotes, null when absent."""
-    pattern = rf"""(?i:\s{re.escape(name)})\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    first = F.get(F.regexp_extract_all(tag, F.lit(pattern), F.lit(0)), F.lit(0))
-    # only one of the three groups matches, the others are empty
-    return unescape_markup(F.concat(*[F.regexp_extract(first, pattern, group) for group in (1, 2, 3)]))
 
-
-def attribute_of_class(html: Column, css_class: str, attribute: str) -> Column:
+def attribute_of_class(page: Column, css_class: str, attribute: str) -> Column:
     """An attribute of the first element that carries the class."""
-    return _attribute(F.regexp_extract(html, _with_class(r"\w++", re.escape(css_class)), 0), attribute)
-
+    return tree.attribute(F.get(tree.with_class(page, css_class), F.lit(0)), attribute)
 
-def anchors(html: Column) -> Column:
-    """All links in page order as an array of (text, href): nested tags are taken out of the text,
-    anchors without an address have a null one."""
-    elements = F.regexp_extract_all(html, F.lit(r"(?is)<a(?=[\s>])[^>]*>.*?</a>"), F.lit(0))
 
-    def link(element: Column) -> Column:
-        opening = F.regexp_extract(element, r"(?i)^<a[^>]*>", 0)
-        body = F.regexp_replace(F.regexp_replace(element, r"(?i)^<a[^>]*>", ""), r"(?i)</a>$", "")
-        return F.struct(
-            unescape_markup(F.regexp_replace(body, r"<[^>]*>", "")).alias("name"),
-            _attribute(opening, "href").alias("href"),
-        )
-
-    return F.transform(elements, link)
+def anchors(page: Column) -> Column:
+    """All links in page order as an array of (text, href): the text without its tags, anchors without an address
+    have a null one. A link that nobody closed ends with the element around it or at the next link."""
+    return F.transform(tree.with_tag(page, "a"), lambda a: F.struct(tree.text_of(page, a).alias("name"), tree.attribute(a, "href").alias("href")))
 
 
 def page_links(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     """One row per link of a page with its position."""
-    links = df.select(*keys, F.posexplode(anchors(F.col(html))).alias("pos", "link"))
+    links = read_pages(df, html, keys).select(*keys, F.posexplode(anchors(F.col("nodes"))).alias("pos", "link"))
     return links.select(*keys, "pos", "link.name", "link.href").where(F.col("href").isNotNull())
 
 
-def matching_anchors(html: Column, conditions: dict[str, str]) -> Column:
+def matching_anchors(page: Column, conditions: dict[str, str]) -> Column:
     """Addresses of the anchors whose attributes all match the given patterns."""
-    tags = F.regexp_extract_all(html, F.lit(_tag("a")), F.lit(0))
-
-    def keep(tag: Column) -> Column:
-        checks = [F.coalesce(_attribute(tag, name).rlike(pattern), F.lit(False)) for name, pattern in conditions.items()]
-        result = checks[0]
-        for check in checks[1:]:
-            result = result & check
+    def keep(a: Column) -> Column:
+        result = F.lit(True)
+        for name, pattern in conditions.items():
+            result = result & F.coalesce(tree.attribute(a, name).rlike(pattern), F.lit(False))
         return result
 
-    return F.transform(F.filter(tags, keep), lambda tag: _attribute(tag, "href"))
+    return F.transform(F.filter(tree.with_tag(page, "a"), keep), lambda a: tree.attribute(a, "href"))
 
 
-def image_sources(html: Column, scheme: str = "https:") -> Column:
+def image_sources(page: Column, scheme: str = "https:") -> Column:
     """The source of every image, with the scheme put in front."""
-    tags = F.regexp_extract_all(html, F.lit(_tag("img")), F.lit(0))
-    sources = F.filter(F.transform(tags, lambda tag: _attribute(tag, "src")), lambda src: src.isNotNull())
-    return F.transform(sources, lambda src: F.concat(F.lit(scheme), src))
+    sources = F.transform(tree.with_tag(page, "img"), lambda image: tree.attribute(image, "src"))
+    return F.transform(F.filter(sources, lambda src: src.isNotNull()), lambda src: F.concat(F.lit(scheme), src))
+
+
+# Fixed value: where an article page keeps the encrypted address of an image.
+IMAGE_ADDRESS = "data-src"
 
 
 def article_fragments(df: DataFrame, html: str, keys: list[str], key: Column | str) -> DataFrame:
@@ -85,88 +59,49 @@ def article_fragments(df: DataFrame, html: str, keys: list[str], key: Column | s
 
     An image whose address does not decrypt is left out, and so is an empty paragraph.
     """
-    pieces = F.regexp_extract_all(F.col(html), F.lit(PARAGRAPH_OR_IMAGE), F.lit(0))
-    rows = df.select(*keys, F.posexplode(pieces).alias("pos", "piece"))
-    is_paragraph = F.col("piece").startswith("<p>")
-    paragraph = F.nullif(F.regexp_extract("piece", PARAGRAPH_OR_IMAGE, 1), F.lit(""))
-    image = decrypt_text(F.regexp_extract("piece", PARAGRAPH_OR_IMAGE, 2), key)
+    page = F.col("nodes")
+    pieces = F.filter(page, lambda n: (n["tag"] == "p") | tree.attribute(n, IMAGE_ADDRESS).isNotNull())
+    parts = F.transform(pieces, lambda n: F.struct(
+        F.when(n["tag"] == "p", F.nullif(tree.text_of(page, n), F.lit(""))).alias("text"), tree.attribute(n, IMAGE_ADDRESS).alias("address")))
+    rows = read_pages(df, html, keys).select(*keys, F.posexplode(parts).alias("pos", "piece"))
+    is_image = F.col("piece.address").isNotNull()
     return rows.select(
         *keys, "pos",
-        F.when(is_paragraph, F.lit("text")).otherwise("image").alias("kind"),
-        F.when(is_paragraph, paragraph).otherwise(image).alias("content"),
+        F.when(is_image, F.lit("image")).otherwise("text").alias("kind"),
+        F.when(is_image, decrypt_text(F.col("piece.address"), key)).otherwise(F.col("piece.text")).alias("content"),
     ).where(F.col("content").isNotNull())
 
 
 # The class names of a listing page.
+CARD_LIST = "sellListContent"
 CARD_FIELDS = ["title", "positionInfo", "houseInfo", "followInfo", "totalPrice", "unitPrice"]
-CARD_LIST = _with_class("ul", "sellListContent")
-# a list or item tag with all that follows it up to the next one
-LIST_PIECE = r"(?s)(?i:</?(?:ul|li))(?=[\s>/])[^>]*+>(?:[^<]++|<(?!/?(?i:ul|li)[\s>/]))*+"
-FIELD_START = _with_class(r"(\w++)", "(" + "|".join(CARD_FIELDS) + ")")
-FIELD = rf"(?s){FIELD_START}.*?(?i:</\1>)"
-
-
-def _own_text(element: Column) -> Column:
-    """The first text that belongs to an element itself and not to a child; null when it has none."""
-    inside = F.regexp_replace(element, r"^<[^>]*+>|</\w+>$", "")
-    pieces = F.split(inside, r"(?s)<(\w++)[^>]*+>.*?</\1>|<[^>]*+>")
-    return unescape_markup(F.get(F.filter(pieces, lambda piece: piece != ""), F.lit(0)))
-
-
-def _child_texts(element: Column, tag: str) -> Column:
-    return F.regexp_extract_all(element, F.lit(rf"(?i:<{tag})(?=[\s>])[^>]*+>([^<]+)"), F.lit(1))
 
 
 def _cards(page: Column) -> Column:
-    """The items of every card list of a page. Lists inside an item belong to it: the depth of open
-    lists is counted along the list tags, and an item ends at its own closing tag, at the next item or
-    with its list."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("open"), F.array().cast("array<string>").alias("cards"))
-
-    def step(state: Column, piece: Column) -> Column:
-        depth, is_open, cards = state["depth"], state["open"], state["cards"]
-        outside, own = depth == 0, depth == 1
-        opens, closes = piece.rlike("(?i)^<ul"), piece.rlike("(?i)^</ul")
-        item, ends = own & piece.rlike("(?i)^<li"), own & (piece.rlike("(?i)^</li") | closes)
-        next_depth = F.when(outside, F.when(piece.rlike("^" + CARD_LIST), 1).otherwise(0)).otherwise(
-            depth + F.when(opens, 1).when(closes, -1).otherwise(0))
-        added = F.concat(cards, F.array(F.regexp_replace(piece, r"^<[^>]*+>", "")))
-        longer = F.concat(F.slice(cards, F.lit(1), F.greatest(F.size(cards) - 1, F.lit(0))),
-                          F.array(F.concat(F.element_at(cards, -1), piece)))
-        return F.struct(
-            next_depth.cast("int").alias("depth"),
-            F.when(outside | ends, F.lit(False)).when(item, F.lit(True)).otherwise(is_open).alias("open"),
-            F.when(outside | ends, cards).when(item, added).when(is_open, longer).otherwise(cards).alias("cards"))
-
-    return F.aggregate(F.regexp_extract_all(page, F.lit(LIST_PIECE), F.lit(0)), start, step, lambda state: state["cards"])
+    """The nodes of each item of the card lists of a page, the item itself first. Lists inside an item belong to it."""
+    lists = tree.with_class(tree.with_tag(page, "ul"), CARD_LIST)
+    items = F.flatten(F.transform(lists, lambda ul: F.filter(tree.inside(page, ul), lambda n: (n["tag"] == "li") & (n["parent"] == ul["id"]))))
+    return F.transform(items, lambda li: F.slice(page, li["id"] + 1, li["last"] - li["id"] + 1))
 
 
 def listing_cards(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     """One row of six text fields per card of a listing page; a missing field is null, except the
-    position, whose pieces are joined and may be none.
-
-    A page is cut into cards at the items of its card lists. The fields of a card are then found in one walk
-    over it, as each known element up to its first closing tag; the first of a class counts.
-    """
-    cut = compute_once(df.select(*keys, html).where(F.col(html).rlike(CARD_LIST)), cards=_cards(F.col(html)))
-    walked = compute_once(cut.select(*keys, F.posexplode("cards").alias("pos", "card")),
-                          elements=F.regexp_extract_all("card", F.lit(FIELD), F.lit(0)))
-    named = compute_once(walked, classes=F.transform("elements", lambda e: F.regexp_extract(e, FIELD_START, 2)))
-
-    def element(name: str) -> Column:
-        place = F.array_position("classes", F.lit(name)).cast("int")
-        return F.when(place > 0, F.get("elements", place - 1))
+    position, whose pieces are joined and may be none. The first element of a class counts."""
+    pages = read_pages(df.where(F.contains(F.col(html), F.lit(CARD_LIST))), html, keys)
+    cards = compute_once(pages, cards=_cards(F.col("nodes"))).select(*keys, F.posexplode("cards").alias("pos", "card"))
+    card = F.col("card")
+    found = compute_once(cards, **{name: F.get(tree.with_class(card, name), F.lit(0)) for name in CARD_FIELDS})
 
-    def first_child(name: str, tag: str) -> Column:
-        return unescape_markup(F.get(_child_texts(element(name), tag), F.lit(0)))
+    def first(texts: Column) -> Column:
+        return F.get(texts, F.lit(0))
 
-    position = F.coalesce(_child_texts(element("positionInfo"), "a"), F.array().cast("array<string>"))
-    return named.select(
+    position = F.coalesce(tree.texts_in(card, F.col("positionInfo"), "a"), F.array().cast("array<string>"))
+    return found.select(
         *keys, "pos",
-        first_child("title", "a").alias("title"),
-        unescape_markup(join_pieces(position, "-")).alias("position"),
-        _own_text(element("houseInfo")).alias("house_info"),
-        _own_text(element("followInfo")).alias("follow_info"),
-        first_child("totalPrice", "span").alias("total_price"),
-        first_child("unitPrice", "span").alias("unit_price"),
+        first(tree.texts_in(card, F.col("title"), "a")).alias("title"),
+        join_pieces(position, "-").alias("position"),
+        first(tree.own_texts(card, F.col("houseInfo"))).alias("house_info"),
+        first(tree.own_texts(card, F.col("followInfo"))).alias("follow_info"),
+        first(tree.texts_in(card, F.col("totalPrice"), "span")).alias("total_price"),
+        first(tree.texts_in(card, F.col("unitPrice"), "span")).alias("unit_price"),
     )

@@ -41,8 +41,8 @@ r as (select page_id, unnest(links) as href from a)"""
 
 @query(f"""{LINK_ROWS} select page_id, href, count(*) as n from r where regexp_matches(href, '^/[a-z]') group by 1, 2""")
 def matching_anchors(spark, folder):
-    found = markup.matching_anchors(F.col("html"), {"href": "^/[a-z]"})
-    return spread(table(spark, folder, "pages")).select("page_id", F.explode(found).alias("href")).groupBy("page_id", "href").agg(
+    found = markup.matching_anchors(F.col("nodes"), {"href": "^/[a-z]"})
+    return markup.read_pages(spread(table(spark, folder, "pages")), "html", ["page_id"]).select("page_id", F.explode(found).alias("href")).groupBy("page_id", "href").agg(
         F.count("*").alias("n"))
 
 
@@ -50,18 +50,39 @@ def matching_anchors(spark, folder):
 def image_sources(spark, folder):
     """The pages have no images, so their links are turned into some."""
     shown = F.replace("html", F.lit("<a href="), F.lit('<img class="i71-img" src='))
-    return spread(table(spark, folder, "pages")).select("page_id", F.explode(markup.image_sources(shown)).alias("source")).groupBy(
+    pages = spread(table(spark, folder, "pages")).select("page_id", shown.alias("html"))
+    return markup.read_pages(pages, "html", ["page_id"]).select("page_id", F.explode(markup.image_sources(F.col("nodes"))).alias("source")).groupBy(
         "page_id", "source").agg(F.count("*").alias("n"))
 
 
-@query("""with f as (select page_id, url, regexp_extract_all(html, '(?s)<p>(.*?)</p>') as found from pages)
-select page_id, cast(i - 1 as integer) as pos, 'text' as kind, substr(found[i], 4, length(found[i]) - 7) as content
-from (select *, unnest(range(1, len(found) + 1)) as i from f) where length(found[i]) > 7
-union all select page_id, cast(len(found) as integer), 'image', url from f""")
+UNTIDY = ("""<!-- <a href="/old">o</a> --><script>var s = "<a href='/js'>j</a>";</script><a title="1 > 0" href="/x">q</a>""",
+          """<a href=/y class='b c'>y""")
+
+
+@query("""with a as (select page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') as links from pages)
+select page_id, i as pos, regexp_extract(links[i], '>([^<]*)<', 1) as name, regexp_extract(links[i], 'href="([^"]*)"', 1) as href
+from (select *, unnest(range(1, len(links) + 1))::int as i from a)
+union all select page_id, 0, 'q', '/x' from a union all select page_id, len(links)::int + 1, 'y', '/y' from a""")
+def untidy_page_links(spark, folder):
+    """Pages with links in a comment and a script, a quoted bracket and a link that nobody closed."""
+    html = F.concat(F.lit(UNTIDY[0]), F.col("html"), F.lit(UNTIDY[1]))
+    return markup.page_links(spread(table(spark, folder, "pages")).select("page_id", html.alias("html")), "html", ["page_id"])
+
+
+def _unescaped(column: str) -> str:
+    for name, sign in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        column = f"replace({column}, '{name}', '{sign}')"
+    return column
+
+
+@query(f"""with f as (select page_id, url, list_transform(string_split(html, '<p>')[2:], lambda x: regexp_extract(x, '^(.*?)(</p>|</article>|$)', 1, 's')) as found from pages),
+t as (select page_id, url, len(found) as n, unnest(found) as raw, unnest(range(len(found))) as i from f)
+select page_id, i::int as pos, 'text' as kind, {_unescaped("regexp_replace(raw, '<[^>]*>', '', 'g')")} as content from t where content <> ''
+union all select page_id, len(found)::int, 'image', url from f""")
 def article_fragments(spark, folder):
     """Every page gets an encrypted image address at its end and one that does not decrypt."""
     pages = spread(table(spark, folder, "pages"))
-    image = F.concat(F.lit(' data-src="'), codec.encrypt_text(F.col("url"), TEST_KEY), F.lit('" data-src="%%%"'))
+    image = F.concat(F.lit('<img data-src="'), codec.encrypt_text(F.col("url"), TEST_KEY), F.lit('"/><img data-src="%%%">'))
     return markup.article_fragments(pages.select("page_id", F.concat("html", image).alias("html")), "html", ["page_id"], TEST_KEY)
 
 
@@ -69,8 +90,9 @@ def article_fragments(spark, folder):
 def page_counts(spark, folder):
     total = F.when(F.col("lang") == "de", F.lit("many")).otherwise(F.col("n_chars").cast("string"))
     html = F.concat(F.lit('<div class="fc-main"></div><div class="page-box clear" data-total-count="'), total, F.lit('"></div>'))
-    return spread(table(spark, folder, "documents")).select(
-        "doc_id", numeric.page_count(markup.attribute_of_class(html, "page-box", "data-total-count")).alias("pages"))
+    pages = spread(table(spark, folder, "documents")).select("doc_id", html.alias("html"))
+    count = markup.attribute_of_class(F.col("nodes"), "page-box", "data-total-count")
+    return markup.read_pages(pages, "html", ["doc_id"]).select("doc_id", numeric.page_count(count).alias("pages"))
 
 
 @query("""select event_id, cast(case when event_type = 'error' then 1 else json_extract(props, '$.k')::integer end as integer) as pages from events""")

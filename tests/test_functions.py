@@ -1,10 +1,11 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from hearthlens.functions import codec, listing, markup, numeric, text
+from hearthlens.functions import codec, listing, markup, numeric, pagetree, text
 from hearthlens.operators import encode, select
 from hearthlens.sources import flatten_structs, json_items, union_all_columns
 
@@ -80,13 +81,16 @@ def test_links_and_images(spark):
     df = spark.createDataFrame([(1, html)], "id int, html string")
     links = markup.page_links(df, "html", ["id"]).orderBy("pos").collect()
     assert [(r["name"], r["href"]) for r in links] == [("A bold", "/x?a=1&b=2"), ("pic", "https://s/1")]
-    found = df.select(markup.matching_anchors(F.col("html"), {"alt": "图片", "href": "^https://s/"}), markup.image_sources(F.col("html"))).first()
+    page = F.col("nodes")
+    found = markup.read_pages(df, "html", ["id"]).select(markup.matching_anchors(page, {"alt": "图片", "href": "^https://s/"}), markup.image_sources(page)).first()
     assert list(found) == [["https://s/1"], ["https://h/1.png"]]
 
 
 def test_attribute_of_class(spark):
     html = '<div class="page-box-x" data-total-count="9"></div><div data-total-count="95" class="a page-box b">'
-    assert values(spark, [(html,)], "t string", markup.attribute_of_class(F.col("t"), "page-box", "data-total-count"))[0][0] == "95"
+    page = markup.read_pages(spark.createDataFrame([(html,), (None,), ("",)], "t string"), "t", [])
+    found = page.select(markup.attribute_of_class(F.col("nodes"), "page-box", "data-total-count")).collect()
+    assert [r[0] for r in found] == ["95", None, None]
 
 
 CARDS = """<ul class="x"><li>menu</li></ul><ul class="sellListContent" log-mod="list"><li class="clear"><div class="title"><a href="/1">T &amp; 1</a><span>new</span></div>
@@ -192,3 +196,38 @@ def test_cards_with_inner_lists_two_lists_and_mixed_case(spark):
       <ul class="sellListContent"><li><DIV class=title><A>three</A></DIV></li></ul>"""
     rows = markup.listing_cards(spark.createDataFrame([(1, page)], "id int, html string"), "html", ["id"]).collect()
     assert [(r.pos, r.title, r.total_price) for r in rows] == [(0, "one", "5"), (1, "two", None), (2, "three", None)]
+
+
+def tree_of(page):
+    """(place, parent, last, name or text) of the nodes, attributes beside."""
+    found = pagetree.read_page(page)
+    return [(i, found.parent[i], found.last[i], found.tag[i] or found.text[i], dict(found.attributes[i])) for i in range(len(found.tag))]
+
+
+def test_links_of_untidy_pages(spark):
+    html = """<!-- <a href="old">o</a> --><script>var s = "<a href='js'>j</a>";</script><a title="1 > 0" href="x">q</a><a href="y">y"""
+    df = spark.createDataFrame([(1, html), (2, None), (3, "")], "id int, html string")
+    assert [tuple(r) for r in markup.page_links(df, "html", ["id"]).collect()] == [(1, 0, "q", "x"), (1, 1, "y", "y")]
+
+
+def test_pages_become_trees():
+    assert tree_of("<ul><li>1<ul><li>2<li>3</ul><li>4</ul>") == [
+        (0, -1, 9, "ul", {}), (1, 0, 7, "li", {}), (2, 1, 2, "1", {}), (3, 1, 7, "ul", {}), (4, 3, 5, "li", {}), (5, 4, 5, "2", {}),
+        (6, 3, 7, "li", {}), (7, 6, 7, "3", {}), (8, 0, 9, "li", {}), (9, 8, 9, "4", {})]
+    assert tree_of("<p>a<p>b<div>c</p>d") == [
+        (0, -1, 1, "p", {}), (1, 0, 1, "a", {}), (2, -1, 3, "p", {}), (3, 2, 3, "b", {}), (4, -1, 6, "div", {}), (5, 4, 5, "c", {}), (6, 4, 6, "d", {})]
+    assert tree_of("a < b <c d='1>2' E=g h>i</C  ></x>")[:2] == [(0, -1, 0, "a < b ", {}), (1, -1, 2, "c", {"d": "1>2", "e": "g", "h": ""})]
+    assert tree_of("<title>a <b> &amp;</title><br/><IMG src=//x/y?a=1&amp;b=2>") == [
+        (0, -1, 1, "title", {}), (1, 0, 1, "a <b> &", {}), (2, -1, 2, "br", {}), (3, -1, 3, "img", {"src": "//x/y?a=1&b=2"})]
+    for broken in ("<", "<a", "<a href", "<a href='x", "<!--", "<!-- <a>", "<script>", "</", "<a <b <c", "<a =b c==d \"e\">", "&#xffffffff;", "\x00<p\x00>"):
+        tree_of(broken)
+
+
+def test_long_and_deep_pages_take_linear_time():
+    start = time.time()
+    for page in ("<" * 200_000, "<a " * 60_000, "<a b='" * 40_000, "<!--" * 50_000, "<div>" * 20_000 + "</x>" * 20_000 + "</div>" * 20_000,
+                 "<ul>" * 600 + "<li></li>" * 10_000, "<script>" * 40_000, "&amp" * 50_000):
+        pagetree.read_page(page)
+    assert time.time() - start < 20
+    deep = pagetree.read_page("<b>" * 600)
+    assert max(deep.parent) == pagetree.MOST_DEPTH - 1 and len(deep.tag) == 600

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from hearthlens.operators import evaluate, features, models, numbering, svm
@@ -195,3 +196,48 @@ def test_partitions_follow_the_rows():
     assert models.training_partitions(120_000, 8) == 6
     assert models.training_partitions(10 ** 7, 8) == 24
     assert models.training_partitions(10 ** 12, 4000) == 500_000
+
+
+def test_machines_reach_the_proven_optimum(spark):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(300, 2)) * [1, 1000] + [0, 50_000]
+    labels = (points[:, 0] + 0.7 * rng.normal(size=300) > 0.2).astype(float)
+    weights = rng.integers(0, 4, size=300)
+    rows = [(float(a), float(b), float(y), float(w)) for (a, b), y, w in zip(points, labels, weights)]
+    df = features.assembler(["a", "b"]).transform(spark.createDataFrame(rows, "a double, b double, label double, w double")).repartition(3)
+    copies = df.withColumn("copy", F.explode(F.expr("sequence(1, cast(w as int))"))).where("w > 0")
+    for c in (0.01, 1.0, 100.0):
+        model = svm.linear_svm(c, weight="w", tol=1e-6).fit(df)
+        assert 0 <= model.gap <= max(1e-6, 1e-6 * model.getOrDefault(model.loss))
+        w, b = np.array(model.coefficients), model.intercept
+        signs, total = 2 * labels - 1, weights.sum()
+
+        def loss(v, d):
+            return v @ v / (2 * total * c) + (weights * np.maximum(0, 1 - signs * (points @ v + d))).sum() / total
+
+        assert abs(loss(w, b) - model.getOrDefault(model.loss)) < 1e-9
+        for _ in range(200):
+            step = rng.normal(size=2) * 10.0 ** rng.uniform(-8, 0) / [1, 1000]
+            assert loss(w + step, b - step @ points.mean(axis=0) + rng.normal() * 1e-3) >= model.getOrDefault(model.bound)
+        other = svm.linear_svm(c, tol=1e-6).fit(copies)
+        assert np.allclose(other.coefficients, w, atol=1e-5) and abs(other.intercept - b) < 1e-2
+    with pytest.raises(ValueError):
+        svm.linear_svm(1.0).fit(df.where("a > 1e9"))
+    one_class = svm.linear_svm(1.0).fit(df.where("label = 1"))
+    assert one_class.getOrDefault(one_class.loss) < 1e-6 and one_class.transform(df).where("prediction = 0").isEmpty()
+
+
+def test_machines_are_saved_and_read_again(spark, ring, tmp_path):
+    rows = features.assembler(["X1", "X2"]).transform(ring)
+    chain = Pipeline(stages=[svm.linear_svm(1.0), svm.KernelMachine(inputCols=["X1", "X2"], c=10.0, size=50, probability=True, predictionCol="curved")])
+    model = chain.fit(rows)
+    chain.write().overwrite().save(str(tmp_path / "chain"))
+    model.write().overwrite().save(str(tmp_path / "model"))
+    columns = ["id", "prediction", "curved", "score", "probability_0"]
+    want = model.transform(rows).select(*columns).orderBy("id").collect()
+    assert PipelineModel.load(str(tmp_path / "model")).transform(rows).select(*columns).orderBy("id").collect() == want
+    again = Pipeline.load(str(tmp_path / "chain"))
+    assert again.getStages()[1].getOrDefault("c") == 10.0 and again.copy().getStages()[1].getInputCols() == ["X1", "X2"]
+    gaps = spark.createDataFrame([(0, 0.1, None, 1.0)], "id long, X1 double, X2 double, label double")
+    shown = model.stages[1].transform(gaps).select("score", "curved", "probability_0").first()
+    assert list(shown) == [None, None, None]
