@@ -59,11 +59,16 @@ def hash_split(df: DataFrame, key: str, test_share: float, seed: int = 0, out: s
     return df.withColumn(out, F.when(bucket < int(round(test_share * 1_000_000)), "test").otherwise("train"))
 
 
+#: Different keys that may share one hash of 52 bits.
+MOST_TIED = 1000
+
+
 def exact_split(df: DataFrame, key: str, test_share: float, seed: int = 0, out: str = "split") -> DataFrame:
     """Like :func:`hash_split` with exactly ceil(test_share * n) test rows.
 
     The test rows are those with the smallest hashes; the cut is found by counting, not by sorting.
-    ``key`` is unique; the few rows that share the cut's hash are told apart by it.
+    ``key`` is unique; the few rows that share the cut's hash are told apart by it, and a key that is found more
+    than once there is an error.
     """
     hashed = df.select(F.col(key), key_hash(F.col(key), seed).alias("__h"))
     total = hashed.count()
@@ -73,7 +78,10 @@ def exact_split(df: DataFrame, key: str, test_share: float, seed: int = 0, out:
         return df.withColumn(out, F.lit("train"))
     cut = order_statistics(hashed, {"__h": [size - 1]}, {"__h": total})[("__h", size - 1)]
     below = hashed.where(F.col("__h") < F.lit(cut)).count()
-    tied = hashed.where(F.col("__h") == F.lit(cut)).orderBy(key).limit(size - below).collect()
+    tied = hashed.where(F.col("__h") == F.lit(cut)).groupBy(key).count().orderBy(key).limit(MOST_TIED).collect()
+    if len(tied) == MOST_TIED or any(row["count"] > 1 for row in tied):
+        raise ValueError(f"the key {key} is not unique")
+    tied = tied[:size - below]
     in_test = (key_hash(F.col(key), seed) < F.lit(cut)) | F.col(key).isin([row[0] for row in tied])
     return df.withColumn(out, F.when(in_test, "test").otherwise("train"))
 

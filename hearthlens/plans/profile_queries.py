@@ -106,7 +106,7 @@ def top_correlations(spark, folder):
 @query("select round(coalesce(quantile_cont(o_totalprice, 0.99), 0), 6) as p99 from orders")
 def price_percentile(spark, folder):
     orders = table(spark, folder, "orders").select("o_totalprice")
-    value = exact_quantiles(orders, {"o_totalprice": [0.99]}, direct_values=0, gather_rows=500, accuracy=100)["o_totalprice"][0]
+    value = exact_quantiles(orders, {"o_totalprice": [0.99]}, direct_values=0)["o_totalprice"][0]
     return spark.createDataFrame([(round(value, 6),)], "p99 double")
 
 

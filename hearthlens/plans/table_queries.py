@@ -410,5 +410,5 @@ def order_statistics(spark, folder):
     items = table(spark, folder, "lineitem").select("l_extendedprice")
     n = items.count()
     ranks = sorted({0, n // 3, n // 2, n - 1})
-    found = orderstats.order_statistics(items, {"l_extendedprice": ranks}, gather_rows=1000, accuracy=200)
+    found = orderstats.order_statistics(items, {"l_extendedprice": ranks})
     return spark.createDataFrame([(r, float(found[("l_extendedprice", r)])) for r in ranks], "rank bigint, value double")

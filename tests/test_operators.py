@@ -1,3 +1,4 @@
+import decimal
 import math
 import random
 
@@ -23,11 +24,11 @@ SAMPLES = {
 
 
 @pytest.mark.parametrize("name", SAMPLES)
-def test_order_statistics_by_closing_in(spark, name):
+def test_order_statistics_by_digits(spark, name):
     values = SAMPLES[name]
     ranks = [0, 1, len(values) // 3, len(values) // 2, 699 % len(values), len(values) - 2, len(values) - 1]
     df = frame(spark, values + [None] * 10)
-    found = orderstats.order_statistics(df, {"v": ranks}, gather_rows=20, accuracy=20)
+    found = orderstats.order_statistics(df, {"v": ranks}, digit_bits=5)
     expected = sorted(values)
     assert {r: found[("v", r)] for r in ranks} == {r: expected[r] for r in ranks}
 
@@ -36,7 +37,7 @@ def test_order_statistics_of_several_columns_and_types(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(10 ** 15), rng.random(), i) for i in range(1000)]
     df = spark.createDataFrame(rows, "a bigint, b double, c int").repartition(3)
-    found = orderstats.order_statistics(df, {"a": [10, 500], "b": [500], "c": [999]}, gather_rows=50, accuracy=50)
+    found = orderstats.order_statistics(df, {"a": [10, 500], "b": [500], "c": [999]})
     assert found[("a", 500)] == sorted(r[0] for r in rows)[500] and found[("a", 10)] == sorted(r[0] for r in rows)[10]
     assert found[("b", 500)] == sorted(r[1] for r in rows)[500] and found[("c", 999)] == 999
 
@@ -44,17 +45,38 @@ def test_order_statistics_of_several_columns_and_types(spark):
 def test_large_integers_beyond_double_precision(spark):
     values = [2 ** 60 + i for i in range(300)]
     df = frame(spark, values, kind="bigint")
-    found = orderstats.order_statistics(df, {"v": [0, 150, 299]}, gather_rows=10, accuracy=10)
+    found = orderstats.order_statistics(df, {"v": [0, 150, 299]}, digit_bits=64)
     assert [found[("v", r)] for r in (0, 150, 299)] == [values[0], values[150], values[299]]
 
 
 @pytest.mark.parametrize("direct", [0, 10 ** 6])
 def test_quantiles_agree_with_linear_interpolation(spark, direct):
     for values in SAMPLES.values():
-        found = orderstats.exact_quantiles(frame(spark, values), {"v": [0, 0.25, 0.5, 0.99, 1]}, direct_values=direct, gather_rows=30, accuracy=30)
+        found = orderstats.exact_quantiles(frame(spark, values), {"v": [0, 0.25, 0.5, 0.99, 1]}, direct_values=direct)
         assert found["v"] == pytest.approx(list(np.quantile(values, [0, 0.25, 0.5, 0.99, 1])), rel=1e-12)
 
 
+def test_answers_do_not_depend_on_the_size(spark):
+    rng = random.Random(11)
+    doubles = [rng.gauss(0, 1) * 10.0 ** rng.randint(-320, 300) for _ in range(900)] + [0.0, -0.0, 5e-324, -5e-324, 2.0 ** -1022, 1.7e308, -1.7e308, math.inf, -math.inf, 0.1, 0.1]
+    long = [decimal.Decimal(rng.randrange(-10 ** 37, 10 ** 37)).scaleb(-10) for _ in range(len(doubles))]
+    short = [decimal.Decimal(rng.randrange(-10 ** 9, 10 ** 9)).scaleb(-2) for _ in range(len(doubles))]
+    whole = [rng.choice([-2 ** 63, 2 ** 63 - 1, 0, -1, rng.randrange(-10 ** 18, 10 ** 18)]) for _ in range(len(doubles))]
+    rows = [(a, b, c, d, float(i % 7), i % 5 - 2) for i, (a, b, c, d) in enumerate(zip(doubles, long, short, whole))] + [(None,) * 6]
+    df = spark.createDataFrame(rows, "a double, b decimal(38,10), c decimal(11,2), d bigint, e float, f smallint").repartition(4)
+    ranks = [0, 1, 2, 300, 455, 456, 457, len(doubles) - 2, len(doubles) - 1]
+    found = orderstats.order_statistics(df, {c: ranks for c in "abcdef"})
+    for i, c in enumerate("abcdef"):
+        want = sorted(row[i] for row in rows[:-1])
+        assert [found[(c, r)] for r in ranks] == [want[r] for r in ranks], c
+    points = {c: [k / 17 for k in range(18)] for c in "abcdef"}
+    finite = df.where("a between -1e200 and 1e200")
+    small, large = (orderstats.exact_quantiles(finite, points, direct_values=n) for n in (10 ** 6, 0))
+    assert small == large
+    assert orderstats.order_statistics(spark.createDataFrame([(math.nan,), (1.0,), (-math.inf,)], "v double"), {"v": [0, 1, 5]}) == {("v", 0): -math.inf, ("v", 1): 1.0}
+    assert math.isnan(orderstats.order_statistics(spark.createDataFrame([(math.nan,), (1.0,)], "v double"), {"v": [1]})[("v", 1)])
+
+
 def test_percentile_fixture(spark):
     assert orderstats.percentile(frame(spark, [1.0, 2.0, 4.0, 9.0]), "v", 0.99) == pytest.approx(8.85)
     assert orderstats.percentile(spark.createDataFrame([], "v double"), "v", 0.99) == 0.0
