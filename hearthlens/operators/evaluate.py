@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -113,3 +114,60 @@ def fold_curve(train: DataFrame, key: str, fold: str, folds: int, shares: Sequen
         table = curve if table is None else table.unionByName(curve)
     return table.groupBy("share", "measured_on").agg(
         F.sum("rows").alias("rows"), F.avg("rmse").alias("rmse"))
+
+
+#: Features of a line whose curve is read off sums of products, one sum for each pair.
+MOST_LINE_FEATURES = 60
+
+
+def _moments(rows: DataFrame, width: int, cells: dict[str, Column], label: str, features: str) -> dict[tuple, np.ndarray]:
+    """Sums of all products of (1, features, label) for each cell, from one pass. Products are taken about the values of some
+    row, which a line with an intercept makes up for."""
+    x = vector_to_array(F.col(features))
+    flat = rows.select(*[column.alias(name) for name, column in cells.items()],
+                       *[F.get(x, F.lit(i)).alias(f"v{i}") for i in range(width)], F.col(label).cast("double").alias(f"v{width}"))
+    some = flat.first()
+    if some is None:
+        return {}
+    about = [F.lit(1.0)] + [F.col(f"v{i}") - F.lit(some[f"v{i}"]) for i in range(width + 1)]
+    pairs = [(i, j) for i in range(width + 2) for j in range(i, width + 2)]
+    sums = flat.groupBy(*cells).agg(*[F.sum(about[i] * about[j]).alias(f"s{i}_{j}") for i, j in pairs])
+    found = {}
+    for row in sums.collect():  # one row per cell
+        m = np.zeros((width + 2, width + 2))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = row[f"s{i}_{j}"]
+        found[tuple(row[name] for name in cells)] = m
+    return found
+
+
+def line_curve(rows: DataFrame, key: str, shares: Sequence[float], width: int, test: Column | None = None, fold: str | None = None,
+               folds: int = 0, label: str = "label", features: str = "features", seed: int = 0) -> DataFrame:
+    """The curve of least-squares lines on growing parts of the training rows, as ``learning_curve`` and ``fold_curve``
+    give it, from one scan: sums of products by fold and share are added up to every share and fold, and each
+    line and its errors are solved from them.
+
+    ``test`` marks the rows to measure on; with ``fold`` each fold is measured by the lines of the others.
+    """
+    if width > MOST_LINE_FEATURES:
+        raise ValueError(f"a curve from sums has at most {MOST_LINE_FEATURES} features")
+    bucket = key_hash(F.col(key), seed) % 1_000_000
+    part = F.lit(len(shares))
+    for i in sorted(range(len(shares)), key=lambda i: -shares[i]):
+        part = F.when(bucket < int(round(shares[i] * 1_000_000)), i).otherwise(part)
+    held = F.col(fold).cast("int") if fold else F.when(test, 0).otherwise(-1)
+    moments = _moments(rows, width, {"held": held, "part": part}, label, features)
+    nothing = np.zeros((width + 2, width + 2))
+    order = {i: shares[i] for i in range(len(shares))}
+    found: dict[tuple[float, str], list[tuple[int, float]]] = {}
+    for k in range(folds if fold else 1):
+        unseen = sum((m for (h, _), m in moments.items() if h == k), nothing)
+        for i, share in order.items():
+            seen = sum((m for (h, p), m in moments.items() if h != k and p in order and order[p] <= share), nothing)
+            line = np.linalg.lstsq(seen[:-1, :-1], seen[:-1, -1], rcond=1e-13)[0]
+            against = np.append(-line, 1.0)
+            for name, m in (("train", seen), ("test", unseen)):
+                if m[0, 0]:
+                    found.setdefault((float(share), name), []).append((int(round(m[0, 0])), float(np.sqrt(max(against @ m @ against, 0.0) / m[0, 0]))))
+    out = [(share, name, sum(n for n, _ in own), sum(e for _, e in own) / len(own)) for (share, name), own in found.items()]
+    return rows.sparkSession.createDataFrame(out, "share double, measured_on string, rows bigint, rmse double")

@@ -137,7 +137,7 @@ FOLDED = [(i, x, k) for i, x in enumerate(SHARES) for k in range(3)]
        + ") group by 1, 2")
 def cross_validated_line_curve(spark, folder):
     rows = numbering.hashed_folds(modelling_rows(spark, folder, ["area"]), "id", 3)
-    curve = evaluate.fold_curve(rows, "id", "fold", 3, SHARES, lambda part: models.fit_cached(models.least_squares(), part))
+    curve = evaluate.line_curve(rows, "id", SHARES, 1, fold="fold", folds=3)
     return curve.withColumn("rmse", F.round("rmse", 4))
 
 

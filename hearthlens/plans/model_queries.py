@@ -52,15 +52,14 @@ SHARES = [0.25, 0.5, 1.0]
   round(sqrt(avg(pow(t_price - a * area - b, 2))), 4) as rmse from s, f{i} where test or bucket < {int(x * 1e6)} group by 1, 2"""
     for i, x in enumerate(SHARES)))
 def learning_curve(spark, folder):
-    train, test = parts(modelling_rows(spark, folder, ["area"]))
-    curve = evaluate.learning_curve(train, test, "id", SHARES, lambda part: models.fit_cached(models.least_squares(), part))
+    curve = evaluate.line_curve(modelling_rows(spark, folder, ["area"]), "id", SHARES, 1, test=F.col("split") == "test")
     return curve.withColumn("rmse", F.round("rmse", 4))
 
 
 @query()
 def cross_validated_learning_curve(spark, folder):
     rows = numbering.hashed_folds(modelling_rows(spark, folder), "id", 3)
-    return evaluate.fold_curve(rows, "id", "fold", 3, [0.5, 1.0], lambda part: models.fit_cached(models.least_squares(), part))
+    return evaluate.line_curve(rows, "id", [0.5, 1.0], len(LISTING_FEATURES), fold="fold", folds=3)
 
 
 @query()

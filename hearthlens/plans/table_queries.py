@@ -54,7 +54,6 @@ def csv_scan_with_imposed_names(spark, folder):
 def gbk_article_addresses(spark, folder):
     schema = StructType([StructField("编号", LongType()), StructField("地址URL", StringType())])
     path = fresh_path(spark, "gbk")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     table(spark, folder, "pages").select(F.col("page_id").alias("编号"), F.col("url").alias("地址URL")).write.csv(
         path, header=True, encoding="GBK")
     listed = sources.read_gbk_csv(spark, path, schema).toDF("page_id", "url")
@@ -161,6 +160,22 @@ def json_training_log(spark, folder):
     return sources.read_json_log(spark, path, multi_line=False).select("iter", "RMSE", "passed_time", "name")
 
 
+@query("""select event_id as iter, value as "RMSE", event_type as name from events
+union all select event_id + 1, value / 2, event_type from events""")
+def pretty_printed_training_log(spark, folder):
+    """Logs that are one document over many lines each: read whole, a file being one record."""
+    step = F.struct(F.array("value").alias("learn"), F.col("event_id").alias("iteration"), F.lit(0.0).alias("passed_time"), F.lit(0.0).alias("remaining_time"))
+    following = F.struct(F.array(F.col("value") / 2).alias("learn"), (F.col("event_id") + 1).alias("iteration"), F.lit(0.0).alias("passed_time"),
+                         F.lit(0.0).alias("remaining_time"))
+    events = table(spark, folder, "events").withColumn("part", F.pmod("event_id", F.lit(8)))
+    logs = events.groupBy("event_type", "part").agg(F.flatten(F.collect_list(F.array(step, following))).alias("iterations")).select(
+        F.struct(F.lit(2).alias("iteration_count"), F.col("event_type").alias("name")).alias("meta"), "iterations", "event_type", "part")
+    printed = logs.select(F.to_json(F.struct("meta", "iterations"), {"pretty": "true"}).alias("value"), "event_type", "part")
+    path = fresh_path(spark, "pretty_log")
+    printed.repartition("event_type", "part").write.partitionBy("event_type", "part").text(path)
+    return sources.read_json_log(spark, f"{path}/*/*").select("iter", "RMSE", "name")
+
+
 @query("""select c_custkey, c_name from customer c
 where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o_orderstatus = 'F' and o_orderpriority = '1-URGENT')""")
 def pending_entities(spark, folder):

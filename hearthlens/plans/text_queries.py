@@ -12,7 +12,7 @@ from hearthlens.operators.select import spread
 from hearthlens.plans import listings
 from hearthlens.plans.listings import LISTING_SQL, MACRO_SQL
 from hearthlens.plans.registry import query, table
-from hearthlens.sources import broken_pages, json_items, undeclared_fields, union_all_columns
+from hearthlens.sources import broken_pages, json_items, json_items_of_any_shape, undeclared_fields, union_all_columns
 
 # A key for data that the queries encrypt themselves; keys of real data are configuration.
 TEST_KEY = "0123456789abcdef"
@@ -163,6 +163,23 @@ def json_pages_of_two_shapes(spark, folder):
         F.count("*").alias("items"), F.count("show_price").alias("priced"), F.count("rooms").alias("with_rooms"))
 
 
+@query("""select event_type as source, event_id, '/u/' || user_id as url, case event_type when 'view' then null when 'click' then null else value end as show_price,
+  case event_type when 'click' then json_extract(props, '$.k')::bigint end as "extra.k", case event_type when 'click' then user_id = 1 end as "extra.owner",
+  case event_type when 'view' then cast(value as varchar) end as area from events where event_type <> 'error'""")
+def json_pages_of_unknown_shapes(spark, folder):
+    """Pages of three shapes, none of them declared: with a price, with nested fields, and with a number written as text."""
+    user, value = F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("url"), F.col("value")
+    number = F.get_json_object("props", "$.k").cast("bigint").alias("k")
+    shapes = {"view": F.struct(user, F.col("event_id").alias("event_id"), value.cast("string").alias("area")),
+              "click": F.struct(user, F.col("event_id").alias("event_id"), F.struct(number, (F.col("user_id") == 1).alias("owner")).alias("extra"))}
+    item = F.to_json(F.struct(user, F.col("event_id").alias("event_id"), value.alias("show_price")))
+    for name, shape in shapes.items():
+        item = F.when(F.col("event_type") == name, F.to_json(shape)).otherwise(item)
+    page = F.when(F.col("event_type") == "error", F.lit("ERROR")).otherwise(F.concat(F.lit('{"data":{"list":['), item, F.lit("]}}")))
+    pages = spread(table(spark, folder, "events")).select(F.col("event_type").alias("source"), page.alias("payload"))
+    return json_items_of_any_shape(pages, "payload", ["source"])
+
+
 @query("select event_type as source, count(*) as broken from events where event_type = 'error' group by 1")
 def json_broken_pages(spark, folder):
     pages = spread(table(spark, folder, "events")).select(F.col("event_type").alias("source"), _payload().alias("payload"))

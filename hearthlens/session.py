@@ -24,6 +24,7 @@ def build_session(app: str = "hearthlens", master: str | None = None, shuffle_pa
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.legacy.javaCharsets", "true")  # readers and writers of GBK files
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")

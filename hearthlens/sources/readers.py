@@ -26,10 +26,8 @@ def read_csv_named(spark: SparkSession, path: str, names: list[str]) -> DataFram
 def read_gbk_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A CSV in the GBK encoding, Chinese header included.
 
-    Spark accepts character sets outside its short list only with ``javaCharsets``; the reader
-    needs it while the plan runs, so it is left on for the session.
+    Spark accepts character sets outside its short list only with the setting that ``build_session`` makes.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return spark.read.schema(schema).csv(path, header=True, encoding="GBK", enforceSchema=False)
 
 
