@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -53,9 +55,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+@contextmanager
+def working_folders(spark: SparkSession) -> Iterator[None]:
+    """Removes what was written to fresh paths within the block, once nothing reads it any more: use the rows of a query
+    inside the block."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _MADE[before:]:
+            path = hadoop.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        del _MADE[before:]
 
 
 _SHIPPED: set[str] = set()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthlens.operators import clean, evaluate, features, joins, numbering, orderstats, profile
+from hearthlens.operators import clean, evaluate, features, joins, models, numbering, orderstats, profile
 
 
 def frame(spark, values, parts=4, name="v", kind="double"):
@@ -305,3 +305,35 @@ def test_repeated_lookup_keys_are_refused_at_any_size(spark):
             joins.lookup_join(facts, lookup, "city", rows=rows)
     found = joins.lookup_join(facts, lookup.where("gdp > 1"), "city", rows=1).collect()
     assert sorted((r.city or "", r.gdp or 0) for r in found) == [("", 0), ("a", 2), ("b", 3)]
+
+
+def test_rows_are_told_apart_by_value_where_digests_clash(spark):
+    rows = [("a", "x", 1), ("a", "x", 0), ("b", None, 2), ("b", None, 2), ("b", "", 3), ("ab", "", 4), ("a", "b", 5), (None, None, 6), ("-", "-", 7)]
+    df = spark.createDataFrame(rows, "s string, t string, n int").repartition(3)
+    forged = [clean.row_digest, lambda names: F.lit(b"one"), lambda names: F.unhex(F.substring(F.sha2(F.coalesce("s", F.lit("")).cast("binary"), 256), 1, 2))]
+    for digest in forged:
+        assert sorted(map(repr, clean.drop_duplicates(df, digest=digest).collect())) == sorted(map(repr, df.distinct().collect()))
+        kept = {(r.s, r.t): r.n for r in clean.drop_duplicates(df, ["s", "t"], digest).collect()}
+        assert kept == {("a", "x"): 0, ("b", None): 2, ("b", ""): 3, ("ab", ""): 4, ("a", "b"): 5, (None, None): 6, ("-", "-"): 7}
+        assert list(clean.duplicate_count(df, ["s", "t"], digest).first()) == [9, 7, 2]
+    plan = clean.drop_duplicates(df)._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert keys and all("hashpartitioning(mark" in line or "hashpartitioning(own" in line for line in keys)
+    zeros = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (float("nan"),), (None,)], "v double")
+    assert clean.drop_duplicates(zeros).count() == 3 and clean.drop_duplicates(zeros.limit(0)).count() == 0
+
+
+def test_curve_from_one_scan_equals_separate_fits(spark):
+    rng = random.Random(2)
+    rows = [(i, 10 + rng.random(), rng.random(), i % 3, "test" if i % 5 == 0 else "train") for i in range(400)]
+    rows = [(i, a, b, f, s, 3 * a - 2 * b + rng.gauss(0, 0.1)) for i, a, b, f, s in rows]
+    df = features.assembler(["a", "b"]).transform(spark.createDataFrame(rows, "id long, a double, b double, fold int, split string, label double"))
+    shares = [0.3, 1.0]
+    one = evaluate.line_curve(df, "id", shares, 2, test=F.col("split") == "test")
+    fit = lambda part: models.fit_cached(models.least_squares(), part)
+    other = evaluate.learning_curve(df.where("split = 'train'"), df.where("split = 'test'"), "id", shares, fit)
+    crossed, fitted = evaluate.line_curve(df, "id", shares, 2, fold="fold", folds=3), evaluate.fold_curve(df, "id", "fold", 3, shares, fit)
+    for a, b in ((one, other), (crossed, fitted)):
+        got, want = ({(r["share"], r["measured_on"]): (r["rows"], r["rmse"]) for r in c.collect()} for c in (a, b))
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], rel=1e-6) for k in got)

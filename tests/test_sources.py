@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from hearthlens import sources
-from hearthlens.session import fresh_path, shared_folder
+from hearthlens.session import fresh_path, shared_folder, working_folders
 from hearthlens.streaming.incremental import load_new_entities, read_loaded
 
 
@@ -148,3 +148,32 @@ def test_reading_leaves_the_declared_schema_alone(spark):
     for _ in range(2):
         assert sorted(tuple(r) for r in sources.read_per_city(spark, path, schema).collect()) == [(1, "a"), (2, "b")]
     assert schema.names == ["v"]
+
+
+def test_working_folders_are_removed(spark, tmp_path):
+    with working_folders(spark):
+        path, kept = fresh_path(spark, "work"), str(tmp_path / "kept")
+        spark.range(5).write.parquet(path)
+        spark.range(5).write.parquet(kept)
+        fresh_path(spark, "never written")
+        assert spark.read.parquet(path).count() == 5
+    assert not os.path.exists(path) and spark.read.parquet(kept).count() == 5
+    with pytest.raises(ZeroDivisionError):
+        with working_folders(spark):
+            path = fresh_path(spark, "work")
+            spark.range(5).write.parquet(path)
+            1 / 0
+    assert not os.path.exists(path)
+
+
+def test_pages_of_shapes_that_nobody_declared(spark):
+    pages = [("a", '{"data":{"list":[{"x":1,"n":{"y":2.5,"z":null}},{"x":2}]}}'), ("a", '{"data":{"list":[{"x":"three"}]}}'), ("b", '{"data":{"list":[{"x":7,"w":[1,2]}]}}'),
+             ("c", "ERROR"), ("d", '{"data":{"list":[]}}'), ("e", '{"other":1}'), (None, '{"data":{"list":[{"x":true}]}}'), ("f", None)]
+    df = spark.createDataFrame(pages, "source string, payload string")
+    found = sources.json_items_of_any_shape(df, "payload", ["source"])
+    rows = sorted([{k: v for k, v in r.asDict().items() if v is not None} for r in found.collect()], key=repr)
+    assert rows == sorted([{"source": "a", "x": "1", "n.y": 2.5}, {"source": "a", "x": "2"}, {"source": "a", "x": "three"},
+                           {"source": "b", "x": "7", "w": [1, 2]}, {"x": "true"}], key=repr)
+    assert {r["source"]: r["shape"] for r in sources.item_shapes(df, "payload", ["source"]).collect()}["b"].startswith("OBJECT<")
+    nothing = sources.json_items_of_any_shape(df.where("source = 'c'"), "payload", ["source"])
+    assert nothing.columns == ["source"] and nothing.collect() == []
