@@ -11,8 +11,9 @@ from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthlens.operators.features import assembler, fit_pca
 from hearthlens.operators.numbering import contiguous_folds, hashed_folds
@@ -108,7 +109,66 @@ def boosting_curve(model, df: DataFrame) -> list[float]:
     return [mse ** 0.5 for mse in model.evaluateEachIteration(df, "squared")]
 
 
-class StackedRegressor(Estimator):
+def boosted_until_best(df: DataFrame, validation: Column, rounds: int = 1000, tolerance: float = 0.01, **params) -> tuple[GBTRegressionModel, DataFrame]:
+    """Boosted trees that stop when the error on the rows marked by ``validation`` gets no better, and the curve up to there:
+    (iter, train, validation, best) with the RMSE of both kinds of rows and the round that the model ends with.
+
+    ``tolerance`` is the share of the error by which a round has to improve on the best one. Marked rows are not
+    trained on. One of the rounds after the best is fitted to know that it is the best; it is not kept.
+    """
+    marked = df.withColumn("held", F.coalesce(validation, F.lit(False)))
+    model = fit_cached(boosted_trees(rounds, validationIndicatorCol="held", validationTol=tolerance, **params), marked)
+    curves = [boosting_curve(model, marked.where(where)) for where in ("not held", "held")]
+    best = model.getNumTrees - 1
+    log = [(i, float(a), float(b), i == best) for i, (a, b) in enumerate(zip(*curves))]
+    return model, df.sparkSession.createDataFrame(log, "iter bigint, train double, validation double, best boolean")
+
+
+class _StackWriter(MLWriter):
+    """Settings as metadata, each part in a folder of its own, and the rows of a fitted stack beside them."""
+
+    def __init__(self, stack):
+        super().__init__()
+        self.stack = stack
+
+    def saveImpl(self, path: str) -> None:
+        parts, settings, rows = self.stack._parts()
+        session = self.sparkSession
+        DefaultParamsWriter.saveMetadata(self.stack, path, session, extraMetadata={"settings": settings, "parts": len(parts)})
+        for i, part in enumerate(parts):
+            part.write().save(f"{path}/parts/{i}")
+        if rows is not None:
+            rows.write.parquet(f"{path}/out_of_fold")
+
+
+class _StackReader(MLReader):
+    def __init__(self, kind: type):
+        super().__init__()
+        self.kind = kind
+
+    def load(self, path: str):
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        parts = [DefaultParamsReader.loadParamsInstance(f"{path}/parts/{i}", self.sparkSession) for i in range(metadata["parts"])]
+        stack = self.kind._from_parts(parts, metadata["settings"], lambda: self.sparkSession.read.parquet(f"{path}/out_of_fold"))
+        stack._resetUid(metadata["uid"])
+        return stack
+
+
+class _Stack(MLReadable, MLWritable):
+    def write(self) -> MLWriter:
+        return _StackWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _StackReader(cls)
+
+    def copy(self, extra: dict | None = None):
+        parts, settings, rows = self._parts()
+        copied = type(self)._from_parts([part.copy(extra) for part in parts], settings, lambda: rows)
+        return copied._resetUid(self.uid)
+
+
+class StackedRegressor(_Stack, Estimator):
     """Stacking with out-of-fold predictions.
 
     Every base model is fitted once per fold and predicts the rows it has not seen; a least-squares
@@ -129,6 +189,14 @@ class StackedRegressor(Estimator):
         self.parallelism = parallelism
         self.meta = meta or least_squares()
 
+    def _parts(self):
+        settings = {name: getattr(self, name) for name in ("key", "folds", "use_features", "fold_order", "parallelism")}
+        return [*self.bases, self.meta], settings, None
+
+    @classmethod
+    def _from_parts(cls, parts, settings, rows) -> StackedRegressor:
+        return cls(parts[:-1], meta=parts[-1], **settings)
+
     def _inputs(self) -> list[str]:
         return (["features"] if self.use_features else []) + [f"base_{i}" for i in range(len(self.bases))]
 
@@ -164,7 +232,7 @@ def _scored(model: Model, df: DataFrame, out: str) -> DataFrame:
     return model.transform(df).withColumnRenamed("prediction", out).select(*df.columns, out)
 
 
-class StackedModel(Model):
+class StackedModel(_Stack, Model):
     """Fitted bases and combiner; ``out_of_fold`` holds the training rows with their unseen predictions."""
 
     def __init__(self, bases: Sequence[Model], combiner: PipelineModel, out_of_fold: DataFrame):
@@ -173,6 +241,13 @@ class StackedModel(Model):
         self.combiner = combiner
         self.out_of_fold = out_of_fold
 
+    def _parts(self):
+        return [*self.bases, self.combiner], {}, self.out_of_fold
+
+    @classmethod
+    def _from_parts(cls, parts, settings, rows) -> StackedModel:
+        return cls(parts[:-1], parts[-1], rows())
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         rows = dataset
         for i, base in enumerate(self.bases):

@@ -113,6 +113,19 @@ def boosting_of_two_splits(spark, folder):
     return spark.createDataFrame(log, "measured_on string, iter bigint, RMSE double")
 
 
+@query(f"""with {ROWS}, fit as (select * from train where id % 5 <> 0), {split_sql("best", "fit", FEW, "t_price", VARIANCE)}
+select id, round({side_sql('best', FEW)}, 4) as prediction, 0::bigint as best_round, true as stopped_early from s, best where test""")
+def boosting_stopped_early(spark, folder):
+    """Every fifth training row is held back with the opposite price, so each round after the first makes these worse."""
+    train, test = parts(modelling_rows(spark, folder, FEW))
+    held = F.col("id") % 5 == 0
+    train = train.withColumn("label", F.when(held, -F.col("label")).otherwise(F.col("label")))
+    model, curve = models.boosted_until_best(train, held, rounds=20, depth=1)
+    best = curve.agg(F.min_by("iter", "validation"), F.max(F.when(F.col("best"), F.col("iter")))).first()
+    return model.transform(test).select("id", F.round("prediction", 4).alias("prediction"), F.lit(best[1]).cast("bigint").alias("best_round"),
+                                        F.lit(best[0] == best[1] and model.getNumTrees < 20).alias("stopped_early"))
+
+
 @query(f"""with {ROWS}, n as (select *, ntile(5) over (order by id) as fold from train),
 f as (select k, regr_slope(t_price, area) as a, regr_intercept(t_price, area) as b from n, range(1, 6) g(k) where fold <> k group by 1),
 o as (select t_price, a * area + b as p from n join f on fold = k), m as (select regr_slope(t_price, p) as c, regr_intercept(t_price, p) as d from o),

@@ -13,6 +13,7 @@ from hearthlens.plans.listings import cities
 from hearthlens.plans.registry import query, table
 from hearthlens.session import fresh_path
 from hearthlens.streaming.incremental import load_new_entities, read_loaded
+from hearthlens.streaming.keyindex import key_index
 
 
 def _schema(df: DataFrame, *names: str) -> StructType:
@@ -196,6 +197,18 @@ def incremental_load(spark, folder):
         F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
 
 
+@query("""select o_orderkey, o_orderkey % 100 < 50 as is_new from orders where o_orderkey % 100 = 7 or (o_orderkey % 100 = 57 and o_orderkey % 1000 <> 57)""")
+def orders_not_in_the_index(spark, folder):
+    """Orders with an even half of the keys are stored; a batch brings new ones and a few that are there."""
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    index = key_index(fresh_path(spark, "index"), ["o_orderkey"], slots=64)
+    stored = orders.where("o_orderkey % 100 >= 50 and (o_orderkey % 100 <> 57 or o_orderkey % 1000 = 57)")
+    for batch in range(2):
+        index.add(stored.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(2)) == batch), "orders", batch)
+    found = index.pending(orders.where("o_orderkey % 100 in (7, 57)"))
+    return found.select("o_orderkey", (F.col("o_orderkey") % 100 < 50).alias("is_new"))
+
+
 # --- filters and projections ---------------------------------------------------------------------
 
 MARKED = "case o_orderstatus when 'F' then 1 when 'O' then 0 end"

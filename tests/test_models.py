@@ -241,3 +241,24 @@ def test_machines_are_saved_and_read_again(spark, ring, tmp_path):
     gaps = spark.createDataFrame([(0, 0.1, None, 1.0)], "id long, X1 double, X2 double, label double")
     shown = model.stages[1].transform(gaps).select("score", "curved", "probability_0").first()
     assert list(shown) == [None, None, None]
+
+
+def test_stacks_are_saved_copied_and_put_in_pipelines(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, rng.random(), rng.random()) for i in range(120)]
+    df = features.assembler(["a", "b"]).transform(
+        spark.createDataFrame([(i, a, b, 2 * a - b + rng.gauss(0, 0.1)) for i, a, b in rows], "id long, a double, b double, label double"))
+    stack = models.StackedRegressor([models.least_squares(), models.random_forest(trees=3, depth=2)], "id", folds=3, fold_order="hashed")
+    chain = Pipeline(stages=[stack])
+    model = chain.fit(df)
+    chain.write().overwrite().save(str(tmp_path / "chain"))
+    model.write().overwrite().save(str(tmp_path / "model"))
+    want = model.transform(df).select("id", "prediction").orderBy("id").collect()
+    again = PipelineModel.load(str(tmp_path / "model"))
+    assert again.transform(df).select("id", "prediction").orderBy("id").collect() == want
+    assert again.stages[0].out_of_fold.count() == 120 and again.copy().transform(df).select("id", "prediction").orderBy("id").collect() == want
+    read = Pipeline.load(str(tmp_path / "chain")).getStages()[0]
+    assert (read.key, read.folds, read.fold_order, len(read.bases), read.uid) == ("id", 3, "hashed", 2, stack.uid)
+    assert read.bases[1].getNumTrees() == 3 and stack.copy().bases[1].getNumTrees() == 3
+    other = Pipeline.load(str(tmp_path / "chain")).fit(df).transform(df).select("id", "prediction").orderBy("id").collect()
+    assert [r.prediction for r in other] == pytest.approx([r.prediction for r in want], rel=1e-9)

@@ -7,6 +7,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from hearthlens import sources
 from hearthlens.session import fresh_path, shared_folder, working_folders
 from hearthlens.streaming.incremental import load_new_entities, read_loaded
+from hearthlens.streaming.keyindex import key_index
 
 
 def write(path, data, encoding="utf-8"):
@@ -177,3 +178,26 @@ def test_pages_of_shapes_that_nobody_declared(spark):
     assert {r["source"]: r["shape"] for r in sources.item_shapes(df, "payload", ["source"]).collect()}["b"].startswith("OBJECT<")
     nothing = sources.json_items_of_any_shape(df.where("source = 'c'"), "payload", ["source"])
     assert nothing.columns == ["source"] and nothing.collect() == []
+
+
+def test_a_batch_opens_only_the_slots_that_may_hold_its_keys(spark):
+    index = key_index(fresh_path(spark, "index"), ["k", "n"], slots=200)
+    stored = spark.range(20_000).select(F.concat(F.lit("key "), "id").alias("k"), (F.col("id") % 7).cast("int").alias("n"))
+    none = stored.where("k is null")
+    assert index.slots_to_open(stored) == [] and index.pending(stored.limit(3)).count() == 3
+    for batch in range(3):
+        index.add(stored.where(F.pmod(F.crc32(F.col("k").cast("binary")), F.lit(3)) == batch), "a", batch)
+    index.add(none, "a", 3)
+    fresh = spark.range(50_000, 50_190).select(F.concat(F.lit("key "), "id").alias("k"), (F.col("id") % 7).cast("int").alias("n"))
+    batch = fresh.unionByName(stored.where("k in ('key 5', 'key 77', 'key 19999')")).unionByName(spark.createDataFrame([(None, 1), ("key 5", 6)], "k string, n int"))
+    opened = index.slots_to_open(batch)
+    read = index.candidates(batch).count()
+    assert 3 <= len(opened) <= 20 and read <= 2_000, "a tenth of 20,000 keys"
+    left = index.pending(batch)
+    assert left.count() == 192 and left.where("k = 'key 5' and n = 6").count() == 1 and left.where("k is null").count() == 1
+    assert index.pending(stored).isEmpty() and index.pending(none).isEmpty()
+    # a batch that is stored again does not see its own first attempt
+    again = stored.where(F.pmod(F.crc32(F.col("k").cast("binary")), F.lit(3)) == 2)
+    assert index.pending(again, "a", 2).count() == again.count() and index.pending(again, "a", 1).isEmpty()
+    plan = index.candidates(batch)._jdf.queryExecution().executedPlan().toString()
+    assert any("PartitionFilters" in line and "slot" in line for line in plan.splitlines()), "folders of other slots are not read"
