@@ -2,33 +2,55 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthlens.session import shared_folder
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Hands the package to the Python workers once per application, so that they need no checkout."""
-    application = spark.sparkContext.applicationId
-    if application in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    root = os.path.dirname(package)
-    archive = os.path.join(tempfile.mkdtemp(prefix="hearthlens-"), "hearthlens.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.relpath(path, root))
-    spark.sparkContext.addPyFile(archive)
-    _SHIPPED.add(application)
+from hearthlens.session import shared_folder, ship  # noqa: F401
+
+_TABLES: dict[tuple[str, str], object] = {}
+
+
+def worker_table(task: str, name: str, make: Callable[[], object]) -> object:
+    """A table that a worker process keeps between the tasks of one kind, made at its first use."""
+    if (task, name) not in _TABLES:
+        _TABLES[(task, name)] = make()
+    return _TABLES[(task, name)]
+
+
+def _given_back() -> None:
+    """Memory that Python and Arrow have freed goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def worker_task(task: str) -> Callable:
+    """For functions of batches: a worker that turns to another kind of task drops the tables of the last one, and
+    gives freed memory back after each task. Workers live on from stage to stage, so tables would add up."""
+
+    def wrap(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+        @functools.wraps(run)
+        def tidy(batches: Iterator) -> Iterator:
+            for other in [key for key in _TABLES if key[0] != task]:
+                del _TABLES[other]
+            pa.default_memory_pool().release_unused()
+            pa.set_memory_pool(pa.system_memory_pool())  # the default pool keeps what has been freed
+            try:
+                for batch in run(batches):
+                    yield batch
+                    del batch
+            finally:
+                _given_back()
+
+        return tidy
+
+    return wrap
 
 
 def stored(df: DataFrame) -> DataFrame:

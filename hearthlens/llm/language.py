@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthlens.llm.common import ship
+from hearthlens.llm.common import ship, worker_task
 from hearthlens.llm.linear import Rows, softmax, train_ftrl
 
 COLUMNS = 1 << 14
@@ -82,6 +82,7 @@ class LanguageModel:
         return self.languages[best], float(shares[best])
 
 
+@worker_task("language")
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(COLUMNS, dtype=np.int64)
     for batch in batches:
@@ -93,6 +94,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], ["gram", "n"])
 
 
+@worker_task("language")
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels, columns, counts = [], [], []
@@ -189,6 +191,7 @@ def predicted(spark, model: LanguageModel, text: Column) -> Column:
     shared = spark.sparkContext.broadcast(model)  # languages times hashed columns: a bounded size
 
     @F.pandas_udf("lang_pred string, score double")
+    @worker_task("language")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             yield pd.DataFrame([shared.value.predict(t) for t in part], columns=["lang_pred", "score"])

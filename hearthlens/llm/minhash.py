@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthlens.llm.common import ship, stored
+from hearthlens.llm.common import ship, stored, worker_task
 from hearthlens.llm.components import components
 
 #: Coordinates of a signature, and agreements asked for. A pair at a similarity of 0.8 has 51 on
@@ -74,6 +74,7 @@ def signatures(docs: DataFrame, words: int, key: str = "doc_id", text: str = "te
     """(id, n, digest, signature) of every row: size and 128-bit digest of the shingle set."""
     ship(docs.sparkSession)
 
+    @worker_task("minhash")
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, parts = [], [], []
@@ -122,6 +123,7 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, agreements: int, percent: in
 
 def _sets(ids: DataFrame, docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
     """(id, shingles): the full sets, as sorted 64-bit hashes, of the documents with the distinct ``ids``."""
+    @worker_task("minhash")
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(value.as_py(), words) for value in batch.column(1)]
@@ -138,6 +140,7 @@ def _sets(ids: DataFrame, docs: DataFrame, words: int, key: str, text: str) -> D
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
     """The pairs whose full sets have the similarity."""
+    @worker_task("minhash")
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
@@ -220,6 +223,7 @@ def _links_apart(postings: DataFrame, found: DataFrame, docs: DataFrame, words:
         "group", F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y"),
         F.when(F.col("own") <= F.col("met"), 0).otherwise(1).alias("side"), "id", "c")
 
+    @worker_task("minhash")
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, rows = None, []
 

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from hearthlens.llm.common import ship
-from hearthlens.llm.tokens import encoder
+from hearthlens.llm.common import ship, worker_task
+from hearthlens.llm.tokens import TASK, encoder
 
 #: Gaps of a sequence below this are left as padding instead of cutting a document once more.
 LEAST_CUT = 24
@@ -109,6 +109,7 @@ def text_pieces(docs: DataFrame, vocabulary: str, end_id: int | None, length: in
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
+    @worker_task(TASK)
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary)
         for batch in batches:
@@ -130,6 +131,7 @@ def token_pieces(tokens: DataFrame, length: int = 2048, key: str = "doc_id", ids
     ship(tokens.sparkSession)
     kind = tokens.schema[key].dataType.simpleString()
 
+    @worker_task(TASK)
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
@@ -152,6 +154,7 @@ def pack(pieces: DataFrame, length: int = 2048, group_pieces: int = 4096, seed:
     ship(pieces.sparkSession)
     kind = pieces.schema[key].dataType.simpleString()
 
+    @worker_task(TASK)
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, group, held, kind = TaskContext.get().partitionId() << 44, 0, [], None
         for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from hearthlens.llm.common import ship
+from hearthlens.llm.common import ship, worker_table, worker_task
 
 #: A space before white space or at the end, or the mark that cuts are written with.
 _WHOLE = " ([\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]|$)|\\x00"
@@ -26,6 +26,8 @@ _LETTER_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\\[-`{-~])"
 MAX_UNITS = 500_000
 #: Bytes of text that are handled at once; a longer text is handled by itself.
 RUN_BYTES = 6 << 20
+#: The kind of tasks that use an encoder.
+TASK = "tokens"
 
 Codes = tuple[np.ndarray, np.ndarray]
 
@@ -167,14 +169,9 @@ class Encoder:
         return self.units.texts(texts)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder per worker process and vocabulary file, as long as the worker has tasks of this kind."""
+    return worker_table(TASK, path, lambda: Encoder(path))
 
 
 def id_batches(keys: pa.Array, runs: Iterator[Codes], end_id: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -204,6 +201,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int | None, key: str = "
     """
     ship(docs.sparkSession)
 
+    @worker_task(TASK)
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary)
         for batch in batches:

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthlens.llm.common import ship
+from hearthlens.llm.common import ship, worker_task
 from hearthlens.llm.linear import Rows, softmax, train_ftrl
 
 #: Labelled rows that the chain is trained on, about; the sample is drawn by a hash of key and text.
@@ -70,6 +70,7 @@ class Chain:
         return done
 
 
+@worker_task("toxicity")
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0):
@@ -137,6 +138,7 @@ def fit(labelled: DataFrame, categories: Sequence[str], text: str = "text", trai
     columns = {word: i + 1 for i, word in enumerate(vocabulary)}
     shared = labelled.sparkSession.sparkContext.broadcast(columns)  # words of the bounded sample
 
+    @worker_task("toxicity")
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
@@ -170,6 +172,7 @@ def predicted(spark, chain: Chain, text: Column) -> Column:
     names = [f"p_{c}" for c in chain.categories]
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    @worker_task("toxicity")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in texts:
             yield pd.DataFrame([shared.value.predict(t) for t in part], columns=names)

@@ -436,9 +436,24 @@ def test_pipeline(spark, tmp_path, awkward):
     kept = corpus_pipeline.dedup_stage(spark, awkward, FOLDER).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10, 11]
     assert sum(r.doc_id is None for r in kept) == 2
+    packed = corpus_pipeline.packing_stage(spark, awkward, FOLDER).collect()
+    assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0) and {r.doc_id for r in packed} == {r.doc_id for r in awkward.collect()}
+    assert corpus_pipeline.packing_stage(spark, awkward.limit(0), FOLDER).collect() == []
     assert os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py" and len(corpus_pipeline.STAGES) == 4
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    long = " ".join(f"w{i}" for i in range(400))
+    near = long.replace("w7 ", "v7 ")
+    rows = [(1, "one two three four five six", "en", 0), (1, "seven eight nine ten eleven twelve", "en", 0), (1, None, "en", 0), (1, long, "en", 5),
+            (1, long, "en", 5), (1, long, "de", 6), (2, near, "en", 0), (3, near, "en", 0), (None, long, None, None), (None, long, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, number int")
+    out = [corpus_pipeline.dedup_stage(spark, part, FOLDER).collect() for part in (docs, docs.repartition(5))]
+    assert [sorted((r.doc_id, r.text or "") for r in found if r.doc_id is not None) for found in out] == 2 * [
+        sorted([(1, ""), (1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"), (1, long)])]
+    assert sorted(map(repr, out[0])) == sorted(map(repr, out[1])) and sum(r.doc_id is None for r in out[0]) == 2
+
+
 def test_copies_are_in_the_training_sample_once(spark):
     """A big group of copies changes neither the chain nor the number of rows that one task trains on."""
     rows = [(i, f"plain words {i % 7} of text {chr(97 + i % 11)}", i % 2, i % 3 == 0) for i in range(60)]
