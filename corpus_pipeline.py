@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearthlens.llm import language, minhash, packing, toxicity
 from hearthlens.llm.common import emptied, free_name
+from hearthlens.operators.numbering import number_rows
 from hearthlens.session import fresh_path
 
 #: A document whose language is less sure than this is rejected.
@@ -32,13 +33,32 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.withColumn(name, toxicity.predicted(spark, chain, docs["text"])).where(F.col(name)["p_toxic"] < TOXIC).drop(name)
 
 
+def row_identities(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows that have an id, with a column whose number stands for one (doc_id, text) in the order of the id
+    and the text's digest. Where no id has two texts, which takes one count of ids and digests, that is the id."""
+    named = docs.where(docs["doc_id"].isNotNull())
+    digest = free_name(docs, "digest")
+    marked = named.withColumn(digest, F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
+    several = marked.groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a < b")
+    if several.isEmpty():
+        return named, "doc_id"
+    number = free_name(docs, "number")
+    numbers = number_rows(marked.select("doc_id", digest).distinct(), "doc_id", digest, number)
+    return marked.join(numbers, ["doc_id", digest]).select(*docs.columns, number), number
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates, on runs of five words
-    and a similarity of 0.8. Rows that repeat an id are one document; rows without an id stay."""
-    kept = minhash.near_duplicates(docs, words=5, percent=80).where("kept and doc_id is not null")
-    name = free_name(docs, "kept_id")
-    named = docs.join(kept.select(F.col("doc_id").alias(name)).distinct(), docs["doc_id"] == F.col(name), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(docs["doc_id"].isNull()))
+    """Keeps one document of each group of near-duplicates, on runs of five words and a similarity of 0.8: the one
+    with the smallest id, and of an id with several texts that with the smallest digest. Texts that share an id
+    and nothing else are different documents and stay. Of rows equal in id and text one stays, by the
+    hash of its other columns. Rows without an id stay."""
+    named, row = row_identities(docs)
+    kept = minhash.near_duplicates(named, words=5, percent=80, key=row).where("kept")
+    name = free_name(named, "kept_id")
+    chosen = named.join(kept.select(F.col(row).alias(name)).distinct(), named[row] == F.col(name), "left_semi")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    first = chosen.groupBy(F.col(row).alias(name)).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("first"))
+    return first.select("first.*").unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
