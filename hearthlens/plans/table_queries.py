@@ -55,8 +55,7 @@ def csv_scan_with_imposed_names(spark, folder):
 def gbk_article_addresses(spark, folder):
     schema = StructType([StructField("编号", LongType()), StructField("地址URL", StringType())])
     path = fresh_path(spark, "gbk")
-    table(spark, folder, "pages").select(F.col("page_id").alias("编号"), F.col("url").alias("地址URL")).write.csv(
-        path, header=True, encoding="GBK")
+    sources.write_gbk_csv(table(spark, folder, "pages").select(F.col("page_id").alias("编号"), F.col("url").alias("地址URL")), path)
     listed = sources.read_gbk_csv(spark, path, schema).toDF("page_id", "url")
     numbered = numbering.number_rows(listed, "page_id", "page_id")
     return numbered.select(F.col("row_no").cast("bigint").alias("row_no"), "page_id", "url",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from hearthlens.schemas import TRAINING_JSON, TRAINING_LOG, doubles
+from hearthlens.session import allow_any_charset
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -24,10 +25,8 @@ def read_csv_named(spark: SparkSession, path: str, names: list[str]) -> DataFram
 
 
 def read_gbk_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A CSV in the GBK encoding, Chinese header included.
-
-    Spark accepts character sets outside its short list only with the setting that ``build_session`` makes.
-    """
+    """A CSV in the GBK encoding, Chinese header included."""
+    allow_any_charset(spark)
     return spark.read.schema(schema).csv(path, header=True, encoding="GBK", enforceSchema=False)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from hearthlens.session import allow_any_charset
+
 
 def write_per_city(df: DataFrame, path: str, city: str = "city", fmt: str = "parquet",
                    mode: str = "append") -> None:
@@ -20,6 +22,12 @@ def write_merged(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def write_gbk_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A CSV in the GBK encoding with a header line."""
+    allow_any_charset(df.sparkSession)
+    df.write.mode(mode).csv(path, header=True, encoding="GBK")
+
+
 def write_name_line(df: DataFrame, path: str, name: str, position: str, most: int = 1_000_000) -> None:
     """Names joined by commas in the order of ``position``, always one line in one file.
 

@@ -39,6 +39,20 @@ def test_gbk(spark, tmp_path):
     assert [tuple(r) for r in sources.read_gbk_csv(spark, path, schema).collect()] == [(1, "http://x/中")]
 
 
+def test_gbk_in_a_session_that_others_built(spark, tmp_path):
+    rows = [(1, "http://x/中"), (2, "文章")]
+    spark.conf.set("spark.sql.legacy.javaCharsets", "false")
+    try:
+        sources.write_gbk_csv(spark.createDataFrame(rows, "`编号` bigint, `地址URL` string").coalesce(1), str(tmp_path / "gbk"))
+        stored, = (tmp_path / "gbk").glob("*.csv")
+        assert stored.read_bytes().decode("gbk") == "编号,地址URL\n1,http://x/中\n2,文章\n"
+        spark.conf.set("spark.sql.legacy.javaCharsets", "false")
+        schema = StructType([StructField("编号", LongType()), StructField("地址URL", StringType())])
+        assert [tuple(r) for r in sources.read_gbk_csv(spark, str(stored), schema).collect()] == rows
+    finally:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def test_imposed_names_skip_the_header(spark, tmp_path):
     path = str(tmp_path / "h.csv")
     write(path, "x,y\n1.0,2\n")
