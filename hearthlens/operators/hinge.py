@@ -7,15 +7,17 @@ loss, and mu shrinks. At any w the rounded loss tells each row's dual value by i
 dual problem. Its value is a lower bound: the gap between the best loss and the best bound says how far the
 machine can be from the optimum at most.
 
-Rows are packed in blocks that tasks add up as matrices; a pass sends a few matrices per task, whose
-size does not depend on the rows, and these are added up in groups before the driver sees them.
+Rows are packed in blocks that tasks add up as matrices, one for each machine, whose size does not depend on the
+rows. The matrices of a machine meet in one task, which adds them up and finds the step; the driver sees a few
+numbers per feature and machine.
 """
 
 from __future__ import annotations
 
+import pickle
 import warnings
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ CENTRED = 0.05
 MOST_AT_WIDTH = 30
 #: Step lengths that are tried at once: halves of halves, down from a double step, and none.
 STEPS = np.append(2.0 ** -np.arange(-1, 26), 0.0)
-#: Sums that go to the driver at once, and bytes of sums that a task holds.
+#: Sums that meet in one task or go to the driver at once, and bytes of sums that a task holds.
 GATHERED, SUM_BYTES = 64, 128 << 20
+#: Bytes of the sums of all tasks up to which the driver adds them up itself.
+SMALL_SUMS = 1 << 20
 #: The penalty that stands for an unlimited c.
 LEAST_PENALTY = 1e-8
 #: A loss this near to the bound is the best one, whatever its size.
@@ -85,6 +89,11 @@ class Blocks:
     rows: DataFrame
     tasks: int
 
+    @property
+    def readers(self) -> int:
+        """Tasks that send sums: no more than the cores, since each sends a whole set."""
+        return max(1, min(self.tasks, self.rows.sparkSession.sparkContext.defaultParallelism))
+
 
 def packed(df: DataFrame, x: Column, label: str = "label", weight: str | None = None) -> DataFrame:
     """Blocks of rows as raw matrices. ``x`` is an array of numbers; a row without it, without a label or with a
@@ -107,8 +116,33 @@ def packed(df: DataFrame, x: Column, label: str = "label", weight: str | None =
     return rows.mapInArrow(pack, "x binary, y binary, s binary")
 
 
-def summed(blocks: Blocks, measure: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], length: int) -> np.ndarray:
-    """The sum of a measure over all blocks: one array per task, added up in groups of tasks until few are left."""
+SUMS = "part int, task int, sums binary"
+
+
+def _sums_row(part: int, task: int, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([task], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["part", "task", "sums"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The sum of each run of rows of one part, and the number of the first task in it."""
+    run: tuple[int, int] | None = None
+    total = np.zeros(0)
+    for batch in batches:
+        for part, task, sums in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if run is None or run[0] != part:
+                if run is not None:
+                    yield *run, total
+                run, total = (part, task), np.frombuffer(sums).copy()
+            else:
+                total += np.frombuffer(sums)
+    if run is not None:
+        yield *run, total
+
+
+def _task_sums(blocks: Blocks, measure: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], length: int, parts: int = 1) -> DataFrame:
+    """The sums of a measure over the blocks of a task, one row for each of ``parts`` equal parts. Those of many tasks are added up
+    in groups."""
+    tasks = blocks.readers
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -118,21 +152,25 @@ def summed(blocks: Blocks, measure: Callable[[np.ndarray, np.ndarray, np.ndarray
             for x, y, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 y, s = np.frombuffer(y), np.frombuffer(s)
                 total += measure(np.frombuffer(x).reshape(len(y), -1), y, s)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["task", "sums"])
+        for part, sums in enumerate(total.reshape(parts, -1)):
+            yield _sums_row(part, TaskContext.get().partitionId(), sums)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, task, sums in _added(batches):
+            yield _sums_row(part, task, sums)
+
+    sums = blocks.rows.coalesce(tasks).mapInArrow(partial, SUMS)
+    if tasks > GATHERED:
+        groups = int(tasks ** 0.5) + 1
+        sums = sums.repartition(groups, F.col("task") % groups).sortWithinPartitions("part", "task").mapInArrow(grouped, SUMS)
+    return sums
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(length)
-        for batch in batches:
-            for sums in batch.column(1).to_pylist():
-                total += np.frombuffer(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["task", "sums"])
 
-    schema = "task int, sums binary"
-    sums = blocks.rows.mapInArrow(partial, schema)
-    if blocks.tasks > GATHERED:
-        sums = sums.repartition(min(GATHERED, int(blocks.tasks ** 0.5) + 1), "task").mapInArrow(added, schema)
+def summed(blocks: Blocks, measure: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], length: int) -> np.ndarray:
+    """The sum of a small measure over all blocks."""
+    sums = _task_sums(blocks, measure, length)
     total = np.zeros(length)
-    for row in sums.collect():
+    for row in sorted(sums.collect(), key=lambda row: row["task"]):
         total += np.frombuffer(row["sums"])
     return total
 
@@ -152,30 +190,34 @@ def _rows(x: np.ndarray, arrays: tuple[np.ndarray, np.ndarray, float] | None, mi
 
 def _sums_at(machines: Sequence[Machine], middle: np.ndarray) -> tuple[Callable, int]:
     """The measure that gives for each machine at its point: rounded loss, loss, the dual values of both classes and their
-    weighted rows, the weighted rows on the rounded corner alone, and the curvature."""
+    weighted rows, the weighted rows on the rounded corner alone, and the upper triangle of the curvature."""
     groups = _by_mapping(machines)
     points = [m.point for m in machines]
     widths = [m.width for m in machines]
     n = len(points[0])
-    each = 4 + 2 * (n - 1) + n + n * n
+    upper = np.triu_indices(n)
+    each = 4 + 2 * (n - 1) + n + len(upper[0])
 
     def measure(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
         out = np.zeros((len(points), each))
         for arrays, own in groups:
             rows = _rows(x, arrays, middle)
             margins = 1.0 - y[:, None] * (rows @ np.stack([points[i] for i in own], axis=1))
+            width = np.array([widths[i] for i in own])
+            duals = np.clip(margins / width, 0.0, 1.0)
+            helds = s[:, None] * duals
+            ups, downs = np.where(y[:, None] > 0, helds, 0.0), np.where(y[:, None] > 0, 0.0, helds)
+            up_rows, down_rows = ups.T @ rows, downs.T @ rows
+            out[own, 0] = s @ (duals * (margins - 0.5 * width * duals))
+            out[own, 1] = s @ np.maximum(margins, 0.0)
+            out[own, 2], out[own, 3] = up_rows[:, -1], down_rows[:, -1]
+            out[own, 4:n + 3], out[own, n + 3:2 * n + 2] = up_rows[:, :-1], down_rows[:, :-1]
             for place, i in enumerate(own):
-                z, width = margins[:, place], widths[i]
-                dual = np.clip(z / width, 0.0, 1.0)
-                held = s * dual
-                up, down = np.where(y > 0, held, 0.0), np.where(y > 0, 0.0, held)
-                band = (z > 0) & (z < width)
-                near = rows[band]
-                out[i, :4] = (s @ (dual * (z - 0.5 * width * dual)), s @ np.maximum(z, 0.0), up.sum(), down.sum())
-                out[i, 4:n + 3] = up @ rows[:, :-1]
-                out[i, n + 3:2 * n + 2] = down @ rows[:, :-1]
-                out[i, 2 * n + 2:3 * n + 2] = (held * y)[band] @ near
-                out[i, 3 * n + 2:] = (near.T @ (near * s[band, None])).ravel() / width
+                band = (margins[:, place] > 0) & (margins[:, place] < width[place])
+                near, weights = rows[band], s[band]
+                out[i, 2 * n + 2:3 * n + 2] = (helds[band, place] * y[band]) @ near
+                near *= np.sqrt(weights)[:, None]
+                out[i, 3 * n + 2:] = (near.T @ near)[upper] / width[place]
         return out.ravel()
 
     return measure, len(points) * each
@@ -192,8 +234,10 @@ def _sums_along(machines: Sequence[Machine], directions: Sequence[np.ndarray], m
         out = np.zeros((len(points), len(steps)))
         for arrays, own in groups:
             rows = _rows(x, arrays, middle)
-            for i in own:
-                z = (1.0 - y * (rows @ points[i]))[:, None] - (y * (rows @ directions[i]))[:, None] * steps
+            here = 1.0 - y[:, None] * (rows @ np.stack([points[i] for i in own], axis=1))
+            slopes = y[:, None] * (rows @ np.stack([directions[i] for i in own], axis=1))
+            for place, i in enumerate(own):
+                z = here[:, place, None] - slopes[:, place, None] * steps
                 dual = np.clip(z / widths[i], 0.0, 1.0)
                 out[i] = s @ (dual * (z - 0.5 * widths[i] * dual))
         return out.ravel()
@@ -236,7 +280,10 @@ def _prove(machine: Machine, sums: np.ndarray, total: float, penalty: float) ->
     bound = max(0.0, 2.0 * even * share - 0.5 * share * share * square)
     machine.bound = max(machine.bound, bound)
     gradient = np.concatenate([penalty * w - ups + downs, [down - up]])
-    return _Here(norm + rounded - bound, norm + rounded, gradient, sums[2 * n + 2:3 * n + 2] / total, sums[3 * n + 2:].reshape(n, n) / total, penalty)
+    bend = np.zeros((n, n))
+    bend[np.triu_indices(n)] = sums[3 * n + 2:] / total
+    bend = np.triu(bend) + np.triu(bend, 1).T
+    return _Here(norm + rounded - bound, norm + rounded, gradient, sums[2 * n + 2:3 * n + 2] / total, bend, penalty)
 
 
 def _newton(here: _Here, damping: float) -> np.ndarray:
@@ -280,30 +327,60 @@ def solve(blocks: Blocks, machines: list[Machine], tolerance: float = 1e-4, max_
     return machines
 
 
+def _step(machine: Machine, sums: np.ndarray, total: float, penalty: float, tolerance: float, near: float) -> tuple[np.ndarray, bool] | None:
+    """Takes what the sums prove and finds the direction of the next step, and whether it is below the digits of the loss; None if
+    the machine is there."""
+    machine.rounds += 1
+    machine.at_width += 1
+    here = _prove(machine, sums, total, penalty)
+    if machine.gap <= max(tolerance * machine.loss, near) or machine.width < LEAST_WIDTH:
+        return None
+    # the minimum of the rounded loss lies below the bound that it proves
+    if machine.at_width > 1 and (here.excess <= CENTRED * machine.width or machine.at_width > MOST_AT_WIDTH):
+        here = here.narrowed(SHRINK)
+        machine.width, machine.at_width, machine.damping = machine.width * SHRINK, 0, 1e-12
+    direction = _newton(here, machine.damping)
+    return direction, abs(float(here.gradient @ direction)) <= 1e-13 * here.loss
+
+
+#: What a step changes of a machine.
+CHANGED = ("coefficients", "intercept", "loss", "bound", "rounds", "width", "damping", "at_width")
+
+
+def _steps(blocks: Blocks, machines: list[Machine], middle: np.ndarray, total: float, penalties: list[float], tolerance: float, near: float) -> list[tuple[np.ndarray, bool] | None]:
+    """One step of each machine: its sums meet in one task, which takes it, or in the driver while they are small."""
+    measure, length = _sums_at(machines, middle)
+    if 8 * length * blocks.readers <= SMALL_SUMS:
+        sums = summed(blocks, measure, length).reshape(len(machines), -1)
+        return [_step(machine, own, total, penalty, tolerance, near) for machine, own, penalty in zip(machines, sums, penalties)]
+    sums = _task_sums(blocks, measure, length, len(machines))
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, own in _added(batches):
+            machine = replace(machines[part])
+            step = _step(machine, own, total, penalties[part], tolerance, near)
+            found = pickle.dumps(({name: getattr(machine, name) for name in CHANGED}, step))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([found], pa.binary())], ["part", "step"])
+
+    spread = min(len(machines), blocks.rows.sparkSession.sparkContext.defaultParallelism)
+    steps = sums.repartition(spread, "part").sortWithinPartitions("part", "task").mapInArrow(taken, "part int, step binary")
+    found: list[tuple[np.ndarray, bool] | None] = [None] * len(machines)
+    for row in steps.collect():  # a few numbers per feature and machine
+        changed, found[row["part"]] = pickle.loads(row["step"])
+        for name, value in changed.items():
+            setattr(machines[row["part"]], name, value)
+    return found
+
+
 def _solve_together(blocks: Blocks, machines: list[Machine], middle: np.ndarray, total: float, tolerance: float, max_rounds: int, near: float) -> None:
     penalties = {id(m): max(LEAST_PENALTY, 0.0 if np.isinf(m.c) else 1.0 / ((m.rows or total) * m.c)) for m in machines}
     active = list(machines)
     for _ in range(max_rounds):
-        measure, length = _sums_at(active, middle)
-        sums = summed(blocks, measure, length).reshape(len(active), -1)
-        still, directions, known = [], [], []
-        for machine, own in zip(active, sums):
-            machine.rounds += 1
-            machine.at_width += 1
-            here = _prove(machine, own, total, penalties[id(machine)])
-            if machine.gap <= max(tolerance * machine.loss, near) or machine.width < LEAST_WIDTH:
-                continue
-            # the minimum of the rounded loss lies below the bound that it proves
-            if machine.at_width > 1 and (here.excess <= CENTRED * machine.width or machine.at_width > MOST_AT_WIDTH):
-                here = here.narrowed(SHRINK)
-                machine.width, machine.at_width, machine.damping = machine.width * SHRINK, 0, 1e-12
-            direction = _newton(here, machine.damping)
-            still.append(machine)
-            directions.append(direction)
-            known.append(abs(float(here.gradient @ direction)) <= 1e-13 * here.loss)
-        active = still
+        steps = _steps(blocks, active, middle, total, [penalties[id(m)] for m in active], tolerance, near)
+        active = [machine for machine, step in zip(active, steps) if step]
         if not active:
             return
+        directions, known = zip(*[step for step in steps if step])
         measure, length = _sums_along(active, directions, middle)
         along = summed(blocks, measure, length).reshape(len(active), -1) / total
         for machine, direction, tiny, values in zip(active, directions, known, along):
