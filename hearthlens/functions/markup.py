@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthlens.functions import pagetree as tree
 from hearthlens.functions.codec import decrypt_text
 from hearthlens.functions.text import join_pieces
-from hearthlens.operators.select import compute_once
 
 
 def read_pages(df: DataFrame, html: str, keys: list[str], out: str = "nodes") -> DataFrame:
@@ -27,10 +28,17 @@ def anchors(page: Column) -> Column:
     return F.transform(tree.with_tag(page, "a"), lambda a: F.struct(tree.text_of(page, a).alias("name"), tree.attribute(a, "href").alias("href")))
 
 
+def _links(page: tree._Page) -> Iterator[tuple]:
+    """(pos, name, href) of the links with an address, counted among all links."""
+    for pos, node in enumerate([i for i, tag in enumerate(page.tag) if tag == "a"]):
+        href = dict(page.attributes[node]).get("href")
+        if href is not None:
+            yield pos, tree.text_inside(page, node), href
+
+
 def page_links(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
-    """One row per link of a page with its position."""
-    links = read_pages(df, html, keys).select(*keys, F.posexplode(anchors(F.col("nodes"))).alias("pos", "link"))
-    return links.select(*keys, "pos", "link.name", "link.href").where(F.col("href").isNotNull())
+    """One row per link of a page with its position: what ``anchors`` gives, taken while a page is read."""
+    return tree.taken(df, html, keys, _links, "pos int, name string, href string")
 
 
 def matching_anchors(page: Column, conditions: dict[str, str]) -> Column:
@@ -72,36 +80,36 @@ def article_fragments(df: DataFrame, html: str, keys: list[str], key: Column | s
     ).where(F.col("content").isNotNull())
 
 
-# The class names of a listing page.
+# Fixed value: the class of a list of cards; those of the fields are named in ``_cards``.
 CARD_LIST = "sellListContent"
-CARD_FIELDS = ["title", "positionInfo", "houseInfo", "followInfo", "totalPrice", "unitPrice"]
 
 
-def _cards(page: Column) -> Column:
-    """The nodes of each item of the card lists of a page, the item itself first. Lists inside an item belong to it."""
-    lists = tree.with_class(tree.with_tag(page, "ul"), CARD_LIST)
-    items = F.flatten(F.transform(lists, lambda ul: F.filter(tree.inside(page, ul), lambda n: (n["tag"] == "li") & (n["parent"] == ul["id"]))))
-    return F.transform(items, lambda li: F.slice(page, li["id"] + 1, li["last"] - li["id"] + 1))
+def _cards(page: tree._Page) -> Iterator[tuple]:
+    """The six fields of each item of the card lists of a page, the position in pieces. Lists inside an item belong to it."""
+    pos = 0
+    for ul in [i for i, tag in enumerate(page.tag) if tag == "ul" and CARD_LIST in tree.classes_of(page, i)]:
+        for li in range(ul + 1, page.last[ul] + 1):
+            if page.tag[li] != "li" or page.parent[li] != ul:
+                continue
+            found: dict[str, int] = {}
+            for node in range(li, page.last[li] + 1):
+                for name in tree.classes_of(page, node):
+                    found.setdefault(name, node)
+
+            def within(name: str, tag: str) -> list[str]:
+                return tree.texts_within(page, found[name], tag) if name in found else []
+
+            def own(name: str) -> list[str]:
+                return tree.texts_of(page, found[name]) if name in found else []
+
+            first = [next(iter(texts), None) for texts in (within("title", "a"), own("houseInfo"), own("followInfo"), within("totalPrice", "span"), within("unitPrice", "span"))]
+            yield pos, first[0], within("positionInfo", "a"), *first[1:]
+            pos += 1
 
 
 def listing_cards(df: DataFrame, html: str, keys: list[str]) -> DataFrame:
     """One row of six text fields per card of a listing page; a missing field is null, except the
     position, whose pieces are joined and may be none. The first element of a class counts."""
-    pages = read_pages(df.where(F.contains(F.col(html), F.lit(CARD_LIST))), html, keys)
-    cards = compute_once(pages, cards=_cards(F.col("nodes"))).select(*keys, F.posexplode("cards").alias("pos", "card"))
-    card = F.col("card")
-    found = compute_once(cards, **{name: F.get(tree.with_class(card, name), F.lit(0)) for name in CARD_FIELDS})
-
-    def first(texts: Column) -> Column:
-        return F.get(texts, F.lit(0))
-
-    position = F.coalesce(tree.texts_in(card, F.col("positionInfo"), "a"), F.array().cast("array<string>"))
-    return found.select(
-        *keys, "pos",
-        first(tree.texts_in(card, F.col("title"), "a")).alias("title"),
-        join_pieces(position, "-").alias("position"),
-        first(tree.own_texts(card, F.col("houseInfo"))).alias("house_info"),
-        first(tree.own_texts(card, F.col("followInfo"))).alias("follow_info"),
-        first(tree.texts_in(card, F.col("totalPrice"), "span")).alias("total_price"),
-        first(tree.texts_in(card, F.col("unitPrice"), "span")).alias("unit_price"),
-    )
+    pages = df.where(F.contains(F.col(html), F.lit(CARD_LIST)))
+    cards = tree.taken(pages, html, keys, _cards, "pos int, title string, position array<string>, house_info string, follow_info string, total_price string, unit_price string")
+    return cards.withColumn("position", join_pieces(F.col("position"), "-"))

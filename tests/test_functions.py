@@ -1,4 +1,5 @@
 import math
+import random
 import time
 
 import pytest
@@ -231,3 +232,16 @@ def test_long_and_deep_pages_take_linear_time():
     assert time.time() - start < 20
     deep = pagetree.read_page("<b>" * 600)
     assert max(deep.parent) == pagetree.MOST_DEPTH - 1 and len(deep.tag) == 600
+
+
+def test_links_are_taken_while_pages_are_read(spark):
+    """The nodes of a page stay in the task, which gives the links only; the column functions find the same ones."""
+    rng = random.Random(2)
+    bits = ['<a href="/x">', "<a>", "</a>", "<p>", "</p>", "q", "&amp;", "<!-- ", "-->", "<div a='1'>", "</div>", '<a HREF="/&lt;">', "<br/>", "<script>", "</script>"]
+    rows = [(i, None if i % 50 == 0 else "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, html string").coalesce(1)
+    links = markup.page_links(df, "html", ["id"])
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "attributes" not in plan
+    by_columns = markup.read_pages(df, "html", ["id"]).select("id", F.posexplode(markup.anchors(F.col("nodes"))).alias("pos", "a")).select("id", "pos", "a.*").where("href is not null")
+    assert sorted(map(tuple, links.collect())) == sorted(map(tuple, by_columns.collect()))
