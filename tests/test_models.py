@@ -227,6 +227,15 @@ def test_machines_reach_the_proven_optimum(spark):
     assert one_class.getOrDefault(one_class.loss) < 1e-6 and one_class.transform(df).where("prediction = 0").isEmpty()
 
 
+def test_component_forest_keeps_two_columns(rows, monkeypatch):
+    """Rows at hand for the fit are components and label, not the columns, scaled columns and vectors they are made of."""
+    kept = []
+    fit = models.fit_cached
+    monkeypatch.setattr(models, "fit_cached", lambda estimator, df: kept.append(df.columns) or fit(estimator, df))
+    score, _ = models.scaled_pca_forest(rows, ["a", "b", "c", "d"], "y", models.random_forest(trees=2, depth=2))
+    assert kept == [["components", "label"]] and {"id", "prediction"} <= set(score(rows).columns)
+
+
 def test_sums_of_machines_stay_in_the_tasks(ring, monkeypatch):
     """No pass sends the curvature of the machines to the driver: of 12 machines on 100 features it took 1 MB a task."""
     rows = ring.repartition(8)
