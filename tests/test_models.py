@@ -232,7 +232,7 @@ def test_component_forest_keeps_two_columns(rows, monkeypatch):
     kept = []
     fit = models.fit_cached
     monkeypatch.setattr(models, "fit_cached", lambda estimator, df: kept.append(df.columns) or fit(estimator, df))
-    score, _ = models.scaled_pca_forest(rows, ["a", "b", "c", "d"], "y", models.random_forest(trees=2, depth=2))
+    score, _ = models.scaled_pca_forest(rows, ["a", "b", "c", "d"], "label", models.random_forest(trees=2, depth=2))
     assert kept == [["components", "label"]] and {"id", "prediction"} <= set(score(rows).columns)
 
 
