@@ -73,7 +73,9 @@ select id, round({side_sql('best', ["u0", "u1"])}, 4) as prediction from u, best
 def component_forest_of_one_split(spark, folder):
     """Two standardised columns have their sum and difference as components."""
     rows = listings.listing_features(spark, folder).select("id", F.col("hall").cast("double"), F.col("room").cast("double"), "t_price")
-    train, test = parts(features.hash_split(rows.dropna(), "id", 0.2, seed=42))
+    path = fresh_path(spark, "components")
+    rows.dropna().write.parquet(path)  # standardising, components, forest and scores each read the rows again
+    train, test = parts(features.hash_split(spark.read.parquet(path), "id", 0.2, seed=42))
     score, _ = models.scaled_pca_forest(train, ["hall", "room"], "t_price", _one_split(maxBins=64))
     return score(test).select("id", F.round("prediction", 4).alias("prediction"))
 

@@ -245,3 +245,13 @@ def test_links_are_taken_while_pages_are_read(spark):
     assert "MapInArrow" in plan and "attributes" not in plan
     by_columns = markup.read_pages(df, "html", ["id"]).select("id", F.posexplode(markup.anchors(F.col("nodes"))).alias("pos", "a")).select("id", "pos", "a.*").where("href is not null")
     assert sorted(map(tuple, links.collect())) == sorted(map(tuple, by_columns.collect()))
+
+
+def test_listing_texts_are_typed_where_they_are_matched(spark):
+    """Filters and codes read the attributes: they do not cut and type the parts of a text again."""
+    rows = spark.createDataFrame([(1, "3室2厅 | 89.5平米 | 南 北 | 精装 | 中楼层(共18层) | 板楼", "12人关注 / 3个月以前发布", "320", "5,000元/平"),
+                                  (2, "1室 | 南北", None, None, "")], "id int, house_info string, follow_info string, total_price string, unit_price string")
+    kept = listing.parse_listings(rows, ["id"]).where("height <> 0 and level_text is not null and room > 1")
+    above = kept._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "trim(" not in above and "_cast(__" not in above
+    assert [(r.id, r.room, r.hall, r.area, r.orientation_text, r.height, r.follower, r.span) for r in kept.collect()] == [(1, 3, 2, 89.5, "南", 18, 12, 90)]

@@ -293,3 +293,25 @@ def test_stacks_are_saved_copied_and_put_in_pipelines(spark, tmp_path):
     assert read.bases[1].getNumTrees() == 3 and stack.copy().bases[1].getNumTrees() == 3
     other = Pipeline.load(str(tmp_path / "chain")).fit(df).transform(df).select("id", "prediction").orderBy("id").collect()
     assert [r.prediction for r in other] == pytest.approx([r.prediction for r in want], rel=1e-9)
+
+
+def counted_rows(spark, df, column):
+    """The rows with an accumulator that tells how often the column has been computed."""
+    times = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        times.add(1)
+        return value
+
+    return df.withColumn(column, F.udf(seen, df.schema[column].dataType).asNondeterministic()(column)), times
+
+
+def test_component_forest_reads_its_listings_once(spark, monkeypatch):
+    from hearthlens.plans import exact_model_queries
+
+    rng = random.Random(8)
+    listed = [(i, rng.randrange(1, 5), rng.randrange(1, 8), float(rng.randrange(9))) for i in range(60)]
+    rows, times = counted_rows(spark, spark.createDataFrame(listed, "id bigint, hall int, room int, t_price double"), "hall")
+    monkeypatch.setattr(exact_model_queries.listings, "listing_features", lambda *_: rows)
+    assert exact_model_queries.component_forest_of_one_split(spark, "").count() > 0
+    assert times.value == 60
