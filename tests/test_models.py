@@ -315,3 +315,21 @@ def test_component_forest_reads_its_listings_once(spark, monkeypatch):
     monkeypatch.setattr(exact_model_queries.listings, "listing_features", lambda *_: rows)
     assert exact_model_queries.component_forest_of_one_split(spark, "").count() > 0
     assert times.value == 60
+
+
+def test_step_lengths_are_tried_on_few_rows_at_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, y, s = rng.normal(size=(20_000, 2)), np.sign(rng.normal(size=20_000)), rng.uniform(1, 3, 20_000)
+    machine, direction = hinge.Machine(1.0, None, np.zeros(2), point=rng.normal(size=3), width=0.3), rng.normal(size=3)
+    measure, length = hinge._sums_along([machine], [direction], np.zeros(2))
+    tracemalloc.start()
+    found = measure(x, y, s)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = np.c_[x, np.ones(len(x))]
+    for step, value in zip(hinge.STEPS, found):
+        z = 1 - y * (rows @ (machine.point + step * direction))
+        assert value == pytest.approx(s @ np.where(z < 0, 0, np.where(z < 0.3, z * z / 0.6, z - 0.15)), rel=1e-9)
+    assert length == len(found) and most < 20_000 * length * 8
