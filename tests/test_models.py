@@ -317,6 +317,15 @@ def test_component_forest_reads_its_listings_once(spark, monkeypatch):
     assert times.value == 60
 
 
+def test_cuts_and_folds_compute_their_column_once(spark):
+    rows, times = counted_rows(spark, spark.range(40).select("id", (F.col("id") * 2.0).alias("p")), "p")
+    assert features.price_cuts(rows, "p", 4) == [18.0, 38.0, 58.0] and times.value == 40
+    rows, times = counted_rows(spark, spark.range(40), "id")
+    folded = numbering.contiguous_folds(rows, "id", 3)
+    assert times.value == 40
+    assert [r["count"] for r in folded.groupBy("fold").count().orderBy("fold").collect()] == [14, 13, 13]
+
+
 def test_step_lengths_are_tried_on_few_rows_at_once():
     import tracemalloc
 
