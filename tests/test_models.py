@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -99,6 +100,25 @@ def test_stacking_predictions_are_out_of_fold(parts):
     assert unseen > own
 
 
+def test_fits_of_many_rows_leave_the_memory_to_one_another(spark, parts, monkeypatch):
+    monkeypatch.setattr(models, "SIDE_BY_SIDE", 10, raising=False)
+    before, running, most, in_memory = set(spark.sparkContext._jsc.getPersistentRDDs().keySet()), [], [], []
+
+    class Watched(models.Estimator):
+        def _fit(self, dataset):
+            kept = spark.sparkContext._jsc.getPersistentRDDs()
+            in_memory.extend(kept[k].name() for k in kept.keySet() if k not in before and kept[k].getStorageLevel().useMemory())
+            running.append(1)
+            most.append(len(running))
+            time.sleep(0.3)
+            running.pop()
+            return line
+
+    line = models.least_squares().fit(parts[0])
+    models.StackedRegressor([Watched()], "id", folds=3).fit(parts[0])
+    assert most == [1] * 4 and not in_memory
+
+
 def test_component_forest(rows):
     train = rows.select("id", "a", "b", "c", "d", F.col("label").alias("y"))
     score, model = models.scaled_pca_forest(train, ["a", "b", "c", "d"], "y", models.random_forest(trees=10, depth=6))
