@@ -14,6 +14,7 @@ numbers per feature and machine.
 
 from __future__ import annotations
 
+import math
 import pickle
 import warnings
 from collections.abc import Callable, Iterator, Sequence
@@ -38,8 +39,11 @@ STEPS = np.append(2.0 ** -np.arange(-1, 26), 0.0)
 GATHERED, SUM_BYTES = 64, 128 << 20
 #: Bytes of the sums of all tasks up to which the driver adds them up itself.
 SMALL_SUMS = 1 << 20
-#: Rows whose losses at all step lengths are taken at once, so that they stay in the cache of a core.
-SLICE = 512
+#: Rows that are mapped at once, rows that are measured at once, and rows whose losses at all step lengths are taken at once,
+#: so that they stay in the cache of a core.
+MAPPED, PIECE, SLICE = 128, 1024, 512
+#: The series of sin(2 pi v) in odd powers of v; a quarter of a turn on either side it ends within 3e-16.
+SINE = [(-1) ** k * (2 * math.pi) ** (2 * k + 1) / math.factorial(2 * k + 1) for k in range(10)]
 #: The penalty that stands for an unlimited c.
 LEAST_PENALTY = 1e-8
 #: A loss this near to the bound is the best one, whatever its size.
@@ -184,10 +188,44 @@ def _by_mapping(machines: Sequence[Machine]) -> list[tuple[tuple[np.ndarray, np.
     return [(mapping.arrays() if mapping else None, own) for mapping, own in groups.items()]
 
 
+def _mapped(x: np.ndarray, arrays: tuple[np.ndarray, np.ndarray, float], out: np.ndarray) -> None:
+    """Writes scale cos(x W + offset). The cosine of f turns is the sine of a quarter less |f| turns, whose series takes a
+    fourth of the time of the library's cosine."""
+    directions, offsets, scale = arrays[0] / (2 * np.pi), arrays[1] / (2 * np.pi), arrays[2]
+    turns, series = np.empty((MAPPED, len(offsets))), np.empty((MAPPED, len(offsets)))
+    for begin in range(0, len(x), MAPPED):
+        part = x[begin:begin + MAPPED]
+        v, sine = turns[:len(part)], series[:len(part)]
+        np.matmul(part, directions, out=v)
+        v += offsets
+        v -= np.rint(v, out=sine)
+        np.subtract(0.25, np.abs(v, out=v), out=v)
+        square = v * v
+        np.multiply(square, scale * SINE[-1], out=sine)
+        for term in SINE[-2:0:-1]:
+            sine += scale * term
+            sine *= square
+        sine += scale * SINE[0]
+        np.multiply(sine, v, out=out[begin:begin + MAPPED])
+
+
 def _rows(x: np.ndarray, arrays: tuple[np.ndarray, np.ndarray, float] | None, middle: np.ndarray) -> np.ndarray:
     """Mapped rows with a last column of ones. Plain rows are taken about the middle, which a free intercept makes up for."""
-    mapped = x - middle if arrays is None else arrays[2] * np.cos(x @ arrays[0] + arrays[1])
-    return np.concatenate([mapped, np.ones((len(x), 1))], axis=1)
+    rows = np.ones((len(x), (x.shape[1] if arrays is None else len(arrays[1])) + 1))
+    if arrays is None:
+        np.subtract(x, middle, out=rows[:, :-1])
+    else:
+        _mapped(x, arrays, rows[:, :-1])
+    return rows
+
+
+def _pieces(x: np.ndarray, groups: Sequence[tuple[tuple[np.ndarray, np.ndarray, float] | None, list[int]]],
+            middle: np.ndarray) -> Iterator[tuple[slice, np.ndarray, list[int]]]:
+    """Stretches of the rows, mapped for each group of machines."""
+    for begin in range(0, len(x), PIECE):
+        part = slice(begin, begin + PIECE)
+        for arrays, own in groups:
+            yield part, _rows(x[part], arrays, middle), own
 
 
 def _sums_at(machines: Sequence[Machine], middle: np.ndarray) -> tuple[Callable, int]:
@@ -202,24 +240,45 @@ def _sums_at(machines: Sequence[Machine], middle: np.ndarray) -> tuple[Callable,
 
     def measure(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
         out = np.zeros((len(points), each))
-        for arrays, own in groups:
-            rows = _rows(x, arrays, middle)
-            margins = 1.0 - y[:, None] * (rows @ np.stack([points[i] for i in own], axis=1))
-            width = np.array([widths[i] for i in own])
+        bends: dict[int, np.ndarray] = {}
+        near: dict[int, list[np.ndarray]] = {i: [] for i in range(len(points))}
+
+        def bend(i: int) -> None:
+            close = np.concatenate(near[i])
+            bends[i] = close.T @ close + bends.get(i, 0.0)
+            near[i] = []
+
+        order = np.argsort(-y, kind="stable")  # one class after the other
+        x, y, s = x[order], y[order], s[order]
+        for part, rows, own in _pieces(x, groups, middle):
+            signs, weights = y[part], s[part]
+            ups = int((signs > 0).sum())
+            margins = 1.0 - signs * (np.stack([points[i] for i in own]) @ rows.T)
+            width = np.array([[widths[i]] for i in own])
             duals = np.clip(margins / width, 0.0, 1.0)
-            helds = s[:, None] * duals
-            ups, downs = np.where(y[:, None] > 0, helds, 0.0), np.where(y[:, None] > 0, 0.0, helds)
-            up_rows, down_rows = ups.T @ rows, downs.T @ rows
-            out[own, 0] = s @ (duals * (margins - 0.5 * width * duals))
-            out[own, 1] = s @ np.maximum(margins, 0.0)
-            out[own, 2], out[own, 3] = up_rows[:, -1], down_rows[:, -1]
-            out[own, 4:n + 3], out[own, n + 3:2 * n + 2] = up_rows[:, :-1], down_rows[:, :-1]
+            helds = weights * duals
+            up_rows, down_rows = helds[:, :ups] @ rows[:ups], helds[:, ups:] @ rows[ups:]
+            out[own, 0] += (duals * (margins - 0.5 * width * duals)) @ weights
+            out[own, 1] += np.maximum(margins, 0.0) @ weights
+            out[own, 2] += up_rows[:, -1]
+            out[own, 3] += down_rows[:, -1]
+            out[own, 4:n + 3] += up_rows[:, :-1]
+            out[own, n + 3:2 * n + 2] += down_rows[:, :-1]
+            band = (margins > 0) & (margins < width)
             for place, i in enumerate(own):
-                band = (margins[:, place] > 0) & (margins[:, place] < width[place])
-                near, weights = rows[band], s[band]
-                out[i, 2 * n + 2:3 * n + 2] = (helds[band, place] * y[band]) @ near
-                near *= np.sqrt(weights)[:, None]
-                out[i, 3 * n + 2:] = (near.T @ near)[upper] / width[place]
+                at = np.flatnonzero(band[place])
+                if len(at):
+                    close = rows[at]
+                    out[i, 2 * n + 2:3 * n + 2] += (helds[place, at] * signs[at]) @ close
+                    close *= np.sqrt(weights[at])[:, None]
+                    near[i].append(close)
+                    if sum(map(len, near[i])) >= PIECE:  # a matrix for many rows at a time
+                        bend(i)
+        for i, width in enumerate(widths):
+            if near[i]:
+                bend(i)
+            if i in bends:
+                out[i, 3 * n + 2:] = bends[i][upper] / width
         return out.ravel()
 
     return measure, len(points) * each
@@ -234,20 +293,27 @@ def _sums_along(machines: Sequence[Machine], directions: Sequence[np.ndarray], m
 
     def measure(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
         out = np.zeros((len(points), len(steps)))
-        for arrays, own in groups:
-            rows = _rows(x, arrays, middle)
-            here = 1.0 - y[:, None] * (rows @ np.stack([points[i] for i in own], axis=1))
-            slopes = y[:, None] * (rows @ np.stack([directions[i] for i in own], axis=1))
-            for begin in range(0, len(y), SLICE):
-                part = slice(begin, begin + SLICE)
-                for place, i in enumerate(own):
-                    z = here[part, place, None] - slopes[part, place, None] * steps
+        for part, rows, own in _pieces(x, groups, middle):
+            signs, weights = y[part], s[part]
+            here = 1.0 - signs * (np.stack([points[i] for i in own]) @ rows.T)
+            slopes = signs * (np.stack([directions[i] for i in own]) @ rows.T)
+            width = np.array([[widths[i]] for i in own])
+            there = here - steps[0] * slopes  # at the longest step: a margin in between lies between both
+            least, most = np.minimum(here, there), np.maximum(here, there)
+            straight = weights * (least >= width)  # above the corner the loss is a line, below it is none
+            out[own] += (straight * (here - 0.5 * width)).sum(axis=1)[:, None] - (straight * slopes).sum(axis=1)[:, None] * steps
+            bent = (most > 0) & (least < width)
+            for place, i in enumerate(own):
+                at = np.flatnonzero(bent[place])
+                for begin in range(0, len(at), SLICE):
+                    some = at[begin:begin + SLICE]
+                    z = here[place, some, None] - slopes[place, some, None] * steps
                     dual = z * (1.0 / widths[i])
                     np.maximum(dual, 0.0, out=dual)
                     np.minimum(dual, 1.0, out=dual)
                     z -= (0.5 * widths[i]) * dual
                     z *= dual
-                    out[i] += s[part] @ z
+                    out[i] += weights[some] @ z
         return out.ravel()
 
     return measure, len(points) * len(steps)
@@ -427,9 +493,9 @@ def accuracies(df: DataFrame, x: Column, machines: Sequence[Machine], label: str
     def measure(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
         out = np.zeros(len(lines) + 1)
         out[-1] = len(y)
-        for arrays, own in groups:
-            scores = _rows(x, arrays, np.zeros(x.shape[1])) @ np.stack([lines[i] for i in own], axis=1)
-            out[own] = ((scores > 0) == (y > 0)[:, None]).sum(axis=0)
+        for part, rows, own in _pieces(x, groups, np.zeros(x.shape[1])):
+            scores = np.stack([lines[i] for i in own]) @ rows.T
+            out[own] += ((scores > 0) == (y[part] > 0)).sum(axis=1)
         return out
 
     found = summed(Blocks(packed(df, x, label), df.sparkSession.sparkContext.defaultParallelism), measure, len(lines) + 1)
