@@ -219,13 +219,11 @@ def _rows(x: np.ndarray, arrays: tuple[np.ndarray, np.ndarray, float] | None, mi
     return rows
 
 
-def _pieces(x: np.ndarray, groups: Sequence[tuple[tuple[np.ndarray, np.ndarray, float] | None, list[int]]],
-            middle: np.ndarray) -> Iterator[tuple[slice, np.ndarray, list[int]]]:
-    """Stretches of the rows, mapped for each group of machines."""
+def _pieces(x: np.ndarray, arrays: tuple[np.ndarray, np.ndarray, float] | None, middle: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Stretches of the rows, mapped."""
     for begin in range(0, len(x), PIECE):
         part = slice(begin, begin + PIECE)
-        for arrays, own in groups:
-            yield part, _rows(x[part], arrays, middle), own
+        yield part, _rows(x[part], arrays, middle)
 
 
 def _sums_at(machines: Sequence[Machine], middle: np.ndarray) -> tuple[Callable, int]:
@@ -241,44 +239,43 @@ def _sums_at(machines: Sequence[Machine], middle: np.ndarray) -> tuple[Callable,
     def measure(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
         out = np.zeros((len(points), each))
         bends: dict[int, np.ndarray] = {}
-        near: dict[int, list[np.ndarray]] = {i: [] for i in range(len(points))}
+        near: dict[int, list[np.ndarray]] = {}
 
         def bend(i: int) -> None:
-            close = np.concatenate(near[i])
+            close = np.concatenate(near.pop(i))
             bends[i] = close.T @ close + bends.get(i, 0.0)
-            near[i] = []
 
         order = np.argsort(-y, kind="stable")  # one class after the other
         x, y, s = x[order], y[order], s[order]
-        for part, rows, own in _pieces(x, groups, middle):
-            signs, weights = y[part], s[part]
-            ups = int((signs > 0).sum())
-            margins = 1.0 - signs * (np.stack([points[i] for i in own]) @ rows.T)
+        for arrays, own in groups:
             width = np.array([[widths[i]] for i in own])
-            duals = np.clip(margins / width, 0.0, 1.0)
-            helds = weights * duals
-            up_rows, down_rows = helds[:, :ups] @ rows[:ups], helds[:, ups:] @ rows[ups:]
-            out[own, 0] += (duals * (margins - 0.5 * width * duals)) @ weights
-            out[own, 1] += np.maximum(margins, 0.0) @ weights
-            out[own, 2] += up_rows[:, -1]
-            out[own, 3] += down_rows[:, -1]
-            out[own, 4:n + 3] += up_rows[:, :-1]
-            out[own, n + 3:2 * n + 2] += down_rows[:, :-1]
-            band = (margins > 0) & (margins < width)
-            for place, i in enumerate(own):
-                at = np.flatnonzero(band[place])
-                if len(at):
-                    close = rows[at]
-                    out[i, 2 * n + 2:3 * n + 2] += (helds[place, at] * signs[at]) @ close
-                    close *= np.sqrt(weights[at])[:, None]
-                    near[i].append(close)
-                    if sum(map(len, near[i])) >= PIECE:  # a matrix for many rows at a time
-                        bend(i)
-        for i, width in enumerate(widths):
-            if near[i]:
+            for part, rows in _pieces(x, arrays, middle):
+                signs, weights = y[part], s[part]
+                ups = int((signs > 0).sum())
+                margins = 1.0 - signs * (np.stack([points[i] for i in own]) @ rows.T)
+                duals = np.clip(margins / width, 0.0, 1.0)
+                helds = weights * duals
+                up_rows, down_rows = helds[:, :ups] @ rows[:ups], helds[:, ups:] @ rows[ups:]
+                out[own, 0] += (duals * (margins - 0.5 * width * duals)) @ weights
+                out[own, 1] += np.maximum(margins, 0.0) @ weights
+                out[own, 2] += up_rows[:, -1]
+                out[own, 3] += down_rows[:, -1]
+                out[own, 4:n + 3] += up_rows[:, :-1]
+                out[own, n + 3:2 * n + 2] += down_rows[:, :-1]
+                band = (margins > 0) & (margins < width)
+                for place, i in enumerate(own):
+                    at = np.flatnonzero(band[place])
+                    if len(at):
+                        close = rows[at]
+                        out[i, 2 * n + 2:3 * n + 2] += (helds[place, at] * signs[at]) @ close
+                        close *= np.sqrt(weights[at])[:, None]
+                        near.setdefault(i, []).append(close)
+                        if sum(map(len, near[i])) >= PIECE:  # a matrix for many rows at a time
+                            bend(i)
+            for i in [*near]:
                 bend(i)
-            if i in bends:
-                out[i, 3 * n + 2:] = bends[i][upper] / width
+            for i in [*bends]:
+                out[i, 3 * n + 2:] = bends.pop(i)[upper] / widths[i]
         return out.ravel()
 
     return measure, len(points) * each
@@ -293,27 +290,28 @@ def _sums_along(machines: Sequence[Machine], directions: Sequence[np.ndarray], m
 
     def measure(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
         out = np.zeros((len(points), len(steps)))
-        for part, rows, own in _pieces(x, groups, middle):
-            signs, weights = y[part], s[part]
-            here = 1.0 - signs * (np.stack([points[i] for i in own]) @ rows.T)
-            slopes = signs * (np.stack([directions[i] for i in own]) @ rows.T)
+        for arrays, own in groups:
             width = np.array([[widths[i]] for i in own])
-            there = here - steps[0] * slopes  # at the longest step: a margin in between lies between both
-            least, most = np.minimum(here, there), np.maximum(here, there)
-            straight = weights * (least >= width)  # above the corner the loss is a line, below it is none
-            out[own] += (straight * (here - 0.5 * width)).sum(axis=1)[:, None] - (straight * slopes).sum(axis=1)[:, None] * steps
-            bent = (most > 0) & (least < width)
-            for place, i in enumerate(own):
-                at = np.flatnonzero(bent[place])
-                for begin in range(0, len(at), SLICE):
-                    some = at[begin:begin + SLICE]
-                    z = here[place, some, None] - slopes[place, some, None] * steps
-                    dual = z * (1.0 / widths[i])
-                    np.maximum(dual, 0.0, out=dual)
-                    np.minimum(dual, 1.0, out=dual)
-                    z -= (0.5 * widths[i]) * dual
-                    z *= dual
-                    out[i] += weights[some] @ z
+            for part, rows in _pieces(x, arrays, middle):
+                signs, weights = y[part], s[part]
+                here = 1.0 - signs * (np.stack([points[i] for i in own]) @ rows.T)
+                slopes = signs * (np.stack([directions[i] for i in own]) @ rows.T)
+                there = here - steps[0] * slopes  # at the longest step: a margin in between lies between both
+                least, most = np.minimum(here, there), np.maximum(here, there)
+                straight = weights * (least >= width)  # above the corner the loss is a line, below it is none
+                out[own] += (straight * (here - 0.5 * width)).sum(axis=1)[:, None] - (straight * slopes).sum(axis=1)[:, None] * steps
+                bent = (most > 0) & (least < width)
+                for place, i in enumerate(own):
+                    at = np.flatnonzero(bent[place])
+                    for begin in range(0, len(at), SLICE):
+                        some = at[begin:begin + SLICE]
+                        z = here[place, some, None] - slopes[place, some, None] * steps
+                        dual = z * (1.0 / widths[i])
+                        np.maximum(dual, 0.0, out=dual)
+                        np.minimum(dual, 1.0, out=dual)
+                        z -= (0.5 * widths[i]) * dual
+                        z *= dual
+                        out[i] += weights[some] @ z
         return out.ravel()
 
     return measure, len(points) * len(steps)
@@ -493,9 +491,10 @@ def accuracies(df: DataFrame, x: Column, machines: Sequence[Machine], label: str
     def measure(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
         out = np.zeros(len(lines) + 1)
         out[-1] = len(y)
-        for part, rows, own in _pieces(x, groups, np.zeros(x.shape[1])):
-            scores = np.stack([lines[i] for i in own]) @ rows.T
-            out[own] += ((scores > 0) == (y[part] > 0)).sum(axis=1)
+        for arrays, own in groups:
+            for part, rows in _pieces(x, arrays, np.zeros(x.shape[1])):
+                scores = np.stack([lines[i] for i in own]) @ rows.T
+                out[own] += ((scores > 0) == (y[part] > 0)).sum(axis=1)
         return out
 
     found = summed(Blocks(packed(df, x, label), df.sparkSession.sparkContext.defaultParallelism), measure, len(lines) + 1)
